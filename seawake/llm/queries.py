@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seawake.llm import bpe_dropout, decontaminate, embedding_dedup, html_extract, language_id, quality, secret_scan, token_count
+from seawake.llm import bpe_dropout, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, quality, secret_scan, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.graded(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
@@ -48,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_embedding_dedup, op5_html_extraction, op6_quality, op8_secret_scan, op9_bpe_dropout, op10_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_decontamination, op4_embedding_dedup, op5_html_extraction, op6_quality, op7_jaccard_join, op8_secret_scan, op9_bpe_dropout, op10_language_id)}
 
 
 OP3_SQL = r"""
