@@ -16,6 +16,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,24 +29,86 @@ CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 NEVER = float("inf")
 MASK = (1 << 64) - 1
 SHORT = 48
+WIDE = 1 << 20
 
 
 class Encoder:
     """Encodes and decodes texts; `dropout` is the chance that a candidate merge is skipped."""
 
-    def __init__(self, model: bytes, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = 300_000) -> None:
+    def __init__(self, model: bytes, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = 600_000) -> None:
         normal, self.of_byte = pieces(model)
         self.id = {p: i for p, (i, _) in normal.items()}
         self.rank = {p: -s for p, (_, s) in normal.items()}
         self.text = {i: p.replace(SPACE, " ").encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in enumerate(self.of_byte)}
         self.limit, self.seed, self.variants, self.most = int(dropout * (1 << 32)), seed, variants if dropout else 1, cache
-        self.cache: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
-
-    def _skip(self, key: int, at: int, piece: str) -> bool:
-        x = (key ^ (at * 0x9E3779B97F4A7C15 + hash_text(piece))) & MASK
+        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.known = {p for p in self.id if len(p) == 1}
+        self.of_char = np.full(0x110000, -1, np.int64)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        splits = [(self.id[p[:k]] * WIDE + self.id[p[k:]], i, self.rank[p]) for p, i in self.id.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id]
+        splits.sort()
+        self.pair, self.pair_id = (np.array([x[k] for x in splits], np.int64) for k in (0, 1))
+        self.pair_rank = np.array([x[2] for x in splits])
+
+    def _skip(self, key: int, at: int, piece: int) -> bool:
+        x = (key ^ (at * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F)) & MASK
         x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & MASK
         return ((x ^ (x >> 32)) & 0xFFFFFFFF) < self.limit
 
+    def _skips(self, key: np.ndarray, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """`_skip` for arrays."""
+        u = np.uint64
+        x = key ^ (at.astype(u) * u(0x9E3779B97F4A7C15) + piece.astype(u) * u(0xC2B2AE3D27D4EB4F))
+        x = (x ^ (x >> u(32))) * u(0xD6E8FEB86659FD93)
+        return ((x ^ (x >> u(32))) & u(0xFFFFFFFF)) < u(self.limit)
+
+    def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the merge of each pair of pieces; an infinite rank where there is none."""
+        key = left * WIDE + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        real = (self.pair[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(real, self.pair_rank[at], NEVER), self.pair_id[at]
+
+    def merge_many(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """What `merge` gives, as the bytes of its ids, for many words of known characters at once: every round takes one candidate of
+        each word."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        n, width = len(words), int(size.max())
+        s = np.full((n, width + 1), -1, np.int64)
+        s[np.arange(width + 1) < size[:, None]] = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        right = np.tile(np.arange(1, width + 2), (n, 1))
+        left = np.tile(np.arange(-1, width), (n, 1))
+        cost, to = self._offers(s[:, :-1], s[:, 1:])
+        rows = np.arange(n)
+        while len(rows):
+            part = cost[rows]
+            i = part.argmin(1)
+            live = part[np.arange(len(rows)), i] < NEVER
+            rows, i = rows[live], i[live]
+            piece, r = to[rows, i], rows
+            if self.limit:
+                skip = self._skips(keys[rows], i, piece)
+                cost[rows[skip], i[skip]] = NEVER
+                r, i, piece = rows[~skip], i[~skip], piece[~skip]
+            j = right[r, i]
+            s[r, i], s[r, j] = piece, -1
+            inner = j < width
+            cost[r[inner], j[inner]] = NEVER
+            after = right[r, j]
+            right[r, i] = after
+            inner = after <= width
+            left[r[inner], after[inner]] = i[inner]
+            cost[r, i], to[r, i] = self._offers(piece, np.where(inner, s[r, np.minimum(after, width)], -1))
+            before = left[r, i]
+            some = before >= 0
+            r, before = r[some], before[some]
+            cost[r, before], to[r, before] = self._offers(s[r, before], piece[some])
+        kept = s >= 0
+        flat, ends = s[kept].astype("<i4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def merge(self, word: str, key: int) -> list[str]:
         """The symbols of a word after all merges that are not skipped."""
         if len(word) > SHORT:
@@ -56,7 +119,7 @@ class Encoder:
         while cost and (best := min(cost)) != NEVER:
             i = cost.index(best)
             piece = s[i] + s[i + 1]
-            if self.limit and self._skip(key, at[i], piece):
+            if self.limit and self._skip(key, at[i], self.id[piece]):
                 cost[i] = NEVER
                 continue
             s[i] = piece
@@ -83,7 +146,7 @@ class Encoder:
             _, i, j, p = heapq.heappop(agenda)
             if s[i] is None or s[j] is None or right[i] != j or len(s[i]) + len(s[j]) != len(p):
                 continue
-            if self.limit and self._skip(key, i, p):
+            if self.limit and self._skip(key, i, self.id[p]):
                 continue
             s[i], s[j] = p, None
             right[i] = right[j]
@@ -93,49 +156,66 @@ class Encoder:
             offer(i, right[i])
         return [x for x in s if x is not None]
 
-    def _word(self, word: str, variant: int) -> list[int]:
-        key = xxhash.xxh64_intdigest(word, seed=(self.seed * 1_000_003 + variant) & MASK) if self.limit else 0
+    def _key(self, word: str, variant: int) -> int:
+        return xxhash.xxh64_intdigest(word, seed=(self.seed * 1_000_003 + variant) & MASK) if self.limit else 0
+
+    def _ids(self, symbols: list[str]) -> bytes:
         ids: list[int] = []
-        for p in self.merge(word, key):
+        for p in symbols:
             if (i := self.id.get(p)) is not None:
                 ids.append(i)
             else:
                 ids += [self.of_byte[b] for b in p.encode()]
-        cache = self.cache[variant]
-        if len(cache) >= self.most // self.variants:
-            cache.clear()
-        if len(word) <= SHORT:
-            cache[word] = ids
-        return ids
+        return np.array(ids, "<i4").tobytes()
+
+    def _learn(self, words: set[str], variant: int) -> dict[str, bytes]:
+        """Segmentations of words that the cache lacks."""
+        classes: dict[int, list[str]] = {}
+        out: dict[str, bytes] = {}
+        for w in words:
+            if len(w) <= SHORT and self.known.issuperset(w):
+                classes.setdefault((len(w) + 3) >> 2, []).append(w)
+            else:
+                out[w] = self._ids(self.merge(w, self._key(w, variant)))
+        hashed, seed = xxhash.xxh64_intdigest, (self.seed * 1_000_003 + variant) & MASK
+        for some in classes.values():
+            for i in range(0, len(some), 4096):
+                part = some[i : i + 4096]
+                keys = np.array([hashed(w, seed) for w in part], np.uint64) if self.limit else np.zeros(len(part), np.uint64)
+                out.update(zip(part, self.merge_many(part, keys), strict=True))
+        return out
+
+    def chunks(self, text: str) -> list[str]:
+        """The words of a text, each with the spaces before it; a literal U+2581 stands for itself as a chunk of its own."""
+        parts = text.split(SPACE)
+        found = CHUNK.findall(SPACE + parts[0].replace(" ", SPACE))
+        for part in parts[1:]:
+            found.append("")
+            found += CHUNK.findall(part.replace(" ", SPACE))
+        return found
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes | None]:
+        """The bytes of the ids of each text; null for null, none for an empty text."""
+        split = [self.chunks(t) if t else [] for t in texts]
+        variant = [xxhash.xxh64_intdigest(t, seed=self.seed & MASK) % self.variants if t else 0 for t in texts]
+        for v, cache in enumerate(self.cache):
+            words = set().union(*(c for c, w in zip(split, variant, strict=True) if w == v))
+            new = words.difference(cache)
+            if len(cache) + len(new) > self.most // self.variants:
+                cache.clear()
+                new = words
+            cache.update(self._learn(new - {""}, v))
+            cache[""] = np.array([self.of_byte[b] for b in SPACE.encode()], "<i4").tobytes()
+        return [None if t is None else b"".join(map(self.cache[v].__getitem__, c)) for t, c, v in zip(texts, split, variant, strict=True)]
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        variant = xxhash.xxh64_intdigest(text, seed=self.seed & MASK) % self.variants
-        get, ids = self.cache[variant].get, []
-        for n, part in enumerate(text.split(SPACE)):
-            if n:
-                ids += [self.of_byte[b] for b in SPACE.encode()]
-            shown = part.replace(" ", SPACE)
-            for word in CHUNK.findall(shown if n else SPACE + shown):
-                ids += get(word) or self._word(word, variant)
-        return ids
+        return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of which `ids` are any segmentation."""
         return b"".join(map(self.text.__getitem__, ids)).decode()[1:] if len(ids) else ""
 
 
-_HASH: dict[str, int] = {}
-
-
-def hash_text(piece: str) -> int:
-    """A hash of a vocabulary piece, kept: there are no more than the vocabulary has."""
-    if (x := _HASH.get(piece)) is None:
-        x = _HASH[piece] = xxhash.xxh64_intdigest(piece)
-    return x
-
-
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -147,7 +227,15 @@ def _encoder(*args: object) -> Encoder:
     return _ENCODERS[args]
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = 300_000) -> DataFrame:
+def _lists(rows: list[bytes | None]) -> pa.Array:
+    """A column of lists from the bytes of their ids."""
+    ends = np.cumsum([0, *(len(r or b"") // 4 for r in rows)])
+    null = np.array([r is None for r in rows], bool)
+    values = pa.array(np.frombuffer(b"".join(r or b"" for r in rows), "<i4"))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(null))
+
+
+def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = 600_000) -> DataFrame:
     """`docs` with a column `ids` (array of int) that replaces one of that name; one narrow pass, no shuffle."""
     docs = docs.drop("ids")
     at, settings = docs.columns.index("text"), (read_model(model), dropout, seed, variants, cache)
@@ -156,7 +244,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: i
         e = _encoder(*settings)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
-                ids = pa.array([t if t is None else e.encode(t) for t in part.column(at).to_pylist()], pa.list_(pa.int32()))
+                ids = _lists(e.encode_many(part.column(at).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
     return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -171,7 +259,9 @@ def decode(df: DataFrame, *, model: str = MODEL) -> DataFrame:
         e = _encoder(*settings)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
-                texts = pa.array([x if x is None else e.decode(x) for x in part.column(at).to_pylist()], pa.string())
+                column = part.column(at)
+                flat, ends, null = column.flatten().to_pylist(), np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist(), column.is_null().to_pylist()
+                texts = pa.array([None if n else e.decode(flat[a:b]) for a, b, n in zip([0, *ends], ends, null, strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
     return df.mapInArrow(task, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))

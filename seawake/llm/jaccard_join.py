@@ -5,8 +5,8 @@ below; a set takes part in its own band and in the one below, so two sets that c
 smaller, where a similarity of at least `percent` bounds the size of their difference by a number k. The shingle domain
 is split into groups of `cells` cells, so many that in at least one group without an empty choice at most `spoiled`
 cells differ; a set has a signature for every group and every choice of the other cells. Similar sets therefore share a
-signature for certain, whatever the data. (Should a set have too many empty choices for that, it says so by one more
-signature, which all such sets of a band share.)
+signature for certain, whatever the data. (A set with too many empty choices for that tries further partitions of
+the domain, and at last says so by one signature that such sets of a band share.)
 
 Equal sets are joined by their hash. A bucket is never expanded into all its pairs: each set is first verified against
 the smallest of the bucket it shares most signatures with; only sets of a bucket that are then still in different
@@ -31,7 +31,12 @@ from pyspark.sql import functions as F
 from seawake.llm.components import components
 from seawake.llm.words import U64, cut, mix, shingles
 
+#: A sketch has at least so many bits.
 SKETCH_BITS = 512
+#: A shingle that at least one in so many documents has is common.
+COMMON = 256
+#: Partitions of the domain that a set tries in turn.
+PARTITIONS = 6
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts to verify; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -63,61 +68,97 @@ class Bands:
         return [t for t in ([band, below] if lower else [band]) if self.difference(t) > 0]
 
 
-def signatures(s: np.ndarray, bands: Bands, cells: int, spoiled: int) -> np.ndarray:
-    """The PartEnum signatures of a sorted set of hashes."""
+def _choices(s: np.ndarray, tag: int, k: int, cells: int, spoiled: int, salt: int) -> tuple[list[np.ndarray], bool]:
+    """Signatures of a set of hashes for one band, and whether the set is lame: with so many empty choices that a
+    similar set need not share one that is not empty."""
+    if salt > 1:
+        s = np.sort(mix(s ^ U64(salt)))
+    good = k // (spoiled + 1)  # so many groups can have more than `spoiled` cells that differ
+    groups = good + 2 + k // 16
+    cell = ((s >> U64(32)) * U64(groups * cells)) >> U64(32)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1])))
+    total, some = np.zeros(groups * cells, U64), np.zeros(groups * cells, bool)
+    if len(s):
+        total[cell[first]] = mix(np.add.reduceat(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), first))
+    some[cell[first]] = True
+    total, some = total.reshape(groups, cells), some.reshape(groups, cells)
+    lame = np.zeros(groups, bool)
+    base = mix(np.arange(groups, dtype=U64) * U64(64) + U64(tag * (1 << 40) + (salt << 36)))
     out = []
+    for c, choice in enumerate(combinations(range(cells), cells - spoiled)):
+        sig, any_ = base + U64(c + 1), np.zeros(groups, bool)
+        for x in choice:
+            sig = mix(sig + total[:, x])
+            any_ |= some[:, x]
+        out.append(sig[any_])
+        lame |= ~any_
+    return out, bool(lame.sum() >= groups - good)
+
+
+def signatures(s: np.ndarray, bands: Bands, cells: int, spoiled: int, hot: np.ndarray) -> np.ndarray:
+    """The PartEnum signatures of a sorted set of hashes.
+
+    Very common shingles (`hot`) are left out first: two sets differ no more without them, so the bound holds, and a
+    passage that many documents quote makes no bucket. A set that is lame has the signatures of the whole set as well, if
+    need be under several partitions of the domain: of two similar sets one is not lame under the last that both try, or
+    both are lame under all of them and share one more signature.
+    """
+    out: list[np.ndarray] = []
+    rare = s[hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s] if len(hot) else s
     for tag in bands.tags(len(s)):
         k = bands.difference(tag)
-        good = k // (spoiled + 1)  # so many groups can have more than `spoiled` cells that differ
-        groups = good + 2 + k // 16
-        cell = ((s >> U64(32)) * U64(groups * cells)) >> U64(32)
-        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        total, some = np.zeros(groups * cells, U64), np.zeros(groups * cells, bool)
-        total[cell[first]] = mix(np.add.reduceat(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), first))
-        some[cell[first]] = True
-        total, some = total.reshape(groups, cells), some.reshape(groups, cells)
-        lame = np.zeros(groups, bool)
-        base = mix(np.arange(groups, dtype=U64) * U64(64) + U64(tag * (1 << 40)))
-        for c, choice in enumerate(combinations(range(cells), cells - spoiled)):
-            sig, any_ = base + U64(c + 1), np.zeros(groups, bool)
-            for x in choice:
-                sig = mix(sig + total[:, x])
-                any_ |= some[:, x]
-            out.append(sig[any_])
-            lame |= ~any_
-        if lame.sum() >= groups - good:
+        for salt in range(1 + PARTITIONS):
+            found, lame = _choices(s if salt else rare, tag, k, cells, spoiled, salt)
+            out += found
+            if not lame:
+                break
+        else:
             out.append(mix(np.array([tag * (1 << 40) + 63], U64)))
     return np.concatenate(out) if out else np.empty(0, U64)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of hashed buckets: two sets differ in at least as many elements as their parities do."""
-    odd = np.bincount((mix(s ^ U64(0x1234567)) >> U64(55)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parities of hashed buckets: two sets differ in at least as many elements as their parities do. There are at least
+    as many buckets as elements; a sketch of twice the buckets folds onto a smaller one."""
+    bits = max(SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((mix(s ^ U64(0x1234567)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, set, odd) of every row: size, hash and parity sketch of its shingle set."""
+PROFILE = "doc_id long, n long, set long, odd array<long>"
+
+
+def _profiles(docs: DataFrame, shingle: int, heavy: bool = False) -> DataFrame:
+    """(doc_id, n, set, odd) of every row: size, hash and parity sketch of its shingle set.
+
+    With `heavy` there are also rows with a null doc_id: shingles (`set`) with the number of rows (`n`) that have them,
+    wherever that is at least one in `COMMON` of a batch. What is so common overall is so in some batch.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), shingle) for t in batch.column(1).cast(pa.binary())]
-            whole = [int((mix(s).sum() if len(s) else U64(0)).view(np.int64)) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "set", "odd"]
-            )
+            for part in (batch.slice(i, 2048) for i in range(0, len(batch), 2048)):
+                sets = [shingles(t.as_py(), shingle) for t in part.column(1).cast(pa.binary())]
+                whole = [int((mix(s).sum() if len(s) else U64(0)).view(np.int64)) for s in sets]
+                rows = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(rows, ["doc_id", "n", "set", "odd"])
+                if heavy:
+                    h, n = np.unique(np.concatenate(sets), return_counts=True)
+                    often = n >= max(2, len(sets) // COMMON)
+                    h, n = h[often].view(np.int64), n[often]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(n, pa.int64()), pa.array(h), pa.nulls(len(h), pa.list_(pa.int64()))], ["doc_id", "n", "set", "odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n long, set long, odd array<long>")
+    return docs.select("doc_id", "text").mapInArrow(task, PROFILE)
 
 
-def _postings(docs: DataFrame, shingle: int, percent: int, cells: int, spoiled: int) -> DataFrame:
+def _postings(docs: DataFrame, hot: np.ndarray, shingle: int, percent: int, cells: int, spoiled: int) -> DataFrame:
     """(sig, doc_id) for every signature of every row."""
     bands = Bands(percent)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
-                sigs = [signatures(shingles(t.as_py(), shingle), bands, cells, spoiled) for t in part.column(1).cast(pa.binary())]
+                sigs = [signatures(shingles(t.as_py(), shingle), bands, cells, spoiled, hot) for t in part.column(1).cast(pa.binary())]
                 flat = np.concatenate(sigs).view(np.int64)
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sigs])
                 yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids, pa.int64())], ["sig", "doc_id"])
@@ -127,7 +168,9 @@ def _postings(docs: DataFrame, shingle: int, percent: int, cells: int, spoiled:
 
 def _possible(percent: int) -> Column:
     """False only for pairs (na, odda), (nb, oddb) that cannot be similar, by size or by parity."""
-    differ = sum(F.bit_count(F.get("odda", F.lit(i)).bitwiseXOR(F.get("oddb", F.lit(i)))) for i in range(SKETCH_BITS // 64))
+    half = lambda v: F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    x, y = (F.when(F.size(f"odd{i}") > F.size(f"odd{j}"), half(F.col(f"odd{i}"))).otherwise(F.col(f"odd{i}")) for i, j in ("ab", "ba"))
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
     return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
@@ -152,13 +195,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
 def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cells: int = 2, spoiled: int = 1) -> tuple[DataFrame, DataFrame]:
     """The profiles of the rows, and edges (a, b) between doc_ids whose components are those of all links."""
     docs = docs.filter("doc_id IS NOT NULL")
-    profiles = cut(_profiles(docs, shingle).filter("n > 0").dropDuplicates(["doc_id", "n", "set"]))
+    both = cut(_profiles(docs, shingle, heavy=True).filter("n > 0"))
+    profiles = both.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "n", "set"])
+    least = max(2, profiles.count() // COMMON)  # so no more than COMMON times the mean set size are as common
+    hot = both.filter("doc_id IS NULL").groupBy("set").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    hot = np.sort(hot.select("set").toArrow().column(0).to_numpy().view(np.uint64))
     reps = profiles.groupBy("set", "n").agg(F.min("doc_id").alias("rep"), F.any_value("odd").alias("odd"))
     of = cut(profiles.select("doc_id", "set", "n").join(reps.drop("odd"), ["set", "n"]).select("doc_id", "rep", "n"))
     facts = cut(reps.select("rep", "n", "odd"))
 
     bucket = Window.partitionBy("sig")
-    shared = _postings(docs, shingle, percent, cells, spoiled).withColumn("lo", F.min("doc_id").over(bucket)).withColumn("hi", F.max("doc_id").over(bucket)).filter("lo < hi").drop("lo", "hi")
+    shared = _postings(docs, hot, shingle, percent, cells, spoiled).withColumn("lo", F.min("doc_id").over(bucket)).withColumn("hi", F.max("doc_id").over(bucket)).filter("lo < hi").drop("lo", "hi")
     members = shared.join(of.select("doc_id", "rep"), "doc_id").select("sig", "rep").distinct()
     members = cut(members.withColumn("centre", F.min("rep").over(bucket)).withColumn("hi", F.max("rep").over(bucket)).filter("centre < hi").drop("hi"))
 
@@ -170,7 +217,7 @@ def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cells: int =
     joined = components(first)
     named = members.select("sig", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     open_ = named.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).filter("lo < hi").select("sig", "rep", "c")
-    open_ = cut(open_.join(facts, "rep"))
+    open_ = open_.join(facts, "rep")
     x, y = (open_.select("sig", F.col("rep").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"odd{s}")) for s in "ab")
     rest = x.join(y, (x.sig == y.sig) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b").distinct()
     rest = cut(rest.join(best, ["a", "b"], "left_anti"))

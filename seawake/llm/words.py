@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,9 +75,17 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the session's shared folder."""
+    """`df` with its lineage cut by a reliable checkpoint in the session's shared folder.
+
+    What was computed for it is then unreachable; collecting it at once lets Spark delete its shuffle files, which would
+    else stay on the executors' disks until the driver happens to need memory.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    done = df.checkpoint()
+    del df
+    gc.collect()
+    done.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 def shared_folder(spark: SparkSession) -> str:
