@@ -6,8 +6,9 @@ A variant is chosen by a keyed hash of the whole text, so equal texts get equal
 on any cluster. With `dropout=0` the result is the vocabulary's own encoding.
 
 Lossless: unknown characters and a literal U+2581 become byte pieces, so decoding always gives the text back.
-Null texts give null; an empty text gives no ids. Words are cached per task up to `cache` entries; no piece spans two
-words, so long texts need no more than their own length.
+Null texts give null; an empty text gives no ids. A worker keeps the segmentations of up to `cache` words, those of the
+last words seen; no piece spans two words, so long texts need no more than their own length. Decoding looks up the bytes
+of all ids of a batch at once, a bounded number of ids at a time.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seawake.llm.vocab import MODEL, SPACE, pieces, read_model
@@ -30,18 +31,25 @@ NEVER = float("inf")
 MASK = (1 << 64) - 1
 SHORT = 48
 WIDE = 1 << 20
+#: Words whose segmentation a worker keeps, and ids that it decodes at once.
+CACHE, AT_ONCE = 400_000, 1 << 18
 
 
 class Encoder:
     """Encodes and decodes texts; `dropout` is the chance that a candidate merge is skipped."""
 
-    def __init__(self, model: bytes, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = 600_000) -> None:
+    def __init__(self, model: bytes, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = CACHE) -> None:
         normal, self.of_byte = pieces(model)
         self.id = {p: i for p, (i, _) in normal.items()}
         self.rank = {p: -s for p, (_, s) in normal.items()}
-        self.text = {i: p.replace(SPACE, " ").encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in enumerate(self.of_byte)}
+        text = {i: p.replace(SPACE, " ").encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in enumerate(self.of_byte)}
+        self.size = np.zeros(max(text) + 1, np.int64)
+        self.size[list(text)] = [len(x) for x in text.values()]
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(text[i] for i in sorted(text)), np.uint8)
         self.limit, self.seed, self.variants, self.most = int(dropout * (1 << 32)), seed, variants if dropout else 1, cache
         self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.known = {p for p in self.id if len(p) == 1}
         self.of_char = np.full(0x110000, -1, np.int64)
         for p, i in self.id.items():
@@ -201,19 +209,35 @@ class Encoder:
         for v, cache in enumerate(self.cache):
             words = set().union(*(c for c, w in zip(split, variant, strict=True) if w == v))
             new = words.difference(cache)
-            if len(cache) + len(new) > self.most // self.variants:
-                cache.clear()
-                new = words
-            cache.update(self._learn(new - {""}, v))
+            if len(cache) + len(new) > self.most // (2 * self.variants):  # the words at hand stay, and the last ones for a while
+                self.older[v], new = cache, words
+                cache = self.cache[v] = {}
+            older = self.older[v]
+            cache.update((w, older[w]) for w in new.intersection(older))
+            cache.update(self._learn(new.difference(older, [""]), v))
             cache[""] = np.array([self.of_byte[b] for b in SPACE.encode()], "<i4").tobytes()
         return [None if t is None else b"".join(map(self.cache[v].__getitem__, c)) for t, c, v in zip(texts, split, variant, strict=True)]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
 
+    def decode_many(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The UTF-8 bytes of texts, one after another, and their number for each text; `ids` holds their ids one after
+        another, `counts` how many each has. The space before a text's first word goes."""
+        first = np.zeros(len(ids), np.int64)
+        begin = np.cumsum(counts) - counts
+        first[begin[counts > 0]] = 1
+        size, out = self.size[ids] - first, []
+        for a in range(0, len(ids), AT_ONCE):
+            n = size[a : a + AT_ONCE]
+            at = self.begin[ids[a : a + AT_ONCE]] + first[a : a + AT_ONCE]
+            out.append(self.bytes[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        total = np.concatenate(([0], np.cumsum(size)))
+        return np.concatenate(out) if out else np.empty(0, np.uint8), total[begin + counts] - total[begin]
+
     def decode(self, ids: list[int]) -> str:
         """The text of which `ids` are any segmentation."""
-        return b"".join(map(self.text.__getitem__, ids)).decode()[1:] if len(ids) else ""
+        return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0].tobytes().decode()
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -235,7 +259,7 @@ def _lists(rows: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(null))
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = 600_000) -> DataFrame:
+def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = CACHE) -> DataFrame:
     """`docs` with a column `ids` (array of int) that replaces one of that name; one narrow pass, no shuffle."""
     docs = docs.drop("ids")
     at, settings = docs.columns.index("text"), (read_model(model), dropout, seed, variants, cache)
@@ -250,6 +274,16 @@ def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: i
     return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
+def _texts(e: Encoder, column: pa.ListArray) -> pa.Array:
+    """The texts of a column of ids; null for null."""
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data, size = e.decode_many(column.flatten().to_numpy(zero_copy_only=False), counts)
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.large_binary(), len(column), [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.large_string()).cast(pa.string())
+
+
 def decode(df: DataFrame, *, model: str = MODEL) -> DataFrame:
     """`df` with a column `decoded` made from `ids`; null ids give null, no ids the empty text."""
     df = df.drop("decoded")
@@ -259,15 +293,25 @@ def decode(df: DataFrame, *, model: str = MODEL) -> DataFrame:
         e = _encoder(*settings)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
-                column = part.column(at)
-                flat, ends, null = column.flatten().to_pylist(), np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist(), column.is_null().to_pylist()
-                texts = pa.array([None if n else e.decode(flat[a:b]) for a, b, n in zip([0, *ends], ends, null, strict=False)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(e, part.column(at))], [*part.schema.names, "decoded"])
 
     return df.mapInArrow(task, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
-    """Ids, their number and whether decoding them gives the text back, per document; null texts give null ids."""
-    both = decode(encode(docs.select("doc_id", "text"), model=model, dropout=dropout, seed=seed, variants=variants), model=model)
-    return both.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    """Ids, their number and whether decoding them gives the text back, per document; null texts give null ids.
+
+    Texts are encoded and the ids decoded in the same pass, so neither ids nor decoded texts move between processes twice.
+    """
+    settings = (read_model(model), dropout, seed, variants, CACHE)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = _encoder(*settings)
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
+                texts = part.column(1).cast(pa.string())
+                ids = _lists(e.encode_many(texts.to_pylist()))
+                same = pc.equal(_texts(e, ids), texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, ids.value_lengths().fill_null(0).cast(pa.int64()), pc.coalesce(same, texts.is_null())], ["doc_id", "ids", "n_tokens", "lossless"])
+
+    return docs.select("doc_id", "text").mapInArrow(task, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("ids array<int>, n_tokens long, lossless boolean")]))
