@@ -34,5 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         left = cut(left.select(F.least("a", "q").alias("a"), F.greatest("a", "q").alias("b")).filter("a <> b").distinct())
     if names is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    least = names.groupBy("component").agg(F.min("node").alias("least"))
+    least = cut(names.groupBy("component").agg(F.min("node").alias("least")))  # by itself, so that Spark can split a large component's rows in the join
     return names.join(least, "component").select("node", F.col("least").alias("component"))
