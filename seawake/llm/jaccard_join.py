@@ -10,8 +10,8 @@ the domain, and at last says so by one signature that such sets of a band share.
 
 Equal sets are joined by their hash. A bucket is never expanded into all its pairs: each set is first verified against
 the smallest of the bucket it shares most signatures with; only sets of a bucket that are then still in different
-components are paired, after a test on sizes and on parity sketches that no similar pair can fail. Verification
-intersects the whole shingle sets.
+components are paired, after a test on sizes and on parity sketches that no similar pair can fail, each pair in the
+first bucket that it shares. Verification intersects the whole shingle sets.
 
 A text is words split at ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is one shingle; null
 and blank texts have the empty set and link with nothing, as do rows with a null doc_id. Rows that share a doc_id are
@@ -217,9 +217,12 @@ def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cells: int =
     joined = components(first)
     named = members.select("sig", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     open_ = named.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).filter("lo < hi").select("sig", "rep", "c")
-    open_ = open_.join(facts, "rep")
-    x, y = (open_.select("sig", F.col("rep").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"odd{s}")) for s in "ab")
-    rest = x.join(y, (x.sig == y.sig) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b").distinct()
+    open_ = cut(open_)
+    sigs = open_.groupBy("rep").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
+    open_ = open_.join(sigs, "rep").join(facts, "rep")
+    x, y = (open_.select("sig", F.col("rep").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"odd{s}"), F.col("sigs").alias(f"sigs{s}")) for s in "ab")
+    first_shared = F.array_min(F.array_intersect("sigsa", "sigsb")) == x.sig  # so a pair comes from one bucket only
+    rest = x.join(y, (x.sig == y.sig) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent) & first_shared).select("a", "b")
     rest = cut(rest.join(best, ["a", "b"], "left_anti"))
     second = cut(_verified(docs, rest, shingle, percent))
     copies = of.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
