@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are parsed into DOM trees whose runs of like siblings are folded into one repeated node. In groups of a
-bounded number of pages the folded trees are aligned one after another with a growing template by simple tree matching,
-and each template node counts the texts it has met. Over all groups of a host, a text that fills its slot on nearly
+Pages of a host are parsed into DOM trees whose runs of like siblings are folded into one repeated node, which holds the
+texts and the children of them all. In groups of a bounded number of pages the folded trees are aligned one after
+another with a growing template by simple tree matching, and each template node counts the pages on which it has met
+each text. Over all groups of a host, a text that fills its slot on nearly
 every page is template; slots whose text varies are content. Pages with the same text count once, so copies of one
 article cannot turn it into template. The page's content is its article or main element, or else its body, without
 elements whose tag, class or role marks a menu, header, footer, sidebar, notice, advert, form, script, style or comment
@@ -121,27 +122,53 @@ def roots(node: Node) -> list[Node]:
     return found or [node]
 
 
-def fold(node: Node, inside: bool, path: str = "") -> tuple:
-    """(signature, hash of its own text, folded children) of a kept subtree; inline elements count as text."""
-    path = f"{path}/{node.tag}.{node.marks}"
+def own(node: Node, inside: bool) -> tuple[str, list[Node]]:
+    """Hash of an element's own text, inline elements counted as text, and its kept block elements."""
     text: list[str] = []
-    children: list[tuple] = []
+    blocks: list[Node] = []
     stack = list(reversed(node.children))
     while stack:
         c = stack.pop()
         if isinstance(c, str):
             text.append(c)
+        elif not c.kept(inside):
+            continue
         elif c.tag in BLOCK:
-            if c.kept(inside):
-                f = fold(c, inside, path)
-                if children and children[-1][0] == f[0]:  # a run of like siblings is one repeated node
-                    children[-1] = (f[0], f"{children[-1][1]}{f[1]}"[-400:], children[-1][2] if len(children[-1][2]) >= len(f[2]) else f[2])
-                else:
-                    children.append(f)
-        elif c.kept(inside):
+            blocks.append(c)
+        else:
             stack += reversed(c.children)
     words = " ".join("".join(text).split())
-    return path, xxhash.xxh64_hexdigest(words) if words else "", tuple(children)
+    return xxhash.xxh64_hexdigest(words) if words else "", blocks
+
+
+def fold(node: Node, inside: bool, path: str = "") -> tuple:
+    """(signature, hashes of its own texts, folded children) of a kept subtree. A run of like siblings is one repeated
+    node, with the texts of all of them and the children of all of them."""
+    path = f"{path}/{node.tag}.{node.marks}"
+    text, blocks = own(node, inside)
+    children: list[tuple] = []
+    for c in blocks:
+        f = fold(c, inside, path)
+        if children and children[-1][0] == f[0]:
+            _unite(children[-1], f)
+        else:
+            children.append(f)
+    return path, [text] if text else [], children
+
+
+def _unite(a: tuple, b: tuple) -> None:
+    """Adds a folded sibling `b` to `a`: its texts, and each of its children to a like one, in order where there is one."""
+    a[1].extend(b[1])
+    at = 0
+    for child in b[2]:
+        like = [i for i, x in enumerate(a[2]) if x[0] == child[0]]
+        if not like:
+            a[2].insert(at, child)
+            at += 1
+            continue
+        i = next((i for i in like if i >= at), like[-1])
+        _unite(a[2][i], child)
+        at = max(at, i + 1)
 
 
 class Slot:
@@ -181,7 +208,7 @@ def _align(a: list[Slot], b: tuple) -> tuple[int, list[tuple[int, int]]]:
 def merge(slot: Slot, tree: tuple) -> None:
     """Counts a page's folded tree in the template; what has no counterpart becomes a new slot."""
     slot.pages += 1
-    slot.texts[tree[1]] += 1
+    slot.texts.update({*tree[1]})
     _, pairs = _align(slot.children, tree[2])
     partner = {j: slot.children[i] for i, j in pairs}
     at = 0
@@ -195,7 +222,7 @@ def merge(slot: Slot, tree: tuple) -> None:
 
 def _slots(slot: Slot) -> Iterator[tuple[str, str, int, int]]:
     """(path, text hash, pages with this text, pages with the slot) for each text of each slot."""
-    yield from ((slot.signature, text, n, slot.pages) for text, n in slot.texts.items() if text)
+    yield from ((slot.signature, text, n, slot.pages) for text, n in slot.texts.items())
     for c in slot.children:
         yield from _slots(c)
 
@@ -221,8 +248,10 @@ def text_of(page: str | None, constants: frozenset[tuple[str, str]] = frozenset(
 
     def walk(node: Node, inside: bool, path: str) -> None:
         path = f"{path}/{node.tag}.{node.marks}"
-        if constants and (path, fold(node, inside, path.rpartition("/")[0])[1]) in constants and not any(isinstance(c, Node) and c.tag in BLOCK for c in node.children):
-            return
+        if constants:
+            text, inner = own(node, inside)
+            if not inner and (path, text) in constants:
+                return
         inline(node, inside, path)
 
     def inline(node: Node, inside: bool, path: str) -> None:

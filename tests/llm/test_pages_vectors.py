@@ -36,6 +36,21 @@ def test_template_text_goes_and_content_stays(spark):
     assert html_extract.extract(df).columns == ["page_id", "url", "html", "text"]
 
 
+def test_constants_in_runs_of_like_siblings_go(spark):
+    rng = random.Random(4)
+    words = lambda: " ".join(rng.choice("red green blue cyan pink".split()) for _ in range(9))
+    pages, want = [], []
+    for i in range(40):
+        body = [f"story {i}", *(words() for _ in range(rng.choice([1, 3, 40])))]
+        want.append("\n".join([f"box {i}", *body, f"cell {i}", f"last {i}"]))
+        menu, rows = "".join(f"<li><a href='{k}'>Menu {k}</a>" for k in range(5)), f"<tr><td>Rates<td>cell {i}</tr><tr><td>Fees<td>Same</tr>"
+        boxes = f"<div><p>box {i}</p></div><div><p>Sign up now</p><ul><li>Shop</li></ul></div>"
+        pages.append((i, f"http://h/{i}", f"<body><ul>{menu}</ul>{boxes}<p>Notice to all</p>{''.join(f'<p>{b}</p>' for b in body)}<p>All rights</p><table>{rows}</table><p>last {i}</p></body>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert [got[i] for i in range(40)] == want
+
+
 def test_copies_of_an_article_are_no_template(spark):
     pages = [(i, "http://h/", f"<nav>{i}</nav><article><h1>Same</h1><p>Same text</p></article>") for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
