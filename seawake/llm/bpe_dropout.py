@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 A text becomes byte-pair merges of a public vocabulary: the best-scored candidate merge is taken first, the leftmost on
-ties. When a candidate comes up, a keyed hash of seed, variant, word, place and merged piece decides whether it is skipped.
-A variant is chosen by a keyed hash of the whole text, so equal texts get equal segmentations and repeated runs agree
-on any cluster. With `dropout=0` the result is the vocabulary's own encoding.
+ties. When a candidate comes up, a keyed hash of seed, text, place of the word in the text, place in the word and merged
+piece decides whether it is skipped, so every occurrence of a word is dealt with by itself. Equal texts get equal
+segmentations and repeated runs agree on any cluster. With `dropout=0` the result is the vocabulary's own encoding.
+
+What a worker keeps of a word is not a segmentation but the candidates that come up after each series of skips: a tree
+that grows by the skips that are met. An occurrence draws all its skips anew and is led by them through the tree.
 
 Lossless: unknown characters and a literal U+2581 become byte pieces, so decoding always gives the text back.
-Null texts give null; an empty text gives no ids. A worker keeps the segmentations of up to `cache` words, those of the
-last words seen; no piece spans two words, so long texts need no more than their own length. Decoding looks up the bytes
+Null texts give null; an empty text gives no ids. A worker keeps up to about `cache` nodes of such trees and then starts
+anew; no piece spans two words, so long texts need no more than their own length. Decoding looks up the bytes
 of all ids of a batch at once, a bounded number of ids at a time.
 """
 
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +28,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from seawake.llm.vocab import MODEL, SPACE, pieces, read_model
+from seawake.llm.words import mix
 
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 NEVER = float("inf")
 MASK = (1 << 64) - 1
 SHORT = 48
 WIDE = 1 << 20
-#: Words whose segmentation a worker keeps, and ids that it decodes at once.
-CACHE, AT_ONCE = 400_000, 1 << 18
+#: Nodes that a worker keeps, ids that it decodes at once and words that it encodes at once.
+CACHE, AT_ONCE, WORDS = 400_000, 1 << 18, 1 << 16
+#: No word of up to `SHORT` characters meets so many candidates: each merge offers at most two new ones.
+STEPS = 256
 
 
 class Encoder:
     """Encodes and decodes texts; `dropout` is the chance that a candidate merge is skipped."""
 
-    def __init__(self, model: bytes, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = CACHE) -> None:
+    def __init__(self, model: bytes, dropout: float = 0.1, seed: int = 0, cache: int = CACHE) -> None:
         normal, self.of_byte = pieces(model)
         self.id = {p: i for p, (i, _) in normal.items()}
         self.rank = {p: -s for p, (_, s) in normal.items()}
@@ -47,9 +53,8 @@ class Encoder:
         self.size[list(text)] = [len(x) for x in text.values()]
         self.begin = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(text[i] for i in sorted(text)), np.uint8)
-        self.limit, self.seed, self.variants, self.most = int(dropout * (1 << 32)), seed, variants if dropout else 1, cache
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.limit, self.seed, self.most = int(dropout * (1 << 32)), seed, cache
+        self._forget()
         self.known = {p for p in self.id if len(p) == 1}
         self.of_char = np.full(0x110000, -1, np.int64)
         for p, i in self.id.items():
@@ -67,8 +72,15 @@ class Encoder:
 
     def _skips(self, key: np.ndarray, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """`_skip` for arrays."""
+        return self._drawn(key ^ self._codes(at, piece))
+
+    @staticmethod
+    def _codes(at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        u = np.uint64
+        return at.astype(u) * u(0x9E3779B97F4A7C15) + piece.astype(u) * u(0xC2B2AE3D27D4EB4F)
+
+    def _drawn(self, x: np.ndarray) -> np.ndarray:
         u = np.uint64
-        x = key ^ (at.astype(u) * u(0x9E3779B97F4A7C15) + piece.astype(u) * u(0xC2B2AE3D27D4EB4F))
         x = (x ^ (x >> u(32))) * u(0xD6E8FEB86659FD93)
         return ((x ^ (x >> u(32))) & u(0xFFFFFFFF)) < u(self.limit)
 
@@ -80,8 +92,12 @@ class Encoder:
         return np.where(real, self.pair_rank[at], NEVER), self.pair_id[at]
 
     def merge_many(self, words: list[str], keys: np.ndarray) -> list[bytes]:
-        """What `merge` gives, as the bytes of its ids, for many words of known characters at once: every round takes one candidate of
-        each word."""
+        """What `merge` gives, as the bytes of its ids, for many words of known characters at once."""
+        return self._rounds(words, lambda _, rows, i, piece: self._skips(keys[rows], i, piece))
+
+    def _rounds(self, words: list[str], skips: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> list[bytes]:
+        """The merges of many words of known characters: every round takes one candidate of each word, and
+        `skips(round, words, places, pieces)` says which of them are skipped."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         n, width = len(words), int(size.max())
         s = np.full((n, width + 1), -1, np.int64)
@@ -89,7 +105,7 @@ class Encoder:
         right = np.tile(np.arange(1, width + 2), (n, 1))
         left = np.tile(np.arange(-1, width), (n, 1))
         cost, to = self._offers(s[:, :-1], s[:, 1:])
-        rows = np.arange(n)
+        rows, step = np.arange(n), 0
         while len(rows):
             part = cost[rows]
             i = part.argmin(1)
@@ -97,7 +113,7 @@ class Encoder:
             rows, i = rows[live], i[live]
             piece, r = to[rows, i], rows
             if self.limit:
-                skip = self._skips(keys[rows], i, piece)
+                skip, step = skips(step, rows, i, piece), step + 1
                 cost[rows[skip], i[skip]] = NEVER
                 r, i, piece = rows[~skip], i[~skip], piece[~skip]
             j = right[r, i]
@@ -164,8 +180,9 @@ class Encoder:
             offer(i, right[i])
         return [x for x in s if x is not None]
 
-    def _key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word, seed=(self.seed * 1_000_003 + variant) & MASK) if self.limit else 0
+    def keys(self, text: str, n: int) -> np.ndarray:
+        """The skip keys of a text's `n` words, by their places."""
+        return mix(np.uint64(xxhash.xxh64_intdigest(text, seed=self.seed & MASK)) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def _ids(self, symbols: list[str]) -> bytes:
         ids: list[int] = []
@@ -176,22 +193,98 @@ class Encoder:
                 ids += [self.of_byte[b] for b in p.encode()]
         return np.array(ids, "<i4").tobytes()
 
-    def _learn(self, words: set[str], variant: int) -> dict[str, bytes]:
-        """Segmentations of words that the cache lacks."""
-        classes: dict[int, list[str]] = {}
-        out: dict[str, bytes] = {}
+    def _forget(self) -> None:
+        """Empties the trees. A node has a word, the steps skipped so far, the ids if nothing more is skipped and the
+        codes of the candidates until then; `base` is the step of the first of them."""
+        self.root: dict[str, int] = {}
+        self.child: dict[int, int] = {}
+        self.word: list[str] = []
+        self.skipped: list[tuple[int, ...]] = []
+        self.out: list[bytes] = []
+        self.nodes, self.codes, self.n_codes = np.zeros((1024, 3), np.int64), np.zeros(4096, np.uint64), 0
+
+    def _add(self, words: list[str], skipped: list[tuple[int, ...]], out: list[bytes], codes: np.ndarray, count: np.ndarray) -> range:
+        """New nodes; `codes` holds their candidates one after another."""
+        a, b = len(self.out), len(self.out) + len(words)
+        self.word += words
+        self.skipped += skipped
+        self.out += out
+        if b > len(self.nodes):
+            self.nodes = np.concatenate((self.nodes[:a], np.zeros((2 * b - a, 3), np.int64)))
+        self.nodes[a:b, 0] = self.n_codes + np.cumsum(count) - count
+        self.nodes[a:b, 1] = count
+        self.nodes[a:b, 2] = [s[-1] + 1 if s else 0 for s in skipped]
+        if (end := self.n_codes + len(codes)) > len(self.codes):
+            self.codes = np.concatenate((self.codes[: self.n_codes], np.zeros(2 * end - self.n_codes, np.uint64)))
+        self.codes[self.n_codes : end], self.n_codes = codes, end
+        return range(a, b)
+
+    def _learn(self, todo: list[tuple[str, tuple[int, ...]]]) -> np.ndarray:
+        """The new nodes of words of known characters under series of skipped steps."""
+        classes: dict[int, list[int]] = {}
+        for k, (w, _) in enumerate(todo):
+            classes.setdefault((len(w) + 3) >> 2, []).append(k)
+        at = np.empty(len(todo), np.int64)
+        for some in classes.values():
+            for part in (some[i : i + 4096] for i in range(0, len(some), 4096)):
+                words, skipped = [todo[k][0] for k in part], [todo[k][1] for k in part]
+                forced = np.zeros((len(part), STEPS), bool)
+                for r, steps in enumerate(skipped):
+                    forced[r, list(steps)] = True
+                base, met = np.array([s[-1] if s else -1 for s in skipped]), [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+
+                def skips(step: int, rows: np.ndarray, i: np.ndarray, piece: np.ndarray, base: np.ndarray = base, forced: np.ndarray = forced, met: list = met) -> np.ndarray:
+                    new = base[rows] < step
+                    met.append((rows[new], self._codes(i[new], piece[new])))
+                    return forced[rows, step]
+
+                out = self._rounds(words, skips)
+                rows, codes = (np.concatenate(x) for x in zip(*met, strict=True))
+                at[part] = self._add(words, skipped, out, codes[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(part)))
+        return at
+
+    def _roots(self, words: set[str]) -> None:
+        """Adds the roots of new words. Words that are long or have unknown characters get one only if nothing in them
+        depends on skips; the others are marked by -1 and merged each time."""
+        easy, fixed = [], []
         for w in words:
-            if len(w) <= SHORT and self.known.issuperset(w):
-                classes.setdefault((len(w) + 3) >> 2, []).append(w)
+            if w and len(w) <= SHORT and self.known.issuperset(w):
+                easy.append(w)
+            elif not self.limit or not any(a + b in self.rank for a, b in zip(w, w[1:], strict=False)):
+                fixed.append(w)
             else:
-                out[w] = self._ids(self.merge(w, self._key(w, variant)))
-        hashed, seed = xxhash.xxh64_intdigest, (self.seed * 1_000_003 + variant) & MASK
-        for some in classes.values():
-            for i in range(0, len(some), 4096):
-                part = some[i : i + 4096]
-                keys = np.array([hashed(w, seed) for w in part], np.uint64) if self.limit else np.zeros(len(part), np.uint64)
-                out.update(zip(part, self.merge_many(part, keys), strict=True))
-        return out
+                self.root[w] = -1
+        self.root.update(zip(easy, self._learn([(w, ()) for w in easy]).tolist(), strict=True))
+        literal = np.array([self.of_byte[b] for b in SPACE.encode()], "<i4").tobytes()
+        ids = [self._ids(self.merge(w, 0)) if w else literal for w in fixed]
+        self.root.update(zip(fixed, self._add(fixed, [()] * len(fixed), ids, np.empty(0, np.uint64), np.zeros(len(fixed), np.int64)), strict=True))
+
+    def _segment(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """The bytes of the ids of each occurrence of a word, under its key."""
+        new = {*words}
+        if len(self.out) + len(new.difference(self.root)) > self.most:
+            self._forget()
+        self._roots(new.difference(self.root))
+        node = np.fromiter(map(self.root.__getitem__, words), np.int64, len(words))
+        live = np.flatnonzero(node >= 0)
+        while self.limit:
+            live = live[self.nodes[node[live], 1] > 0]
+            if not len(live):
+                break
+            first, count, base = self.nodes[node[live]].T
+            end = np.cumsum(count)
+            x = np.repeat(keys[live], count) ^ self.codes[np.repeat(first - end + count, count) + np.arange(end[-1])]
+            hit = np.flatnonzero(self._drawn(x))
+            owner = np.searchsorted(end, hit, side="right")
+            once = np.diff(owner, prepend=-1) > 0  # the first skip of each
+            hit, owner = hit[once], owner[once]
+            branch = node[live[owner]] * STEPS + base[owner] + hit - (end - count)[owner]
+            some, which = np.unique(branch, return_inverse=True)
+            missing = [b for b in some.tolist() if b not in self.child]
+            self.child.update(zip(missing, self._learn([(self.word[b // STEPS], (*self.skipped[b // STEPS], b % STEPS)) for b in missing]).tolist(), strict=True))
+            live = live[owner]
+            node[live] = np.fromiter(map(self.child.__getitem__, some.tolist()), np.int64, len(some))[which]
+        return [self.out[n] if n >= 0 else self._ids(self.merge(words[k], int(keys[k]))) for k, n in enumerate(node.tolist())]
 
     def chunks(self, text: str) -> list[str]:
         """The words of a text, each with the spaces before it; a literal U+2581 stands for itself as a chunk of its own."""
@@ -204,19 +297,17 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes | None]:
         """The bytes of the ids of each text; null for null, none for an empty text."""
-        split = [self.chunks(t) if t else [] for t in texts]
-        variant = [xxhash.xxh64_intdigest(t, seed=self.seed & MASK) % self.variants if t else 0 for t in texts]
-        for v, cache in enumerate(self.cache):
-            words = set().union(*(c for c, w in zip(split, variant, strict=True) if w == v))
-            new = words.difference(cache)
-            if len(cache) + len(new) > self.most // (2 * self.variants):  # the words at hand stay, and the last ones for a while
-                self.older[v], new = cache, words
-                cache = self.cache[v] = {}
-            older = self.older[v]
-            cache.update((w, older[w]) for w in new.intersection(older))
-            cache.update(self._learn(new.difference(older, [""]), v))
-            cache[""] = np.array([self.of_byte[b] for b in SPACE.encode()], "<i4").tobytes()
-        return [None if t is None else b"".join(map(self.cache[v].__getitem__, c)) for t, c, v in zip(texts, split, variant, strict=True)]
+        out: list[bytes | None] = []
+        at, split, keys = 0, [self.chunks(t) if t else [] for t in texts], []
+        for t, c in zip(texts, split, strict=True):
+            keys.append(self.keys(t or "", len(c)))
+        flat, key, rows = [w for c in split for w in c], np.concatenate([*keys, np.empty(0, np.uint64)]), []
+        for i in range(0, len(flat), WORDS):
+            rows += self._segment(flat[i : i + WORDS], key[i : i + WORDS])
+        for t, c in zip(texts, split, strict=True):
+            out.append(None if t is None else b"".join(rows[at : at + len(c)]))
+            at += len(c)
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
@@ -259,10 +350,10 @@ def _lists(rows: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(null))
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, cache: int = CACHE) -> DataFrame:
+def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0, cache: int = CACHE) -> DataFrame:
     """`docs` with a column `ids` (array of int) that replaces one of that name; one narrow pass, no shuffle."""
     docs = docs.drop("ids")
-    at, settings = docs.columns.index("text"), (read_model(model), dropout, seed, variants, cache)
+    at, settings = docs.columns.index("text"), (read_model(model), dropout, seed, cache)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(*settings)
@@ -298,12 +389,12 @@ def decode(df: DataFrame, *, model: str = MODEL) -> DataFrame:
     return df.mapInArrow(task, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def round_trip(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
+def round_trip(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """Ids, their number and whether decoding them gives the text back, per document; null texts give null ids.
 
     Texts are encoded and the ids decoded in the same pass, so neither ids nor decoded texts move between processes twice.
     """
-    settings = (read_model(model), dropout, seed, variants, CACHE)
+    settings = (read_model(model), dropout, seed, CACHE)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(*settings)

@@ -295,6 +295,18 @@ def test_both_ways_to_merge_agree():
         assert one == e._merge_long(w, k) and e._ids(one) == e.merge_many([w, "ab"], np.array([k, 1], np.uint64))[0]
 
 
+def test_every_occurrence_draws_its_own_skips(sample):
+    e, m = bpe_dropout.Encoder(vocab.read_model(), 0.1, 3), 1500
+    for text in ("segmentation " * m, "日本語the " * m):
+        words = e.chunks(text)
+        one = [e._ids(e.merge(w, int(k))) for w, k in zip(words, e.keys(text, len(words)), strict=True)]
+        assert e.encode_many([text])[0] == b"".join(one) and len({*one}) > 4  # the segmentations of a word in one text
+    texts = [*sample[:30], *(x for x in ODD if x)]
+    small = bpe_dropout.Encoder(vocab.read_model(), 0.1, 3, 50)
+    whole = e.encode_many(texts)
+    assert whole == [small.encode_many([t])[0] for t in texts] and [e.decode(np.frombuffer(x, "<i4").tolist()) for x in whole] == texts
+
+
 # ---- language
 
 
