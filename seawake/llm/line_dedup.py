@@ -7,6 +7,11 @@ fingerprint, and so is a single line of `min_words`; with the defaults every sha
 has one. Each fingerprint's first place (by doc_id, then text hash, then line) is joined to its later places; the match
 is extended both ways, line by line, and a later run of at least `min_words` words is deleted with the blank lines in it.
 
+The first place need not be the one with which a later place shares the most. So at fingerprints of three places or more
+the later places also give their shortest runs of `min_words` words (each as short as its first or as its last line
+allows) that hold the fingerprint and are not within the match just found. Two later places that share such a run both
+give it, since the match of neither holds it; these runs are joined by their hashes, and all but the first are deleted.
+
 Null texts stay null, empty texts empty; a text whose every line repeats becomes empty. A null doc_id comes first.
 Repeated rows (same id, same text) are one document and do not delete each other's lines; rows that share only the id
 are two documents. Lines longer than the rest need no special care: a line is one hash.
@@ -55,15 +60,23 @@ def fingerprints(hashes: np.ndarray, words: list[int], gram: int, window: int, m
     return found
 
 
-def _runs(mine: np.ndarray, other: np.ndarray, shift: int, anchors: list[int], words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Maximal matching runs through the anchors, as first and last position; `shift` is the distance to the other place."""
+def _matches(mine: np.ndarray, other: np.ndarray, shift: int, anchors: list[int]) -> list[tuple[int, int]]:
+    """The maximal matching run through each anchor, as first and last position; `shift` is the distance to the other place."""
     low, high = max(0, shift), min(len(mine), len(other) + shift)
     equal = np.zeros(len(mine) + 2, np.int8)
     equal[low + 1 : high + 1] = mine[low:high] == other[low - shift : high - shift]
     edge = np.diff(equal)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-    hit = np.unique(np.searchsorted(starts, np.array(anchors), side="right") - 1)
-    return [(int(starts[k]), int(ends[k])) for k in hit if words[starts[k] : ends[k] + 1].sum() >= min_words]
+    return [(int(starts[k]), int(ends[k])) for k in np.searchsorted(starts, np.array(anchors, np.int64), side="right") - 1]
+
+
+def _shortest(words: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The runs of at least `least` words that are the shortest from their first line or up to their last."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    ends = np.searchsorted(total, total[:-1] + least)  # line ends[i] - 1 is the last of the run from line i
+    starts = np.searchsorted(total, total[1:] - least, side="right") - 1
+    found = {(i, e - 1) for i, e in enumerate(ends.tolist()) if e < len(total)}
+    return sorted(found | {(s, i) for i, s in enumerate(starts.tolist()) if s >= 0})
 
 
 def sequences(docs: DataFrame, gram: int, window: int, min_words: int) -> DataFrame:
@@ -89,23 +102,38 @@ def repeated_runs(docs: DataFrame, *, gram: int = 2, window: int = 2, min_words:
     seq = cut(sequences(docs, gram, window, min_words))
     prints = seq.select("key", F.inline("prints"))
     place = F.struct("key", "pos")
-    first = prints.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
-    later = prints.join(first, "print").filter(place > F.col("first")).select("key", "pos", F.col("first.key").alias("source"), (F.col("pos") - F.col("first.pos")).alias("shift"))
-    pairs = later.groupBy("key", "source", "shift").agg(F.collect_set("pos").alias("anchors"))
+    first = prints.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("last"), (F.count("*") > 2).alias("more")).filter("first <> last").drop("last")
+    later = prints.join(first, "print").filter(place > F.col("first")).select("key", "pos", F.col("first.key").alias("source"), (F.col("pos") - F.col("first.pos")).alias("shift"), "more")
+    pairs = later.groupBy("key", "source", "shift").agg(F.collect_set("pos").alias("anchors"), F.collect_set(F.when(F.col("more"), F.col("pos"))).alias("open"))
     other = seq.select(F.col("key").alias("source"), F.col("hashes").alias("theirs"))
-    both = pairs.join(seq.select("key", "hashes", "words", "at"), "key").join(other, "source").select("key", "hashes", "theirs", "shift", "anchors", "words", "at")
+    both = pairs.join(seq.select("key", "hashes", "words", "at"), "key").join(other, "source").select("key", "hashes", "theirs", "shift", "anchors", "words", "at", "open")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, first, last = [], [], []
-            for i, (mine, theirs, shift, anchors, words, at) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                for a, b in _runs(np.array(mine), np.array(theirs), shift, anchors, np.array(words), min_words):
-                    keys.append(i)
-                    first.append(at[a])
-                    last.append(at[b])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["key", "first", "last"])
-
-    runs = both.mapInArrow(task, "key struct<i:bigint,h:bigint>, first int, last int")
+            found = []
+            for i, (mine, theirs, shift, anchors, words, at, open_) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                mine, words = np.array(mine), np.array(words)
+                matches = dict(zip(anchors, _matches(mine, np.array(theirs), shift, anchors), strict=True))
+                found += [(i, None, None, at[a], at[b]) for a, b in {*matches.values()} if words[a : b + 1].sum() >= min_words]
+                if open_ and any(a > 0 or b < len(words) - 1 for a, b in (matches[p] for p in open_)):
+                    runs = _shortest(words, min_words)
+                    begins, ends = (np.array([r[k] for r in runs], np.int64) for k in (0, 1))
+                    wanted = np.zeros(len(runs), bool)
+                    for p in open_:
+                        a, b = matches[p]
+                        wanted |= (begins <= p) & (p <= ends) & ((begins < a) | (ends > b))
+                    for a, b in (runs[k] for k in np.flatnonzero(wanted)):
+                        found.append((i, xxhash.xxh64_intdigest(mine[a : b + 1].tobytes()) - (1 << 63), a, at[a], at[b]))
+            columns = [[x[k] for x in found] for k in range(5)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            index, *rest = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), *rest], ["key", "print", "pos", "first", "last"])
+
+    found = cut(both.mapInArrow(task, "key struct<i:bigint,h:bigint>, print bigint, pos int, first int, last int"))
+    runs = found.filter("print IS NULL").select("key", "first", "last")
+    shared = found.filter("print IS NOT NULL")
+    least = shared.groupBy("print").agg(F.min(place).alias("begin"), F.max(place).alias("end")).filter("begin <> end").drop("end")
+    runs = runs.unionByName(shared.join(least, "print").filter(place > F.col("begin")).select("key", "first", "last"))
     return runs.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
 

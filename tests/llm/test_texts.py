@@ -71,6 +71,22 @@ def test_line_dedup_leaves_no_run_and_no_loss(spark):
     assert {i for i, r in got.items() if r.n_removed} == {i for i, _, _ in repeats(list(enumerate(docs)))}
 
 
+def test_runs_shared_behind_a_shorter_first_copy_go(spark):
+    rng, docs = random.Random(11), []
+    for _ in range(25):
+        run = lines(rng, rng.choice([2, 4, 6]), rng.choice([9, 16, 30]))
+        for _ in range(rng.randint(2, 3)):  # parts of a run, some too short to be repeats
+            a = rng.randrange(len(run))
+            docs.append(lines(rng, 2) + run[a : a + rng.randint(1, 3)] + lines(rng, 2))
+        docs += [lines(rng, rng.randint(0, 2)) + run + lines(rng, rng.randint(0, 2)) for _ in range(3)]
+    docs = ["\n".join(d) for d in docs]
+    gone = defaultdict(set)
+    for i, p, n in repeats(list(enumerate(docs))):
+        gone[i].update(range(p, p + n))
+    got = by_id(line_dedup.deduplicated(table(spark, docs)))
+    assert {i: r.text for i, r in got.items()} == {i: "\n".join(x for p, x in enumerate(d.split("\n")) if p not in gone[i]) for i, d in enumerate(docs)}
+
+
 def test_winnowing_guarantee():
     rng = random.Random(1)
     h = np.array([rng.getrandbits(64) for _ in range(60)], np.uint64)
