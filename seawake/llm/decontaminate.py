@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seawake.llm.words import ALNUM
+from seawake.llm.words import ALNUM, cut, row_key
 
 WORD = regex.compile(rb"[0-9A-Za-z\x80-\xff]+")
 SAMPLE = 8
@@ -205,13 +205,18 @@ def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_tokens: i
         yield shard.results(), texts
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases]:
-    """The items in blocks of about `block_bytes`: what is shipped to the tasks at once does not grow with the table."""
+def _each_block(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[int, Iterator[Phrases]]:
+    """The number of blocks of about `block_bytes` and, one at a time, the items of each: what is shipped to the tasks at
+    once does not grow with the table."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // block_bytes + 1
     part = F.pmod(F.xxhash64("item"), F.lit(n))
-    return [Phrases([(r.item, r.text) for r in items.filter(part == i).collect()], window) for i in range(n)]
+    return n, (Phrases([(r.item, r.text) for r in items.filter(part == i).collect()], window) for i in range(n))
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases]:
+    return list(_each_block(benchmark, window, block_bytes)[1])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_tokens: int = 1 << 19, block_bytes: int = 8 << 20) -> DataFrame:
@@ -290,34 +295,80 @@ def cut_runs(text: bytes, runs: list[int]) -> str:
     return b" ".join(x for x in (*out, text[last:].lstrip()) if x).decode()
 
 
+def _merged(runs: list[int]) -> list[int]:
+    """Runs in any order as sorted runs that do not touch."""
+    out: list[int] = []
+    for a, b in sorted(zip(runs[::2], runs[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+def _cut_batch(batch: pa.RecordBatch, texts: list[bytes | None], runs: list[list[int]], at: int, counted: int | None) -> pa.RecordBatch:
+    """The batch with the runs cut from its texts, and `n_chars` after them."""
+    arrays = list(batch.columns)
+    if any(runs):
+        new = [cut_runs(t, r) if r else t and t.decode() for t, r in zip(texts, runs, strict=True)]
+        new = ["" if t == b"" else t for t in new]
+        arrays[at] = pa.array(new, pa.string())
+        if counted is not None:
+            old = arrays[counted].to_pylist()
+            arrays[counted] = pa.array([len(t) if r else o for t, r, o in zip(new, runs, old, strict=True)], arrays[counted].type)
+    return pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+
+
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_tokens: int = 1 << 19, block_bytes: int = 8 << 20) -> DataFrame:
     """`docs` with the benchmark passages cut from `text`; all columns stay, `n_chars` follows the text if there is one.
 
-    Rows without a passage, null texts among them, stay as they are. Each block of items is one narrow pass.
+    Rows without a passage, null texts among them, stay as they are. One block of items is one narrow pass. Of several
+    blocks each is searched for in the texts as they were, one after another, and what it found is kept by row key; then
+    the runs of all blocks are merged and cut at once.
     """
     columns = docs.columns
-    for phrases in _blocks(benchmark, window, block_bytes):
-        at = columns.index("text")
-        counted = columns.index("n_chars") if "n_chars" in columns else None
+    at = columns.index("text")
+    counted = columns.index("n_chars") if "n_chars" in columns else None
+    n, blocks = _each_block(benchmark, window, block_bytes)
 
-        def task(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+    def whole(batch: pa.RecordBatch, texts: pa.Array, phrases: Phrases) -> tuple[list, list]:
+        rows, raw = [], []
+        for some, of in _shards(iter([pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), texts], ["doc_id", "text"])]), phrases, shard_tokens):
+            rows += some
+            raw += of
+        return rows, raw
+
+    if n == 1:
+        phrases = next(blocks)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, texts = whole(batch, batch.column(at), phrases)
+                yield _cut_batch(batch, texts, [r[2] for r in rows], at, counted)
+
+        return docs.mapInArrow(task, docs.schema)
+
+    keyed, found = docs.select(row_key().alias("key"), "text"), None
+    for phrases in blocks:
+
+        def search(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, texts = [], []
-                for found, raw in _shards(iter([pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(at)], ["doc_id", "text"])]), phrases, shard_tokens):
-                    rows += found
-                    texts += raw
-                arrays = list(batch.columns)
-                if any(r[2] for r in rows):
-                    new = [cut_runs(t, r[2]) if r[2] else t and t.decode() for t, r in zip(texts, rows, strict=True)]
-                    new = ["" if t == b"" else t for t in new]
-                    arrays[at] = pa.array(new, pa.string())
-                    if counted is not None:
-                        old = arrays[counted].to_pylist()
-                        arrays[counted] = pa.array([len(t) if r[2] else o for t, r, o in zip(new, rows, old, strict=True)], arrays[counted].type)
-                yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
-
-        docs = docs.mapInArrow(task, docs.schema)
-    return docs
+                runs = [r[2] for r in whole(batch, batch.column(1), phrases)[0]]
+                some = pa.array([i for i, r in enumerate(runs) if r], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([r for r in runs if r], pa.list_(pa.int32()))], ["key", "runs"])
+
+        part = cut(keyed.mapInArrow(search, "key struct<i:bigint,h:bigint>, runs array<int>").distinct())  # so that the block can go
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("the runs")).withColumnRenamed("key", "the key")
+    joined = docs.withColumn("row key", row_key()).join(found, F.col("row key") == F.col("the key"), "left").select(*columns, "the runs")
+
+    def cut_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [_merged(r or []) for r in batch.column(len(columns)).to_pylist()]
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            yield _cut_batch(pa.RecordBatch.from_arrays(batch.columns[:-1], columns), texts, runs, at, counted)
+
+    return joined.mapInArrow(cut_once, docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

@@ -165,6 +165,19 @@ def test_decontamination(spark, setting):
     assert not decontaminate.digest(decontaminate.find_leaks(d, b.limit(0))).filter("contaminated").count()
 
 
+def test_removal_does_not_depend_on_the_blocks(spark):
+    w = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(w[9 * i : 9 * i + 14])) for i in range(30)]  # every item overlaps the next
+    docs = [" ".join(["before", *w[9 * a : 9 * a + n], "after"]) for a, n in [(0, 40), (3, 12), (7, 100), (20, 23), (1, 5)]] + [None, "", f"x {items[2][1]} y"]
+    d = table(spark, docs)
+    d = d.unionByName(d.filter("doc_id in (0, 4)"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(tuple(r) for r in decontaminate.remove_leaks(d, b, **s).select("doc_id", "text", "n_chars").collect()) for s in ({}, {"block_bytes": 200}))
+    assert one == many and len(one) == 10 and [r[1] for r in one if r[0] == 7] == ["x y"]
+    left = decontaminate.find_leaks(d, b, block_bytes=200).filter("size(hits) > 0").select("doc_id").distinct().count()
+    assert left == sum(r[1] != docs[r[0]] for r in {*one})
+
+
 # ---- quality
 
 
