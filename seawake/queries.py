@@ -674,8 +674,9 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def destination_predictions(spark, sf):
-    rows = learning.frequent_classes(_features(spark, sf).withColumnRenamed("port_key", "destination_norm"), "destination_norm", most=8)
-    model = learning.train_destination(learning.time_split(rows, ["timestamp", "position_id"]).filter("is_train").drop("position", "is_train"), trees=8)
+    rows = _features(spark, sf).withColumnRenamed("port_key", "destination_norm")
+    known = learning.frequent_classes(rows, "destination_norm")
+    model = learning.train_destination(learning.time_split(known, ["timestamp", "position_id"]).filter("is_train").drop("position", "is_train"))
     return learning.top_classes(model.transform(rows), list(model.stages[0].labels), 3).select("position_id", F.array_join(F.transform("top", lambda t: t["name"]), ",").alias("top"))
 
 

@@ -47,3 +47,10 @@ def test_twin(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_every_position_has_a_destination(spark):
+    from seawake.sources import bindings as B
+
+    got = QUERIES["destination_predictions"](spark, SF).collect()
+    assert len(got) == B.positions(spark, SF).count() and len({n for r in got for n in r.top.split(",")}) > 8
