@@ -8,10 +8,15 @@ cells differ; a set has a signature for every group and every choice of the othe
 signature for certain, whatever the data. (A set with too many empty choices for that tries further partitions of
 the domain, and at last says so by one signature that such sets of a band share.)
 
-Equal sets are joined by their hash. A bucket is never expanded into all its pairs: each set is first verified against
-the smallest of the bucket it shares most signatures with; only sets of a bucket that are then still in different
-components are paired, after a test on sizes and on parity sketches that no similar pair can fail, each pair in the
-first bucket that it shares. Verification intersects the whole shingle sets.
+Equal sets are joined by their hash, and only one document of each set is signed. A signature's smallest and largest
+document are combined before the shuffle; where there are just the two they are a pair, and only signatures of three and
+more are looked up once more. No bucket is expanded into all its pairs: each set is first verified against the member
+of its buckets that has most buckets in common with others; only sets of a bucket that are then still in different
+components are paired, after a test on sizes and on parity sketches that no similar pair can fail, and buckets of equal
+members count once. Verification intersects the whole shingle sets, which are written once for all candidates.
+
+The links inside a component are counted block against block, as products of incidence matrices, so that a component of
+any size is spread over many tasks and no pair of it is ever written.
 
 A text is words split at ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is one shingle; null
 and blank texts have the empty set and link with nothing, as do rows with a null doc_id. Rows that share a doc_id are
@@ -24,8 +29,9 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seawake.llm.components import components
@@ -33,12 +39,14 @@ from seawake.llm.words import U64, cut, mix, shingles
 
 #: A sketch has at least so many bits.
 SKETCH_BITS = 512
-#: A shingle that at least one in so many documents has is common.
-COMMON = 256
+#: A shingle that at least one in so many documents has is common; there are at most so many times the mean set size.
+COMMON = 1024
 #: Partitions of the domain that a set tries in turn.
 PARTITIONS = 6
-#: Up to so many ids (8 bytes each) are broadcast to pick the texts to verify; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many hashes (8 bytes each) are shipped to the tasks to pick rows by; beyond, rows are joined by a shuffle.
+SHIPPED = 1_000_000
+#: A block of a component has about so many sets, or so many shingles if they are large.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18
 
 
 class Bands:
@@ -125,43 +133,68 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-PROFILE = "doc_id long, n long, set long, odd array<long>"
+PROFILE = "doc_id long, h long, n long, set long, odd array<long>"
+
+
+def _set_hash(s: np.ndarray) -> int:
+    return int((mix(s).sum() if len(s) else U64(0)).view(np.int64))
+
 
+def _row_hash(doc_id: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """A 64-bit name of a document's set."""
+    return mix(mix(doc_id.astype(np.int64).view(U64)) ^ whole.astype(np.int64).view(U64))
 
-def _profiles(docs: DataFrame, shingle: int, heavy: bool = False) -> DataFrame:
-    """(doc_id, n, set, odd) of every row: size, hash and parity sketch of its shingle set.
 
-    With `heavy` there are also rows with a null doc_id: shingles (`set`) with the number of rows (`n`) that have them,
-    wherever that is at least one in `COMMON` of a batch. What is so common overall is so in some batch.
+def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, h, n, set, odd) of every row: text hash, and size, hash and parity sketch of its shingle set.
+
+    There are also rows without a sketch: shingles (`set`) with the number of rows (`n`) that have them, wherever that is
+    at least one in `COMMON` of a batch. What is so common overall is so in some batch.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "h", "n", "set", "odd"]
         for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, len(batch), 2048)):
-                sets = [shingles(t.as_py(), shingle) for t in part.column(1).cast(pa.binary())]
-                whole = [int((mix(s).sum() if len(s) else U64(0)).view(np.int64)) for s in sets]
-                rows = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(rows, ["doc_id", "n", "set", "odd"])
-                if heavy:
-                    h, n = np.unique(np.concatenate(sets), return_counts=True)
-                    often = n >= max(2, len(sets) // COMMON)
-                    h, n = h[often].view(np.int64), n[often]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(n, pa.int64()), pa.array(h), pa.nulls(len(h), pa.list_(pa.int64()))], ["doc_id", "n", "set", "odd"])
+            for part in (batch.slice(i, 2 * COMMON) for i in range(0, len(batch), 2 * COMMON)):
+                sets = [shingles(t.as_py(), shingle) for t in part.column(2).cast(pa.binary())]
+                rows = [*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_set_hash, sets), pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(rows, names)
+                h, n = np.unique(np.concatenate(sets), return_counts=True)
+                often = n >= max(2, len(sets) // COMMON)
+                h, n = h[often].view(np.int64), n[often]
+                none = pa.nulls(len(h), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(n, pa.int64()), pa.array(h), pa.nulls(len(h), pa.list_(pa.int64()))], names)
+
+    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(task, PROFILE)
 
-    return docs.select("doc_id", "text").mapInArrow(task, PROFILE)
 
+def _hashes(df: DataFrame, column: str) -> np.ndarray:
+    """A column of a table of at most `SHIPPED` rows, sorted."""
+    return np.sort(df.select(column).toArrow().column(0).to_numpy().astype(np.int64).view(U64))
 
-def _postings(docs: DataFrame, hot: np.ndarray, shingle: int, percent: int, cells: int, spoiled: int) -> DataFrame:
-    """(sig, doc_id) for every signature of every row."""
+
+def _in(some: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of `x` are in the sorted `some`."""
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(len(x), bool)
+
+
+def _postings(docs: DataFrame, hot: np.ndarray, shingle: int, percent: int, cells: int, spoiled: int, without: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+    """(sig, doc_id) for every signature, or for those in `only`, of every row whose set is not in `without`."""
     bands = Bands(percent)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
-                sigs = [signatures(shingles(t.as_py(), shingle), bands, cells, spoiled, hot) for t in part.column(1).cast(pa.binary())]
-                flat = np.concatenate(sigs).view(np.int64)
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sigs])
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids, pa.int64())], ["sig", "doc_id"])
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                sets = [shingles(t.as_py(), shingle) for t in part.column(1).cast(pa.binary())]
+                names, once = np.unique(_row_hash(ids, np.array([*map(_set_hash, sets)], np.int64)), return_index=True)
+                signed = once[~_in(without, names)]
+                sigs = [signatures(sets[i], bands, cells, spoiled, hot) for i in signed]
+                flat, ids = np.concatenate([*sigs, np.empty(0, U64)]), np.repeat(ids[signed], [len(s) for s in sigs])
+                if only is not None:
+                    some = _in(only, flat)
+                    flat, ids = flat[some], ids[some]
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids, pa.int64())], ["sig", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(task, "sig long, doc_id long")
 
@@ -174,75 +207,147 @@ def _possible(percent: int) -> Column:
     return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    small = ids.count() <= BROADCAST_IDS
-    some = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, s): the distinct shingle sets of the documents in `ids`."""
+    some = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SHIPPED else ids, "doc_id", "left_semi")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
-                sets = pa.array([shingles(t.as_py(), shingle).view(np.int64) for t in part.column(1).cast(pa.binary())], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "s"])
-
-    sets = some.mapInArrow(task, "doc_id long, s array<long>")
-    both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+                sets = [shingles(t.as_py(), shingle) for t in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_set_hash, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "set", "s"])
+
+    return some.mapInArrow(task, "doc_id long, set long, s array<long>").filter(F.size("s") > 0).dropDuplicates(["doc_id", "set"])
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that have similar sets."""
+    a, b = (sets.select(F.col("doc_id").alias(i), F.col("s").alias(f"s{i}")) for i in "ab")
+    both = pairs.select("a", "b").join(b, "b").join(a, "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
+
+
+def _count_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The weight that each set of two blocks of a component gains by links between the blocks (or in the one block)."""
+    mine = (rows.part == rows.i).to_numpy()
+    a, b = np.flatnonzero(mine), np.flatnonzero((rows.part == rows.j).to_numpy())
+    size = rows.n.to_numpy()
+    name, column = np.unique(np.concatenate(rows.s.tolist()), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), size)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, len(name), 4096):
+        first, last = np.searchsorted(column, [low, low + 4096])
+        has = np.zeros((len(rows), 4096), np.float32)
+        has[row[first:last], column[first:last] - low] = 1
+        common += has[a] @ has[b].T
+    common = common.astype(np.int64)
+    link = common * 100 >= (size[a][:, None] + size[b][None, :] - common) * percent
+    link &= a[:, None] != b[None, :]
+    weight, gain = rows.copies.to_numpy(), np.zeros(len(rows), np.int64)
+    gain[a] += link @ weight[b]
+    if rows.i.iloc[0] != rows.j.iloc[0]:
+        gain[b] += link.T @ weight[a]
+    return pd.DataFrame({"set": rows.set[gain > 0], "n": size[gain > 0], "gain": gain[gain > 0]})
+
+
+def _edges(docs: DataFrame, profiles: DataFrame, hot: np.ndarray, reps: DataFrame, shingle: int, percent: int, cells: int, spoiled: int) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs (a, b) of first documents of different sets, whose components are those of all links; and the sets
+    of all candidates."""
+    copies = profiles.select("doc_id", "set", "n").join(reps.select("set", "n", "rep"), ["set", "n"]).filter("doc_id <> rep").select("doc_id", "set").distinct()
+    copies, without = cut(copies), np.empty(0, U64)
+    few = copies.count() <= SHIPPED
+    if few:
+        got = copies.toArrow()
+        without = np.sort(_row_hash(*(got.column(i).to_numpy() for i in range(2))))
+    signed = (docs, hot, shingle, percent, cells, spoiled, without)
+    shared = cut(_postings(*signed).groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).filter("lo < hi"))
+    pair = F.lit(few) & (F.col("c") == 2)
+    wide = cut(shared.filter(~pair).select("sig"))
+    members = _postings(*signed, _hashes(wide, "sig")) if wide.count() <= SHIPPED else _postings(*signed).join(wide, "sig", "left_semi")
+    of = reps.select("rep", "n", "odd")
+    if not few:  # copies are signed too, and stand for their sets
+        first = copies.join(profiles.select("doc_id", "set", "n"), ["doc_id", "set"]).join(reps.select("set", "n", "rep"), ["set", "n"]).select("doc_id", "rep")
+        members = members.join(first, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("doc_id"))
+    members = cut(members.select("sig", F.col("doc_id").alias("rep")).distinct())
+    often = members.groupBy("rep").agg(F.count("*").alias("often"))
+    centre = members.join(often, "rep").groupBy("sig").agg(F.max_by("rep", F.struct("often", F.bitwise_not("rep"))).alias("centre"))
+
+    a, b = (of.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd{x}")) for x in "ab")
+    met = shared.filter(pair).select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("hi").alias("of"))
+    met = met.unionByName(members.join(centre, "sig").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), F.col("rep").alias("of")))
+    star = cut(met.groupBy("a", "b", "of").agg(F.count("*").alias("met")).join(b, "b").join(a, "a").filter(_possible(percent)).select("a", "b", "of", "met"))
+    best = cut(star.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("met", F.bitwise_not("a"), F.bitwise_not("b"))).alias("p")).select("p.a", "p.b").distinct())
+    ids = star.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select(F.col("rep").alias("doc_id"))).distinct()
+    sets = cut(_sets(docs, cut(ids), shingle))
+    first = cut(_verified(sets, best, percent))
+
+    joined = cut(components(first).withColumnRenamed("component", "c"))
+    a_, b_ = (joined.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    rest = star.select("a", "b").distinct().join(best, ["a", "b"], "left_anti").join(a_, "a", "left").join(b_, "b", "left").filter(apart).select("a", "b")
+    named = cut(members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("c", "rep").alias("c")))
+    open_ = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("rep").bitwiseAND((1 << 40) - 1)).alias("who"), F.bit_xor(F.xxhash64("rep")).alias("mix"))
+    open_ = open_.filter("lo < hi").groupBy("m", "who", "mix").agg(F.min("sig").alias("sig")).select("sig")
+    rows = cut(named.join(open_, "sig")).join(of, "rep")
+    x, y = (rows.select("sig", F.col("rep").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"odd{s}")) for s in "ab")
+    within = x.join(y, (x.sig == y.sig) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b").distinct()
+    rest = cut(rest.unionByName(within.join(best, ["a", "b"], "left_anti")).distinct())
+    return first.unionByName(cut(_verified(sets, rest, percent))), sets
 
 
 def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cells: int = 2, spoiled: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The profiles of the rows, and edges (a, b) between doc_ids whose components are those of all links."""
-    docs = docs.filter("doc_id IS NOT NULL")
-    both = cut(_profiles(docs, shingle, heavy=True).filter("n > 0"))
-    profiles = both.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "n", "set"])
-    least = max(2, profiles.count() // COMMON)  # so no more than COMMON times the mean set size are as common
-    hot = both.filter("doc_id IS NULL").groupBy("set").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    hot = np.sort(hot.select("set").toArrow().column(0).to_numpy().view(np.uint64))
-    reps = profiles.groupBy("set", "n").agg(F.min("doc_id").alias("rep"), F.any_value("odd").alias("odd"))
-    of = cut(profiles.select("doc_id", "set", "n").join(reps.drop("odd"), ["set", "n"]).select("doc_id", "rep", "n"))
-    facts = cut(reps.select("rep", "n", "odd"))
-
-    bucket = Window.partitionBy("sig")
-    shared = _postings(docs, hot, shingle, percent, cells, spoiled).withColumn("lo", F.min("doc_id").over(bucket)).withColumn("hi", F.max("doc_id").over(bucket)).filter("lo < hi").drop("lo", "hi")
-    members = shared.join(of.select("doc_id", "rep"), "doc_id").select("sig", "rep").distinct()
-    members = cut(members.withColumn("centre", F.min("rep").over(bucket)).withColumn("hi", F.max("rep").over(bucket)).filter("centre < hi").drop("hi"))
-
-    a, b = (facts.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd{x}")) for x in "ab")
-    star = members.filter("rep > centre").groupBy(F.col("rep").alias("b"), F.col("centre").alias("a")).count().join(a, "a").join(b, "b").filter(_possible(percent))
-    best = cut(star.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")))
-    first = cut(_verified(docs, best, shingle, percent))
-
-    joined = components(first)
-    named = members.select("sig", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    open_ = named.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).filter("lo < hi").select("sig", "rep", "c")
-    open_ = cut(open_)
-    sigs = open_.groupBy("rep").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
-    open_ = open_.join(sigs, "rep").join(facts, "rep")
-    x, y = (open_.select("sig", F.col("rep").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"odd{s}"), F.col("sigs").alias(f"sigs{s}")) for s in "ab")
-    first_shared = F.array_min(F.array_intersect("sigsa", "sigsb")) == x.sig  # so a pair comes from one bucket only
-    rest = x.join(y, (x.sig == y.sig) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent) & first_shared).select("a", "b")
-    rest = cut(rest.join(best, ["a", "b"], "left_anti"))
-    second = cut(_verified(docs, rest, shingle, percent))
-    copies = of.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    return profiles, first.unionByName(second).unionByName(copies)
+    """(doc_id, h, n, set) of every row, and (set, n, component, links) of every set that is not alone: the smallest doc_id
+    that its documents reach, and the number of other documents that its documents are linked with directly."""
+    both = cut(_profiles(docs, shingle))
+    rows, docs = both.filter("odd IS NOT NULL").drop("odd"), docs.filter("doc_id IS NOT NULL")
+    profiles = both.filter("odd IS NOT NULL AND doc_id IS NOT NULL AND n > 0")
+    least = max(2, profiles.count() // COMMON)
+    hot = _hashes(both.filter("odd IS NULL").groupBy("set").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "set")
+    named = profiles.groupBy("set", "n", "doc_id").agg(F.any_value("odd").alias("odd"))  # repeated rows are one
+    reps = cut(named.groupBy("set", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("odd").alias("odd")))
+    pairs, sets = _edges(docs, profiles, hot, reps, shingle, percent, cells, spoiled)
+
+    several = profiles.groupBy("doc_id").agg(F.min(F.struct("set", "n")).alias("lo"), F.max(F.struct("set", "n")).alias("hi")).filter("lo <> hi").select("doc_id")
+    same = profiles.join(several, "doc_id").join(reps.select("set", "n", "rep"), ["set", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    joined = cut(components(pairs.unionByName(same)))
+    alone = (F.col("copies") == 1) & F.col("component").isNull()
+    found = reps.drop("odd").join(joined.withColumnRenamed("node", "rep"), "rep", "left").filter(~alone)
+    found = cut(found.withColumn("component", F.coalesce("component", "rep")))
+
+    groups = found.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum("copies").alias("all"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("m > 1")
+    mixed = same.select(F.col("a").alias("node")).distinct().join(joined, "node").select("component", F.lit(True).alias("mixed")).distinct()
+    two = (F.col("m") == 2) & (F.col("lo") < F.col("hi")) & F.col("mixed").isNull()  # such a pair has been verified
+    groups = cut(groups.join(mixed, "component", "left").withColumn("two", two))
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    large = found.join(groups.filter("NOT two").select("component", parts.alias("parts")), "component")
+    dealt = large.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")).join(sets.withColumnRenamed("doc_id", "rep"), ["rep", "set"])
+    block = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    dealt = dealt.withColumn("block", F.explode(block)).select("component", "block.i", "block.j", "part", "set", "n", "copies", "s")
+    gains = dealt.groupBy("component", "i", "j").applyInPandas(lambda g: _count_links(g, percent), "set long, n long, gain long")
+    two = found.join(groups.filter("two").select("component", "all"), "component").select("set", "n", (F.col("all") - F.col("copies")).alias("gain"))
+    gains = gains.unionByName(two).groupBy("set", "n").agg(F.sum("gain").alias("gain"))
+    return rows, cut(found.join(gains, ["set", "n"], "left").select("set", "n", "component", (F.coalesce("gain", F.lit(0)) + F.col("copies") - 1).alias("links")))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    _, edges = links(docs, shingle=shingle, percent=percent)
-    joined = components(edges).withColumnRenamed("node", "doc_id")
-    sizes = _profiles(docs, shingle).select("doc_id", F.col("n").alias("n_shingles"))
-    return sizes.join(joined, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    """One row per row of `docs`: doc_id, n_shingles, component_id, the smallest doc_id reachable by links, and n_links,
+    the number of other documents (of a document with several sets: of its sets) whose sets are similar to the row's."""
+    rows, found = links(docs, shingle=shingle, percent=percent)
+    real = F.col("doc_id").isNotNull()
+    out = rows.join(found, ["set", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(real, F.coalesce("component", "doc_id")).alias("component_id"), F.when(real, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each group, that of the smallest doc_id; of repeated rows of one doc_id one stays
-    (the one with the most characters, then the smallest text hash). Documents without words and rows without an id stay."""
-    _, edges = links(docs, shingle=shingle, percent=percent)
-    gone = components(edges).filter("node <> component").select(F.col("node").alias("doc_id"))
-    left = docs.join(gone, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
-    twice = F.col("doc_id").isNotNull() & (F.col("the row") > 1)
-    return left.withColumn("the row", F.row_number().over(order)).filter(~twice).drop("the row").select(*docs.columns)
+    """`docs` with one document of each group, that of the smallest doc_id; rows of it that share its id but not its text
+    stay too, of repeated rows (same id, same text) one does. Documents without words and rows without an id stay."""
+    rows, found = links(docs, shingle=shingle, percent=percent)
+    keyed = rows.filter("doc_id IS NOT NULL").join(found, ["set", "n"], "left").groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.min("component").alias("component"))
+    marked = cut(keyed.filter("times > 1 OR component <> doc_id").select(F.col("doc_id").alias("the id"), F.col("h").alias("the hash"), (F.coalesce("component", "doc_id") != F.col("doc_id")).alias("gone")))
+    key = (F.col("doc_id") == F.col("the id")) & (F.xxhash64("text") == F.col("the hash"))
+    left = docs.join(marked, key, "left_anti")
+    twice = docs.join(marked.filter("NOT gone"), key, "left_semi")
+    return left.unionByName(twice.withColumn("the hash", F.xxhash64("text")).dropDuplicates(["doc_id", "the hash"]).select(*docs.columns))

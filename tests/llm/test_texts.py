@@ -216,8 +216,9 @@ def test_quality_catches_toxic_and_keeps_clean(spark):
 
 
 def classes(docs, percent=80):
+    """(set size, smallest document of the component, links) of each document, each with one text."""
     sets = {i: {*shingles((t or "").encode()).tolist()} for i, t in docs}
-    part = {i: i for i in sets}
+    part, linked = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def find(i):
         while part[i] != i:
@@ -231,7 +232,9 @@ def classes(docs, percent=80):
             if sets[a] and sets[b] and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
                 x, y = find(a), find(b)
                 part[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+                linked[a] += 1
+                linked[b] += 1
+    return {i: (len(sets[i]), find(i), linked[i]) for i in ids}
 
 
 @pytest.mark.parametrize("choice", [(2, 1), (3, 1), (1, 0)])
@@ -251,28 +254,70 @@ def test_signatures_are_shared_by_all_similar_sets(choice):
         assert differ <= extra
 
 
-def test_jaccard_join(spark):
+@pytest.mark.parametrize("shipped", [None, 0])
+def test_jaccard_join(spark, monkeypatch, shipped):
+    if shipped is not None:
+        monkeypatch.setattr(jaccard_join, "SHIPPED", shipped)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     docs = []
     for _ in range(12):
         w = [word() for _ in range(rng.choice([6, 10, 40, 150]))]
-        for _ in range(rng.randint(1, 6)):
+        for _ in range(rng.randint(1, 9)):
             v = list(w)
             for _ in range(rng.randint(0, max(1, len(w) // 25))):
                 v[rng.randrange(len(v))] = word()
             docs.append(" ".join(v).upper() if rng.random() < 0.2 else " ".join(v))
     docs += ["a b", "A  B", "a b c", *ODD, None, ""]
     d = table(spark, docs)
-    d = d.unionByName(d.filter("doc_id < 3"))
+    extra = spark.createDataFrame([(None, docs[0], "k", None, "en", 1), (None, docs[0], "k", None, "en", 1)], DOCS)
+    d = d.unionByName(d.filter("doc_id < 3")).unionByName(extra)
     rows = jaccard_join.near_duplicates(d).collect()
     want = classes(list(enumerate(docs)))
-    assert len(rows) == d.count() and {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+    assert len(rows) == d.count() and {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows if r.doc_id is not None} == want
+    assert [(r.n_shingles, r.component_id, r.n_links) for r in rows if r.doc_id is None] == [(want[0][0], None, 0)] * 2
     left = jaccard_join.one_of_each(d)
-    assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+    assert left.columns == d.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in left.collect()) == [-1, -1, *sorted(i for i, (_, c, _) in want.items() if i == c)]
     assert jaccard_join.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_large_groups(spark):
+    rng = random.Random(16)
+    text = lambda n: " ".join(str(rng.getrandbits(30)) for _ in range(n))
+    copied, base, passage = text(60), [*text(120).split()], text(40)
+    docs = [copied] * 1500
+    for _ in range(150):  # near copies, some too far from each other
+        v = list(base)
+        for _ in range(rng.randint(1, 3)):
+            v[rng.randrange(len(v))] = text(1)
+        docs.append(" ".join(v))
+    docs += [f"{text(30)} {passage} {text(30)}" for _ in range(100)]  # one passage quoted by unlike texts
+    docs += [text(rng.choice([5, 6, 7, 8, 9])) for _ in range(80)]  # small sets, lame among them
+    docs += [" ".join(docs[-k].split()[:-1]) for k in range(1, 20)]
+    rng.shuffle(docs)
+    got = by_id(jaccard_join.near_duplicates(table(spark, docs, 5)))
+    first = {}
+    for i, t in enumerate(docs):
+        first.setdefault(t, []).append(i)
+    some = classes([(ids[0], t) for t, ids in first.items()])
+    sets = {t: {*shingles(t.encode()).tolist()} for t in first}
+    for t, ids in first.items():
+        near = sum(len(first[u]) for u in first if 100 * len(sets[t] & sets[u]) >= 80 * len(sets[t] | sets[u])) - 1
+        for i in ids:
+            assert (got[i].n_shingles, got[i].component_id, got[i].n_links) == (*some[ids[0]][:2], near)
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    rng = random.Random(26)
+    a, b, c = (" ".join(str(rng.getrandbits(30)) for _ in range(40)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, b), (4, c), (4, c), (9, a), (7, c + " x")]
+    d = spark.createDataFrame([(i, t, "k", None, "en", 1) for i, t in rows], DOCS)
+    got = sorted((r.doc_id, r.component_id, r.n_links) for r in jaccard_join.near_duplicates(d).collect())
+    assert got == [(3, 3, 1), (4, 4, 1), (4, 4, 1), (5, 3, 1), (5, 3, 1), (7, 4, 1), (9, 3, 1)]
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(d).collect()) == [3, 4]
+
+
 # ---- secrets
 
 
