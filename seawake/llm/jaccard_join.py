@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from seawake.llm.components import components
 from seawake.llm.words import U64, cut, mix, shingles
 
-#: A sketch has at least so many bits.
-SKETCH_BITS = 512
+#: A sketch has at least so many bits, and so many for each element; more of them let fewer pairs pass that are not similar.
+SKETCH_BITS, SKETCH_WIDTH = 2048, 4
 #: A shingle that at least one in so many documents has is common; there are at most so many times the mean set size.
 COMMON = 1024
 #: Partitions of the domain that a set tries in turn.
@@ -126,9 +126,9 @@ def signatures(s: np.ndarray, bands: Bands, cells: int, spoiled: int, hot: np.nd
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of hashed buckets: two sets differ in at least as many elements as their parities do. There are at least
-    as many buckets as elements; a sketch of twice the buckets folds onto a smaller one."""
-    bits = max(SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length())
+    """Parities of hashed buckets: two sets differ in at least as many elements as their parities do. A sketch of
+    twice the buckets folds onto a smaller one."""
+    bits = max(SKETCH_BITS, 1 << max(0, SKETCH_WIDTH * len(s) - 1).bit_length())
     odd = np.bincount((mix(s ^ U64(0x1234567)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -225,7 +225,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     a, b = (sets.select(F.col("doc_id").alias(i), F.col("s").alias(f"s{i}")) for i in "ab")
     both = pairs.select("a", "b").join(b, "b").join(a, "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
+    return both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
 def _count_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
