@@ -1,13 +1,20 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are parsed into DOM trees whose runs of like siblings are folded into one repeated node, which holds the
-texts and the children of them all. In groups of a bounded number of pages the folded trees are aligned one after
-another with a growing template by simple tree matching, and each template node counts the pages on which it has met
-each text. Over all groups of a host, a text that fills its slot on nearly
-every page is template; slots whose text varies are content. Pages with the same text count once, so copies of one
-article cannot turn it into template. The page's content is its article or main element, or else its body, without
-elements whose tag, class or role marks a menu, header, footer, sidebar, notice, advert, form, script, style or comment
-section, and without template nodes.
+Pages of a host are parsed into DOM trees, menus, headers and footers included, whose runs of like siblings are folded
+into one repeated node with the texts and the children of them all. In groups of a bounded number of pages the folded
+trees are aligned one after another with a growing template by simple tree matching; each slot of the template counts
+its pages, its characters, links and headings, and on how many pages it has met each text. Over all groups of a host
+every slot then gets one verdict, and extraction follows it:
+
+- a text that fills its slot on nearly every page is template, also in a run of siblings or among paragraphs;
+- a slot outside the article that holds little but short links is a menu;
+- a slot whose tag, class or role names a menu, header, footer, sidebar, notice, advert, form or comment section is
+  template as well, unless it is only a class and the slot holds the page's heading and most of the host's text;
+- all other slots are content.
+
+Pages with the same text count once, so copies of one article cannot turn it into template. The page's content is its
+outermost article or main elements that are not template, or else its body. Hosts with fewer than `least_pages` different
+pages have no template; there the names alone decide.
 
 Text: character references decoded, white space in a block becomes one space, blocks trimmed and joined by a newline.
 Null html gives an empty text. Pages without a host share one template. Repeated rows each get their row.
@@ -28,12 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seawake.llm.words import cut
+
 # Fixed values of the HTML standard and of common usage.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html dd dt li tbody td tfoot th thead tr summary".split())
-DROPPED = frozenset("aside button dialog footer form head iframe input menu nav noscript script select style svg template textarea title".split())
+HIDDEN = frozenset("head iframe input noscript script select style svg template textarea title".split())
+DROPPED = frozenset("aside button dialog footer form menu nav".split())
 MARKED = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 SIBLINGS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
@@ -44,6 +54,11 @@ SPLIT = regex.compile(r"[\s_\-]+")
 DEPTH = 200
 #: A host is large with one in so many pages; its rows are then dealt over so many tasks.
 LARGE, SALTS = 1000, 64
+#: A slot outside the article is a menu with so many links a page, so large a share of text in them, and so short ones.
+MENU_LINKS, MENU_SHARE, MENU_CHARS = 3, 0.8, 30
+#: Up to so many verdicts are shipped to the tasks; beyond, pages are joined with those of their host by a shuffle.
+SHIPPED = 200_000
+NUMBER = regex.compile(r"\d+")
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 
 
@@ -55,10 +70,22 @@ class Node:
     def __init__(self, tag: str, marks: str = "") -> None:
         self.tag, self.marks, self.children = tag, marks, []
 
-    def kept(self, inside: bool) -> bool:
-        """Whether the element can hold main text; a header does only inside an article."""
+    def named(self, inside: bool) -> int:
+        """2 if the tag says that the element holds no main text, 1 if a class, id or role does, else 0; a header may hold
+        some inside an article."""
+        if self.tag in DROPPED or self.tag == "header" and not inside:
+            return 2
+        if not self.marks:
+            return 0
         words = {*SPLIT.split(self.marks)}
-        return self.tag not in DROPPED and not words & MARKED and (inside or self.tag != "header" and "header" not in words)
+        return int(bool(words & MARKED) or not inside and "header" in words)
+
+    def main(self) -> bool:
+        return self.tag in ("article", "main") or self.marks == "main"
+
+    def step(self, path: str) -> str:
+        """The path of the element's slot below that of its parent; numbers in marks do not tell slots apart."""
+        return f"{path}/{self.tag}.{NUMBER.sub('0', self.marks)}"
 
 
 def parse(page: str) -> Node:
@@ -109,85 +136,132 @@ def _close(open_: list[Node], tag: str, walls: tuple[str, ...]) -> None:
             return
 
 
-def roots(node: Node) -> list[Node]:
-    """The outermost article or main elements that are not themselves dropped, or else the tree."""
-    found: list[Node] = []
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.tag in ("article", "main") or x.marks == "main":
-            found.append(x)
-        else:
-            stack += reversed([c for c in x.children if isinstance(c, Node) and c.kept(False)])
-    return found or [node]
+class Fold:
+    """A folded node: its slot's path, its name's verdict, its own texts, folded children, and the characters, those in
+    links, links and whether there is a main heading, all of its subtree."""
+
+    __slots__ = ("chars", "children", "heading", "linked", "links", "name", "path", "texts")
+
+    def __init__(self, path: str, name: int) -> None:
+        self.path, self.name, self.texts, self.children = path, name, [], []
+        self.chars = self.linked = self.links = self.heading = 0
 
+    def plain(self) -> list:
+        """What `unplain` reads."""
+        return [self.path, self.name, self.texts, [c.plain() for c in self.children], self.chars, self.linked, self.links, self.heading]
 
-def own(node: Node, inside: bool) -> tuple[str, list[Node]]:
-    """Hash of an element's own text, inline elements counted as text, and its kept block elements."""
+    def add(self, other: Fold) -> None:
+        self.chars += other.chars
+        self.linked += other.linked
+        self.links += other.links
+        self.heading |= other.heading
+
+
+def unplain(x: list) -> Fold:
+    f = Fold(x[0], x[1])
+    f.texts, f.children = x[2], [unplain(c) for c in x[3]]
+    f.chars, f.linked, f.links, f.heading = x[4:]
+    return f
+
+
+def own(node: Node, inside: bool) -> tuple[str, list[Node], int, int]:
+    """An element's own text, inline elements counted as text, its inner slots (block elements and named inline ones), and
+    the characters and number of its own links."""
     text: list[str] = []
-    blocks: list[Node] = []
-    stack = list(reversed(node.children))
+    slots: list[Node] = []
+    linked = links = 0
+    stack: list[tuple[Node | str, bool]] = [(c, node.tag == "a") for c in reversed(node.children)]
     while stack:
-        c = stack.pop()
+        c, link = stack.pop()
         if isinstance(c, str):
             text.append(c)
-        elif not c.kept(inside):
+            linked += len(c) * link
+        elif c.tag in HIDDEN:
             continue
-        elif c.tag in BLOCK:
-            blocks.append(c)
+        elif c.tag in BLOCK or c.named(inside):
+            slots.append(c)
         else:
-            stack += reversed(c.children)
-    words = " ".join("".join(text).split())
-    return xxhash.xxh64_hexdigest(words) if words else "", blocks
-
-
-def fold(node: Node, inside: bool, path: str = "") -> tuple:
-    """(signature, hashes of its own texts, folded children) of a kept subtree. A run of like siblings is one repeated
-    node, with the texts of all of them and the children of all of them."""
-    path = f"{path}/{node.tag}.{node.marks}"
-    text, blocks = own(node, inside)
-    children: list[tuple] = []
-    for c in blocks:
-        f = fold(c, inside, path)
-        if children and children[-1][0] == f[0]:
-            _unite(children[-1], f)
+            links += c.tag == "a"
+            stack += [(x, link or c.tag == "a") for x in reversed(c.children)]
+    return " ".join("".join(text).split()), slots, linked, links
+
+
+def digest(words: str) -> str:
+    return xxhash.xxh64_hexdigest(words) if words else ""
+
+
+def fold(node: Node, inside: bool = False, path: str = "") -> Fold:
+    """A subtree with each run of like siblings as one repeated node, which has the texts and the children of them all."""
+    name = node.named(inside)
+    inside |= node.main()
+    f = Fold(node.step(path), name)
+    words, slots, f.linked, f.links = own(node, inside)
+    f.chars, f.heading = len(words), int(node.tag == "h1" and bool(words))
+    if words:
+        f.texts.append(digest(words))
+    for c in slots:
+        inner = fold(c, inside, f.path)
+        f.add(inner)
+        if f.children and f.children[-1].path == inner.path:
+            _unite(f.children[-1], inner)
         else:
-            children.append(f)
-    return path, [text] if text else [], children
+            f.children.append(inner)
+    return f
 
 
-def _unite(a: tuple, b: tuple) -> None:
+def _unite(a: Fold, b: Fold) -> None:
     """Adds a folded sibling `b` to `a`: its texts, and each of its children to a like one, in order where there is one."""
-    a[1].extend(b[1])
+    a.add(b)
+    a.texts.extend(b.texts)
     at = 0
-    for child in b[2]:
-        like = [i for i, x in enumerate(a[2]) if x[0] == child[0]]
+    for child in b.children:
+        like = [i for i, x in enumerate(a.children) if x.path == child.path]
         if not like:
-            a[2].insert(at, child)
+            a.children.insert(at, child)
             at += 1
             continue
         i = next((i for i in like if i >= at), like[-1])
-        _unite(a[2][i], child)
+        _unite(a.children[i], child)
         at = max(at, i + 1)
 
 
+def content_key(f: Fold) -> str:
+    """A hash of the texts that are not in named slots, of those in the article if there are any."""
+    inner: list[str] = []
+    outer: list[str] = []
+
+    def walk(x: Fold, inside: bool) -> None:
+        if not x.name:
+            inside = inside or in_main(x.path)
+            (inner if inside else outer).extend(x.texts)
+            for c in x.children:
+                walk(c, inside)
+
+    walk(f, False)
+    return digest(" ".join(inner or outer))
+
+
+def in_main(path: str) -> bool:
+    return "/article." in path or "/main." in path or path.endswith(".main") or ".main/" in path
+
+
 class Slot:
-    """A template node: how many pages have it, and how often each text filled it."""
+    """A template node: how many pages have it, how often each text filled it, and the sums of its subtrees."""
 
-    __slots__ = ("children", "pages", "signature", "texts")
+    __slots__ = ("children", "name", "pages", "path", "sums", "texts")
 
-    def __init__(self, signature: str) -> None:
-        self.signature, self.pages, self.texts, self.children = signature, 0, Counter(), []
+    def __init__(self, path: str, name: int) -> None:
+        self.path, self.name, self.pages, self.texts, self.children, self.sums = path, name, 0, Counter(), [], [0, 0, 0, 0]
 
 
-def matching(a: Slot, b: tuple) -> int:
+def matching(a: Slot, b: Fold) -> int:
     """Simple tree matching: the size of the largest match that keeps order and depth."""
-    if a.signature != b[0]:
+    if a.path != b.path:
         return 0
-    return 1 + _align(a.children, b[2])[0]
+    return 1 + _align(a.children, b.children)[0]
 
 
-def _align(a: list[Slot], b: tuple) -> tuple[int, list[tuple[int, int]]]:
+def _align(a: list[Slot], b: list[Fold]) -> tuple[int, list[tuple[int, int]]]:
     weight = [[matching(x, y) for y in b] for x in a]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -205,56 +279,75 @@ def _align(a: list[Slot], b: tuple) -> tuple[int, list[tuple[int, int]]]:
     return best[0][0], pairs
 
 
-def merge(slot: Slot, tree: tuple) -> None:
+def merge(slot: Slot, tree: Fold) -> None:
     """Counts a page's folded tree in the template; what has no counterpart becomes a new slot."""
     slot.pages += 1
-    slot.texts.update({*tree[1]})
-    _, pairs = _align(slot.children, tree[2])
-    partner = {j: slot.children[i] for i, j in pairs}
+    slot.texts.update({*tree.texts})
+    slot.sums = [x + y for x, y in zip(slot.sums, (tree.chars, tree.linked, tree.links, tree.heading), strict=True)]
+    if len(slot.children) == len(tree.children) and all(x.path == y.path for x, y in zip(slot.children, tree.children, strict=True)):
+        partner = dict(enumerate(slot.children))  # the best match there can be
+    else:
+        partner = {j: slot.children[i] for i, j in _align(slot.children, tree.children)[1]}
     at = 0
-    for j, child in enumerate(tree[2]):
+    for j, child in enumerate(tree.children):
         if j not in partner:
-            partner[j] = Slot(child[0])
+            partner[j] = Slot(child.path, child.name)
             slot.children.insert(at, partner[j])
-        at = slot.children.index(partner[j]) + 1
+        at = slot.children.index(partner[j], at) + 1
         merge(partner[j], child)
 
 
-def _slots(slot: Slot) -> Iterator[tuple[str, str, int, int]]:
-    """(path, text hash, pages with this text, pages with the slot) for each text of each slot."""
-    yield from ((slot.signature, text, n, slot.pages) for text, n in slot.texts.items())
+def _slots(slot: Slot) -> Iterator[tuple]:
+    """(path, name, text hash, pages with this text, pages with the slot, sums) for each slot, with no text, and each of
+    its texts."""
+    yield slot.path, slot.name, "", 0, slot.pages, *slot.sums
+    yield from ((slot.path, slot.name, text, n, slot.pages, 0, 0, 0, 0) for text, n in slot.texts.items())
     for c in slot.children:
         yield from _slots(c)
 
 
-def _page_trees(page: str) -> list[tuple]:
-    tree = parse(page)
-    found = roots(tree)
-    return [fold(r, r is not tree) for r in found]
+class Verdicts:
+    """The template slots of a host, and the texts (path, hash) that are template in slots of content."""
 
+    def __init__(self, rows: list[tuple[str, str]]) -> None:
+        self.slots = {path for path, text in rows if not text}
+        self.texts = {(path, text) for path, text in rows if text}
 
-def text_of(page: str | None, constants: frozenset[tuple[str, str]] = frozenset()) -> str:
-    """The main text of a page under a host's template, given as (signature, text hash)."""
+
+def text_of(page: str | None, verdicts: Verdicts | None = None) -> str:
+    """The main text of a page under the verdicts of its host's template; without them, by names."""
     if not page:
         return ""
     tree = parse(page)
     blocks: list[str] = []
     run: list[str] = []
 
+    def gone(node: Node, inside: bool, path: str) -> bool:
+        return node.tag in HIDDEN or (bool(node.named(inside)) if verdicts is None else path in verdicts.slots)
+
+    def roots() -> list[tuple[Node, str]]:
+        """The outermost article or main elements that are not template, or else the tree, with their paths."""
+        found: list[tuple[Node, str]] = []
+        stack = [(tree, tree.step(""))]
+        while stack:
+            x, path = stack.pop()
+            if x.main():
+                found.append((x, path))
+                continue
+            inner = [(c, c.step(path) if c.tag in BLOCK or c.named(False) else path) for c in x.children if isinstance(c, Node)]
+            stack += reversed([(c, p) for c, p in inner if not gone(c, False, p if p != path else "")])
+        return found or [(tree, tree.step(""))]
+
     def end() -> None:
         if words := " ".join(html.unescape("".join(run)).split()):
             blocks.append(words)
         run.clear()
 
     def walk(node: Node, inside: bool, path: str) -> None:
-        path = f"{path}/{node.tag}.{node.marks}"
-        if constants:
-            text, inner = own(node, inside)
-            if not inner and (path, text) in constants:
+        if verdicts is not None and verdicts.texts:
+            words, inner, _, _ = own(node, inside)
+            if not inner and (path, digest(words)) in verdicts.texts:
                 return
-        inline(node, inside, path)
-
-    def inline(node: Node, inside: bool, path: str) -> None:
         stack = list(reversed(node.children))
         while stack:
             c = stack.pop()
@@ -262,37 +355,44 @@ def text_of(page: str | None, constants: frozenset[tuple[str, str]] = frozenset(
                 run.append(c)
             elif c.tag in ("br", "wbr"):
                 run.append(" ")
-            elif not c.kept(inside):
-                continue
-            elif c.tag in BLOCK:
-                end()
-                walk(c, inside, path)
-                end()
+            elif c.tag in BLOCK or c.tag in HIDDEN or c.named(inside):
+                below = c.step(path)
+                if gone(c, inside, below):
+                    continue
+                if c.tag in BLOCK:
+                    end()
+                walk(c, inside or c.main(), below)
+                if c.tag in BLOCK:
+                    end()
             else:
                 stack += reversed(c.children)
 
-    for r in roots(tree):
-        walk(r, r is not tree, "")
+    for node, path in roots():
+        walk(node, node.main(), path)
         end()
     return "\n".join(blocks)
 
 
+HOSTED, DEALT, FOUND = "the host", "the salt", "the verdicts"
+
+
 def large_hosts(pages: DataFrame) -> list[str]:
     """The hosts with at least one in `LARGE` of all pages; so there are no more than `LARGE` of them."""
-    sizes = pages.groupBy("host").count()
+    sizes = cut(pages.groupBy(HOSTED).count())
     total = sizes.agg(F.sum("count")).first()[0] or 0
-    return [r.host for r in sizes.filter(F.col("count") * LARGE >= total).select("host").collect()]
+    return [r[0] for r in sizes.filter(F.col("count") * LARGE >= total).select(HOSTED).collect()]
 
 
 def _join_host(rows: DataFrame, by_host: DataFrame, large: list[str], deal: Column, how: str) -> DataFrame:
     """Joins `by_host`, which has a row for each host, by host; rows of large hosts are dealt over `SALTS` tasks by `deal`."""
-    salted = rows.withColumn("salt", F.when(F.col("host").isin(large), F.pmod(deal, F.lit(SALTS))).otherwise(0).cast("int"))
-    salts = F.when(F.col("host").isin(large), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(by_host.withColumn("salt", F.explode(salts)), ["host", "salt"], how).drop("salt")
+    salted = rows.withColumn(DEALT, F.when(F.col(HOSTED).isin(large), F.pmod(deal, F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(F.col(HOSTED).isin(large), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(by_host.withColumn(DEALT, F.explode(salts)), [HOSTED, DEALT], how).drop(DEALT)
 
 
 def templates(pages: DataFrame, large: list[str], *, group_pages: int = 32, least_pages: int = 8, share: float = 0.8) -> DataFrame:
-    """(host, constants): for each host the texts that fill their slot on at least `share` of its pages.
+    """(the host, path, text): for each host with a template its template slots, without a text, and the texts that are
+    template in slots of content. A host without either has one row without path and text.
 
     Every page takes part. A host's pages are dealt into groups of about `group_pages`, so a host of any size is spread
     over many tasks; their counts are summed per slot.
@@ -300,46 +400,69 @@ def templates(pages: DataFrame, large: list[str], *, group_pages: int = 32, leas
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [json.dumps(_page_trees(t or "")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "trees"])
+            folds = [fold(parse(t or "")) for t in batch.column(1).to_pylist()]
+            found = [json.dumps(f.plain(), separators=(",", ":")) for f in folds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(content_key, folds), pa.string()), pa.array(found, pa.string())], [HOSTED, "content", "tree"])
 
-    folded = pages.select("host", "html").mapInArrow(trees, "host string, trees string").distinct()
-    sizes = folded.groupBy("host").count().filter(F.col("count") >= least_pages)
-    dealt = _join_host(folded, sizes, large, F.xxhash64("trees"), "inner").withColumn("part", F.pmod(F.xxhash64("trees"), F.ceil(F.col("count") / group_pages)))
+    folded = pages.select(HOSTED, "html").mapInArrow(trees, f"`{HOSTED}` string, content string, tree string")
+    folded = cut(folded.groupBy(HOSTED, "content").agg(F.min("tree").alias("tree")))
+    sizes = cut(folded.groupBy(HOSTED).count().filter(F.col("count") >= least_pages))
+    dealt = _join_host(folded, sizes, large, F.xxhash64("tree"), "inner").withColumn("part", F.pmod(F.xxhash64("tree"), F.ceil(F.col("count") / group_pages)))
+    schema = f"`{HOSTED}` string, path string, name int, text string, n long, pages long, chars long, linked long, links long, headings long"
 
     def align(group: pd.DataFrame) -> pd.DataFrame:
-        tops: dict[str, Slot] = {}
-        for t in group.trees:
-            for tree in json.loads(t):
-                merge(tops.setdefault(tree[0], Slot(tree[0])), tree)
-        rows = [(group.host.iloc[0], *x) for s in tops.values() for x in _slots(s)]
-        return pd.DataFrame(rows, columns=["host", "path", "text", "n", "pages"])
-
-    counted = dealt.groupBy("host", "part").applyInPandas(align, "host string, path string, text string, n long, pages long")
-    summed = counted.groupBy("host", "path", "text").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+        top: Slot | None = None
+        for t in group.tree:
+            tree = unplain(json.loads(t))
+            top = top or Slot(tree.path, tree.name)
+            merge(top, tree)
+        rows = [(group[HOSTED].iloc[0], *x) for x in _slots(top)]
+        return pd.DataFrame(rows, columns=[HOSTED, "path", "name", "text", "n", "pages", "chars", "linked", "links", "headings"])
+
+    counted = dealt.groupBy(HOSTED, "part").applyInPandas(align, schema)
+    sums = [F.sum(c).alias(c) for c in ("n", "pages", "chars", "linked", "links", "headings")]
+    summed = cut(counted.groupBy(HOSTED, "path", "text").agg(F.max("name").alias("name"), *sums))
+    whole = summed.filter(F.col("text") == "").groupBy(HOSTED).agg(F.max("chars").alias("whole"))
+    slots = summed.filter(F.col("text") == "").join(whole, HOSTED)
+    body = (F.col("name") == 1) & (F.col("headings") >= share * F.col("pages")) & (2 * F.col("chars") > F.col("whole")) & (2 * F.col("linked") < F.col("chars"))
+    inside = F.col("path").contains("/article.") | F.col("path").contains("/main.") | F.col("path").contains(".main/") | F.col("path").endswith(".main")
+    menu = ~inside & (F.col("links") >= MENU_LINKS * F.col("pages")) & (F.col("linked") >= MENU_SHARE * F.col("chars")) & (F.col("chars") <= MENU_CHARS * F.col("links"))
     often = (F.col("n") >= least_pages) & (F.col("n") >= share * F.col("pages"))  # in the slots that it fills
-    fixed = summed.filter(often).join(sizes, "host").filter(F.col("n") >= share / 2 * F.col("count"))  # and on the host
-    return fixed.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("constants"))
+    fixed = summed.filter((F.col("text") != "") & often).join(sizes, HOSTED).filter(F.col("n") >= share / 2 * F.col("count"))  # and on the host
+    found = slots.filter((F.col("name") > 0) & ~body | menu).select(HOSTED, "path", "text").unionByName(fixed.select(HOSTED, "path", "text"))
+    none = F.lit(None).cast("string")
+    return found.unionByName(sizes.select(HOSTED, none.alias("path"), none.alias("text")))
 
 
 def extract(pages: DataFrame, *, group_pages: int = 32, least_pages: int = 8, share: float = 0.8) -> DataFrame:
-    """`pages` with a column `text`, which replaces one of that name; columns named host, constants or salt go."""
-    pages = pages.drop("text", "host", "constants", "salt")
-    hosted = pages.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")))
+    """`pages` with a column `text`, which replaces one of that name; all other columns stay."""
+    pages = pages.drop("text")
+    hosted = pages.withColumn(HOSTED, F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")))
     large = large_hosts(hosted)
-    found = templates(hosted, large, group_pages=group_pages, least_pages=least_pages, share=share)
-    joined = _join_host(hosted, found, large, F.monotonically_increasing_id(), "left").select(*pages.columns, "constants")
-    at, fixed = pages.columns.index("html"), len(pages.columns)
-    names = [*pages.columns, "text"]
+    found = cut(templates(hosted, large, group_pages=group_pages, least_pages=least_pages, share=share))
+    at, names, n = pages.columns.index("html"), [*pages.columns, "text"], len(pages.columns)
+    shipped: dict[str, Verdicts] | None = None
+    if found.count() <= SHIPPED:
+        rows: dict[str, list[tuple[str, str]]] = {}
+        for host, path, text in zip(*(c.to_pylist() for c in found.toArrow().columns), strict=True):
+            rows.setdefault(host, []).extend([(path, text)] if path is not None else [])
+        shipped, joined = {host: Verdicts(x) for host, x in rows.items()}, hosted
+    else:
+        by_host = found.groupBy(HOSTED).agg(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "text"))).alias(FOUND))
+        joined = _join_host(hosted, by_host, large, F.monotonically_increasing_id(), "left").select(*pages.columns, HOSTED, FOUND)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, frozenset] = {}
-            texts = []
-            for page, constants in zip(batch.column(at).to_pylist(), batch.column(fixed).to_pylist(), strict=True):
-                known = seen.setdefault(repr(constants), frozenset((c["path"], c["text"]) for c in constants or ()))
-                texts.append(text_of(page, known))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:fixed], pa.array(texts, pa.string())], names)
+            hosts = batch.column(n).to_pylist()
+            if shipped is None:
+                known: dict[str, Verdicts] = {}
+                for host, some in zip(hosts, batch.column(n + 1), strict=True):
+                    if host not in known and some.is_valid:
+                        known[host] = Verdicts([(x["path"], x["text"]) for x in some.as_py()])
+            else:
+                known = shipped
+            texts = [text_of(page, known.get(host)) for page, host in zip(batch.column(at).to_pylist(), hosts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names)
 
     return joined.mapInArrow(task, T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())]))
 

@@ -3,11 +3,16 @@
 A text is lower-cased, every run of ASCII characters that are not letters becomes one space, and the 2-, 3- and 4-grams
 of its UTF-8 bytes are counted in hashed buckets. Counts are damped by log(1 + n), weighted by inverse document frequency
 and normalised. Each language's training vectors are clustered by spherical k-means; a text belongs to the language of
-the centroid with the largest cosine. It is rejected where that cosine is below `slack` times the least cosine that any
-training text of that language has to its own centroids, or where it has no letter.
+the centroid with the largest cosine. It is rejected where that cosine is below a limit, or where it has no letter.
 
-The fit uses at most `per_language` labelled rows of each language, picked by a hash of the id; prediction covers every
-row and whole texts, and is one narrow pass. Null texts and texts without a letter are `und` with score 0. Rows with a
+The limit depends on the language and on the number of different n-grams of the text, as short and repetitive texts lie
+farther from every centroid: for each class of such numbers it is a low quantile (`reject`) of the cosines of the training texts, and of short spans of them, to
+the centroids of their language. A class with few of them takes the limit of the next smaller one.
+
+The fit uses at most `per_language` labelled rows of each of the `languages` most frequent languages, picked by a hash of
+the id; prediction covers every row and whole texts, and is one narrow pass. Null texts and texts without a letter are
+`und` with score 0. Of centroids at equal cosine the first in the order of the languages wins. Repeated rows each get
+their row, and count as often in the fit; rows with a null doc_id are learned from and predicted like others. Rows with a
 null language are not learned from; without any training row every text is `und`.
 """
 
@@ -27,6 +32,10 @@ LETTER = regex.compile(r"\p{L}")
 #: ASCII letters and non-ASCII bytes stay, the rest becomes a space.
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SPACES = regex.compile(rb" {2,}")
+#: Spans of so many words of a training text show how far short texts of its language lie from the centroids.
+SPANS = (1, 2, 4, 8, 16, 32, 64)
+#: A class of lengths has a limit of its own from so many cosines on; its limit is so much below the quantile.
+LEAST_ROWS, MARGIN = 100, 0.8
 
 
 def counts(text: str, buckets: int) -> np.ndarray:
@@ -43,7 +52,8 @@ def counts(text: str, buckets: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids as unit rows, the language of each, the weights of the buckets and the least cosine by language."""
+    """Centroids as unit rows, the language of each, the weights of the buckets and the least cosine by language and class
+    of lengths."""
 
     languages: list[str]
     owner: np.ndarray
@@ -51,7 +61,7 @@ class Model:
     weight: np.ndarray
     least: np.ndarray
 
-    def vectors(self, rows: list[np.ndarray]) -> np.ndarray:
+    def vectors(self, rows: list[np.ndarray] | np.ndarray) -> np.ndarray:
         return _unit(np.log1p(np.array(rows, np.float32)) * self.weight)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -59,13 +69,41 @@ class Model:
         out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(texts)
         real = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
         if real:
-            cosine = self.vectors([counts(texts[i], len(self.weight)) for i in real]) @ self.centroids.T
+            found = [counts(texts[i], len(self.weight)) for i in real]
+            cosine = self.vectors(found) @ self.centroids.T
             best = cosine.argmax(1)
-            for i, c, k in zip(real, cosine[np.arange(len(best)), best].clip(0, 1).tolist(), self.owner[best].tolist(), strict=True):
-                out[i] = (self.languages[k], c, c < self.least[k])
+            owner, top = self.owner[best], cosine[np.arange(len(best)), best].clip(0, 1)
+            bad = top < self.least[owner, length_class(np.array([np.count_nonzero(f) for f in found]))]
+            for i, c, k, b in zip(real, top.tolist(), owner.tolist(), bad.tolist(), strict=True):
+                out[i] = (self.languages[k], c, b)
         return out
 
 
+CLASSES = 64
+
+
+def length_class(grams: np.ndarray) -> np.ndarray:
+    """Two classes for each doubling of the number of different n-grams."""
+    return np.minimum(2 * np.log2(np.maximum(grams, 1)), CLASSES - 1).astype(np.int64)
+
+
+def limits(cosine: np.ndarray, grams: np.ndarray, reject: float) -> np.ndarray:
+    """The least cosine of each class of lengths."""
+    out, last, which = np.zeros(CLASSES), 0.0, length_class(grams)
+    for k in range(CLASSES):
+        if (which == k).sum() >= LEAST_ROWS:
+            last = max(last, MARGIN * float(np.quantile(cosine[which == k], reject)))
+        out[k] = last
+    return out
+
+
+def spans(text: str) -> list[str]:
+    """Spans of the numbers of words in `SPANS`, from places spread over the text by its length."""
+    words = text.split()
+    at = [(len(text) * (2 * k + 1) * 7919) % (len(words) - n + 1) if len(words) > n else 0 for k, n in enumerate(SPANS)]
+    return [" ".join(words[a : a + n]) for a, n in zip(at, SPANS, strict=True) if len(words) > n]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -83,35 +121,49 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, train: Column, *, per_language: int = 800, clusters: int = 3, buckets: int = 4096, slack: float = 0.25) -> Model:
-    """Learns from the rows where `train` holds and `lang` is not null, at most `per_language` of each language."""
+def fit(docs: DataFrame, train: Column, *, per_language: int = 800, clusters: int = 3, buckets: int = 4096, reject: float = 0.002, languages: int = 512) -> Model:
+    """Learns from the rows where `train` holds and `lang` is not null, at most `per_language` of each of the most frequent
+    `languages`, so what the driver collects is bounded."""
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = F.xxhash64(F.col("doc_id").cast("string"))
     share = F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sizes = rows.groupBy("lang").count()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
     some = rows.join(F.broadcast(sizes), "lang").filter(share * F.col("count") <= 1.5 * per_language + 50)
     picked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text")))).filter(F.col("n") <= per_language)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            full = [counts(t, buckets) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            parts = [x for t in texts for x in (t, *filter(LETTER.search, spans(t)))]
+            row = [k for k, t in enumerate(texts) for _ in (t, *filter(LETTER.search, spans(t)))]
+            full = [counts(t, buckets) for t in parts]
             at = [np.flatnonzero(x) for x in full]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(full, at, strict=True)], pa.list_(pa.int32()))], ["lang", "at", "n"])
+            whole = pa.array([k == 0 or row[k] != row[k - 1] for k in range(len(row))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), whole, pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(full, at, strict=True)], pa.list_(pa.int32()))], ["lang", "whole", "at", "n"])
+
+    got = picked.select("lang", "text").mapInArrow(task, "lang string, whole boolean, at array<int>, n array<int>").toArrow()
+    langs, whole = np.array(got.column(0).to_pylist(), object), got.column(1).to_numpy().astype(bool)
+    at, n = (got.column(k).combine_chunks() for k in (2, 3))
+    ends = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy()))).astype(np.int64)
+    at, n = at.flatten().to_numpy(), n.flatten().to_numpy()
+    spread = np.bincount(at[np.repeat(whole, np.diff(ends))], minlength=buckets)
+    weight = np.log((1 + whole.sum()) / (1 + spread)).astype(np.float32) + np.float32(1)
+    model = Model([], np.empty(0, int), np.empty((0, buckets), np.float32), weight, np.empty((0, CLASSES)))
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        full = np.zeros((len(rows), buckets), np.float32)
+        for i, k in enumerate(rows):
+            full[i, at[ends[k] : ends[k + 1]]] = n[ends[k] : ends[k + 1]]
+        return full
 
-    got = picked.select("lang", "text").mapInArrow(task, "lang string, at array<int>, n array<int>").toArrow()
-    langs, at, n = got.column(0).to_pylist(), got.column(1), got.column(2)
-    spread = np.bincount(np.concatenate([x.as_py() for x in at] or [np.empty(0, int)]).astype(int), minlength=buckets)
-    model = Model([], np.empty(0, int), np.empty((0, buckets), np.float32), np.log((1 + len(langs)) / (1 + spread)).astype(np.float32) + np.float32(1), np.empty(0))
     for lang in sorted({*langs}):
-        full = []
-        for i in (i for i, x in enumerate(langs) if x == lang):
-            full.append(np.zeros(buckets, np.float32))
-            full[-1][at[i].as_py()] = n[i].as_py()
-        x = model.vectors(full)
-        c = _clusters(x, clusters)
+        mine = np.flatnonzero(langs == lang)
+        c = _clusters(model.vectors(dense(mine[whole[mine]])), clusters)
+        parts = [dense(mine[i : i + 512]) for i in range(0, len(mine), 512)]
+        cosine = np.concatenate([(model.vectors(x) @ c.T).max(1) for x in parts])
         model.owner = np.concatenate((model.owner, np.full(len(c), len(model.languages))))
         model.centroids = np.concatenate((model.centroids, c.astype(np.float32)))
-        model.least = np.append(model.least, slack * float((x @ c.T).max(1).min()))
+        model.least = np.concatenate((model.least, limits(cosine, np.concatenate([np.count_nonzero(x, axis=1) for x in parts]), reject)[None]))
         model.languages.append(lang)
     return model
 

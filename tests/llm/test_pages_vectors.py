@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seawake.llm import components, embedding_dedup, html_extract
@@ -33,7 +34,8 @@ def test_template_text_goes_and_content_stays(spark):
     got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
     assert [got[i] for i in range(60)] == want and got[100] == "" and got[101] == got[102] == "only page"
     assert html_extract.main_text(df.limit(0)).count() == 0
-    assert html_extract.extract(df).columns == ["page_id", "url", "html", "text"]
+    out = html_extract.extract(df.withColumn("text", F.lit("old")))
+    assert out.columns == [*df.columns, "text"] and {r.host for r in out.collect()} == {"k"}
 
 
 def test_constants_in_runs_of_like_siblings_go(spark):
@@ -51,6 +53,68 @@ def test_constants_in_runs_of_like_siblings_go(spark):
     assert [got[i] for i in range(40)] == want
 
 
+@pytest.mark.parametrize("shipped", [None, 0])
+def test_slots_decide_where_names_do_not(spark, monkeypatch, shipped):
+    if shipped is not None:
+        monkeypatch.setattr(html_extract, "SHIPPED", shipped)
+    rng = random.Random(7)
+    words = lambda n: " ".join(rng.choice("red green blue cyan pink".split()) for _ in range(n))
+    pages, want = [], []
+    for i in range(30):
+        menu = "".join(f"<li><a href='/{k}'>{words(1)} {i} {k}</a>" for k in range(6))  # other links on every page
+        told = f"<div class='ad {i}'>{words(8)} {i}</div><footer>&copy; {words(5)} {i}</footer>"
+        body = [f"story {i}", f"{words(30)} {i}", f"{words(12)} {i}"]
+        text = f"<h1>{body[0]}</h1><p>{body[1]}</p><p>Sponsored by no one</p><p>{body[2]} <a href=x>see</a></p>"
+        pages.append((i, f"http://slots/{i}", f"<html><head><title>t {i}</title></head><body><div><ul>{menu}</ul></div><div class='page has-sidebar'>{text}</div><section>Read on</section>{told}</body></html>"))
+        want.append("\n".join([*body[:2], f"{body[2]} see"]))
+    pages.append((90, "http://few/", "<nav>menu</nav><p>main</p><div class='has-sidebar'>left out by name</div>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert [got[i] for i in range(30)] == want and got[90] == "main"
+    found = html_extract.templates(df.withColumn(html_extract.HOSTED, F.lit("slots")), []).collect()
+    assert {r.path.split("/")[-1] for r in found if r.text == ""} >= {"ul.", "footer.", "div.ad 0"}
+
+
+def test_every_host_of_the_test_table_has_a_template(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn(html_extract.HOSTED, F.regexp_extract("url", html_extract.HOST, 1))
+    hosts = {r[0] for r in df.groupBy(html_extract.HOSTED).count().filter("count >= 8").collect()}
+    found = html_extract.templates(df, []).collect()
+    assert {r[0] for r in found if r.path} == hosts and len(hosts) > 3
+    assert all({"nav.", "div.ad", "footer."} <= {r.path.split("/")[-1] for r in found if r[0] == h and r.path} for h in hosts)
+    for r in html_extract.extract(df.drop(html_extract.HOSTED)).collect():
+        inner = r.html[r.html.index("<article>") : r.html.index("</article>")]
+        assert r.text == html_extract.text_of(inner)
+
+
+def test_alignment_is_the_largest(spark):
+    rng = random.Random(5)
+
+    def tree(depth, path=""):
+        f = html_extract.Fold(f"{path}/{rng.choice('ab')}", 0)
+        f.children = [tree(depth - 1, f.path) for _ in range(rng.randint(0, 3))] if depth else []
+        return f
+
+    def slot(f):
+        s = html_extract.Slot(f.path, 0)
+        s.children = [slot(c) for c in f.children]
+        return s
+
+    def best(a, b):  # over all choices that keep order
+        if a.path != b.path:
+            return 0
+
+        def rest(x, y):
+            if not x or not y:
+                return 0
+            return max(rest(x[1:], y), rest(x, y[1:]), (w := best(x[0], y[0])) and w + rest(x[1:], y[1:]))
+
+        return 1 + rest(a.children, b.children)
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        assert html_extract.matching(slot(a), b) == best(a, b)
+
+
 def test_copies_of_an_article_are_no_template(spark):
     pages = [(i, "http://h/", f"<nav>{i}</nav><article><h1>Same</h1><p>Same text</p></article>") for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

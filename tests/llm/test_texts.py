@@ -250,7 +250,7 @@ def test_signatures_are_shared_by_all_similar_sets(choice):
         x, y = (np.sort(np.array(s, np.uint64)) for s in (a, b))
         if extra:
             assert np.intersect1d(jaccard_join.signatures(x, bands, *choice, hot), jaccard_join.signatures(y, bands, *choice, hot)).size
-        differ = np.unpackbits((jaccard_join.sketch(x)[:8] ^ jaccard_join.sketch(y)[:8]).view(np.uint8)).sum() if n < 400 else 0
+        differ = np.unpackbits((jaccard_join.sketch(x) ^ jaccard_join.sketch(y)).view(np.uint8)).sum() if n < 400 else 0
         assert differ <= extra
 
 
@@ -389,7 +389,7 @@ def test_language_id(spark):
     rows = language_id.predicted(d).join(d.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
     assert len(rows) == d.count() and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
-    assert not any(r.rejected for r in rows) and all(0 <= r.score <= 1 for r in rows)
+    assert sum(r.rejected for r in held) <= len(held) / 100 and all(0 <= r.score <= 1 for r in rows)
     model = language_id.fit(d, F.lit(True))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "the of and that"), (5, "ЖЖЖЖ ЩЩЩЩ")], "doc_id long, text string")
     got = by_id(language_id.identify(odd, model))
@@ -397,3 +397,29 @@ def test_language_id(spark):
     assert got[4].lang_pred == "en" and not got[4].rejected and got[5].rejected
     assert {r.lang_pred for r in language_id.predicted(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_id.identify(odd.limit(0), model).count() == 0
+
+
+def test_what_is_in_no_learned_language_is_rejected(spark):
+    d, rng = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), random.Random(1)
+    known = language_id.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), ~language_id.held_out())
+    random_words = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(80))
+    code = '#include <stdio.h>\nint main(void) { for (int i = 0; i < 10; i++) { printf("%d", i); } return 0; } static char *buf = malloc(sizeof(char) * len); if (!buf) exit(1);'
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    swahili = "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu. Kila mtu anastahili kuwa na haki zote na uhuru wote ambao umeelezwa katika Taarifa hii bila ubaguzi wa aina yo yote."
+    assert [x[2] for x in known.predict([random_words, code, finnish, swahili])] == [True] * 4
+    for left_out in ("es", "fr"):
+        model = language_id.fit(d, F.col("lang") != left_out)
+        texts = [r.text for r in d.filter((F.col("lang") == left_out) & (F.length("text") > 400)).collect()]
+        assert sum(x[2] for x in model.predict(texts)) > 0.5 * len(texts)
+
+
+def test_language_of_odd_rows(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    d = d.unionByName(d.limit(5)).unionByName(spark.createDataFrame([(None, "the of and that", "en"), (None, None, None), (7, "x" * 50_000, None)], d.schema))
+    clash = d.withColumn("lang_pred", F.lit("mine")).withColumn("score", F.lit(-1.0)).withColumn("rejected", F.lit("no"))
+    out = language_id.identify(clash, language_id.fit(clash, F.lit(True)))
+    rows = out.collect()
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"] and len(rows) == d.count() and "mine" not in {r.lang_pred for r in rows}
+    assert len({(r.doc_id, r.text): r.lang_pred for r in rows}) == len({(r.doc_id, r.text, r.lang_pred) for r in rows})
+    flat = language_id.Model(["a", "b"], np.array([0, 1]), np.ones((2, 4096), np.float32) / 64, np.ones(4096, np.float32), np.zeros((2, language_id.CLASSES)))
+    assert flat.predict(["equally near"])[0][0] == "a"
