@@ -400,17 +400,17 @@ def test_language_id(spark):
 
 
 def test_what_is_in_no_learned_language_is_rejected(spark):
-    d, rng = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), random.Random(1)
-    known = language_id.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), ~language_id.held_out())
+    d, rng = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), random.Random(1)
+    known = language_id.fit(d, ~language_id.held_out())
     random_words = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(80))
     code = '#include <stdio.h>\nint main(void) { for (int i = 0; i < 10; i++) { printf("%d", i); } return 0; } static char *buf = malloc(sizeof(char) * len); if (!buf) exit(1);'
     finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
     swahili = "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu. Kila mtu anastahili kuwa na haki zote na uhuru wote ambao umeelezwa katika Taarifa hii bila ubaguzi wa aina yo yote."
     assert [x[2] for x in known.predict([random_words, code, finnish, swahili])] == [True] * 4
     for left_out in ("es", "fr"):
-        model = language_id.fit(d, F.col("lang") != left_out)
-        texts = [r.text for r in d.filter((F.col("lang") == left_out) & (F.length("text") > 400)).collect()]
-        assert sum(x[2] for x in model.predict(texts)) > 0.5 * len(texts)
+        model = language_id.fit(d, (F.col("lang") != left_out) & ~language_id.held_out())
+        texts = [r.text for r in d.filter((F.col("lang") == left_out) & (F.length("text") > 400)).limit(300).collect()]
+        assert sum(x[2] for x in model.predict(texts)) > 0.95 * len(texts)
 
 
 def test_language_of_odd_rows(spark):
