@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Spellings of destinations and vessel types, in the order in which they are tried.
 DESTINATION_ALIASES = {
-    "GOTHENBURG": "SEGOT", "GOTEBORG": "SEGOT", "GOT": "SEGOT", "SE GOT": "SEGOT",
-    "LUBECK": "DELBC", "TRAVEMUNDE": "DETRV", "KIEL": "DEKEL", "RIGA": "LVRIX", "VENTSPILS": "LVVNT", "KLAIPEDA": "LTKLJ",
+    "RU LED": "RULED", "RULED": "RULED", "LT KLJ": "LTKLJ", "LTKLJ": "LTKLJ", "SE GOT": "SEGOT", "SEGOT": "SEGOT",
+    "SE KAR": "SEKAR", "SEKAR": "SEKAR", "FI HEL": "FIHEL", "FIHEL": "FIHEL",
 }
 VESSEL_ALIASES = (
     ("tanker", "tanker"), ("oil tanker", "tanker"), ("chemical tanker", "tanker"), ("gas tanker", "tanker"),
@@ -40,13 +40,15 @@ def vessel_type(c: Column) -> Column:
 
 
 def destination(c: Column) -> Column:
-    """Upper case, punctuation to spaces, aliases, `AA BBB` to `AABBB`; UNKNOWN where nothing is left."""
-    x = F.trim(F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]+", " "), " +", " "))
+    """Upper case, punctuation to spaces, aliases, five letters in one word where they are a code; UNKNOWN where nothing is
+    left."""
+    up = F.trim(F.upper(F.coalesce(c, F.lit(""))))
+    x = F.trim(F.regexp_replace(F.regexp_replace(up, "[^A-Z0-9 ]+", " "), " +", " "))
     tight = F.replace(x, F.lit(" "), F.lit(""))
     table = F.create_map(*(F.lit(v) for kv in DESTINATION_ALIASES.items() for v in kv))
     known = F.coalesce(F.try_element_at(table, x), F.try_element_at(table, tight))
-    spaced = F.when(x.rlike("^[A-Z]{2} [A-Z0-9]{3}$"), tight).otherwise(x)
-    return F.when(x.isin("", "NAN", "NONE"), "UNKNOWN").otherwise(F.coalesce(known, spaced))
+    coded = F.when(tight.rlike("^[A-Z]{5}$"), tight).otherwise(x)
+    return F.when(up.isin("", "NAN", "NONE") | (x == ""), "UNKNOWN").otherwise(F.coalesce(known, coded))
 
 
 def plain_destination(c: Column) -> Column:

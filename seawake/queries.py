@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seawake.functions import emission, text
 from seawake.operators import vectors
-from seawake.plans import carbon, forecast, kpi, learning, portday, retrieval, tracks
+from seawake.plans import answers, carbon, forecast, kpi, learning, portday, questions, retrieval, tracks
 from seawake.sources import bindings as B
 from seawake.sources import feeds
 
@@ -594,10 +594,16 @@ def answer_grounding(spark, sf):
 # ---- cleaning
 
 
-@query("""SELECT c_custkey, regexp_replace(trim(c_custkey::VARCHAR || '.0'), '^(\\d+)\\.0+$', '\\1') AS mmsi, CASE WHEN c_custkey % 5 = 0 THEN 'UNKNOWN' WHEN c_custkey % 5 = 1 THEN 'SEGOT' WHEN c_custkey % 5 = 2 THEN 'SEGOT' WHEN c_custkey % 5 = 3 THEN 'DELBC' ELSE 'LVVNT' END AS destination,
-CASE WHEN c_custkey % 5 = 4 THEN 'LV' WHEN c_custkey % 5 = 3 THEN 'DE' WHEN c_custkey % 5 = 0 THEN 'UN' ELSE 'SE' END AS country, c_acctbal AS amount FROM customer""")
+RAW_DESTINATIONS = ("  ", "se-got", "RU LED", "fihel!", " lv vnt", "lv v nt", "Port Hamburg", "nan", "GOT 12", "***", "LT  KLJ", "None.")
+
+
+@query(f"""WITH r AS (SELECT *, [{", ".join(f"'{d}'" for d in RAW_DESTINATIONS)}][(c_custkey % {len(RAW_DESTINATIONS)})::INT + 1] AS raw FROM customer),
+u AS (SELECT *, upper(trim(raw)) AS up, trim(regexp_replace(regexp_replace(upper(trim(raw)), '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS t FROM r),
+d AS (SELECT *, CASE WHEN up IN ('', 'NAN', 'NONE') OR t = '' THEN 'UNKNOWN' WHEN replace(t, ' ', '') IN ('RULED', 'LTKLJ', 'SEGOT', 'SEKAR', 'FIHEL') THEN replace(t, ' ', '')
+  WHEN regexp_matches(replace(t, ' ', ''), '^[A-Z]{{5}}$') THEN replace(t, ' ', '') ELSE t END AS destination FROM u)
+SELECT c_custkey, regexp_replace(trim(c_custkey::VARCHAR || '.0'), '^(\\d+)\\.0+$', '\\1') AS mmsi, destination, CASE WHEN length(destination) < 2 THEN 'UNK' ELSE upper(substring(destination, 1, 2)) END AS country, c_acctbal AS amount FROM d""")
 def normalised(spark, sf):
-    raw = F.element_at(F.array(*map(F.lit, ("  ", "se-got", "Göteborg".replace("ö", "o"), "LUBECK", " lv vnt"))), (F.col("c_custkey") % 5).cast("int") + 1)
+    raw = F.element_at(F.array(*map(F.lit, RAW_DESTINATIONS)), (F.col("c_custkey") % len(RAW_DESTINATIONS)).cast("int") + 1)
     c = B.table(spark, sf, "customer").withColumn("d", text.destination(raw))
     amount = text.number(F.replace(F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(",")))
     return c.select("c_custkey", text.identifier(F.concat(F.col("c_custkey").cast("string"), F.lit(".0"))).alias("mmsi"), F.col("d").alias("destination"), text.country(F.col("d")).alias("country"), amount.alias("amount"))
@@ -631,6 +637,142 @@ def resolved_ports(spark, sf):
     return retrieval.resolve_ports(asked, kpi.port_catalog(daily(spark, sf))).filter("port_key IS NOT NULL")
 
 
+# ---- answers
+
+SCOPE_SQL = """sc AS (SELECT n_nationkey * 10 + k AS scope_id, CASE WHEN k = 5 THEN 'NOWHERE' ELSE replace(upper(n_name), ' ', '_') END AS port_key, [DATE '2024-01-01', DATE '2024-01-10', DATE '2024-02-01', DATE '2023-01-01', NULL][k] AS date_from,
+  [DATE '2024-01-31', DATE '2024-01-12', DATE '2024-01-01', DATE '2023-02-01', NULL][k] AS date_to, CASE WHEN k = 2 THEN 'TTW' ELSE 'WTW' END AS boundary FROM nation, range(1, 6) r(k))"""
+_CH = lambda s="": f"CASE WHEN boundary = 'WTW' THEN wtw_co2e_t{s} ELSE ttw_co2e_t{s} END"
+_IN = "(date_from IS NULL OR date >= date_from) AND (date_to IS NULL OR date <= date_to)"
+
+
+def scopes(spark: SparkSession, sf: str) -> DataFrame:
+    days = (("2024-01-01", "2024-01-31"), ("2024-01-10", "2024-01-12"), ("2024-02-01", "2024-01-01"), ("2023-01-01", "2023-02-01"), (None, None))
+    rows_ = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).cast("date").alias("date_from"), F.lit(b).cast("date").alias("date_to")) for k, (a, b) in enumerate(days, 1)))
+    n = B.table(spark, sf, "nation").select("n_nationkey", "n_name", F.inline(rows_))
+    port = F.when(F.col("k") == 5, "NOWHERE").otherwise(F.replace(F.upper("n_name"), F.lit(" "), F.lit("_")))
+    return n.select((F.col("n_nationkey") * 10 + F.col("k")).cast("long").alias("scope_id"), port.alias("port_key"), "date_from", "date_to", F.when(F.col("k") == 2, "TTW").otherwise("WTW").alias("boundary"))
+
+
+@query(W(*ROWS, SEGS, DAILY_PORT, SCOPE_SQL, f"""li AS (SELECT scope_id, call_id, {_CH()} AS t, {_CH('_lower')} AS lo, {_CH('_upper')} AS up, duration_h, fallback_usage_ratio FROM segs JOIN sc USING (port_key) WHERE call_id IS NOT NULL AND {_IN}),
+bc AS (SELECT scope_id, call_id, sum(t) AS t, sum(lo) AS lo, sum(up) AS up, sum(duration_h) AS h FROM li GROUP BY ALL), bs AS (SELECT scope_id, sum(t) AS t, avg(fallback_usage_ratio) AS f FROM li GROUP BY ALL),
+ca AS (SELECT scope_id, sum(t) AS ct, sum(lo) AS lo, sum(up) AS up, count(*) AS n, max(t) AS mt, max(h) AS mh FROM bc GROUP BY ALL),
+pr AS (SELECT scope_id, sum({_CH()}) AS pt, sum({_CH('_lower')}) AS pl, sum({_CH('_upper')}) AS pu, avg(fallback_usage_ratio) AS pf FROM dp JOIN sc USING (port_key) WHERE {_IN} GROUP BY ALL),
+ba AS (SELECT port_key, median(ttw_co2e_t) AS bt, median(wtw_co2e_t) AS bw FROM dp GROUP BY ALL),
+jo AS (SELECT sc.*, ca.*, bs.t, bs.f, pr.*, coalesce(CASE WHEN boundary = 'WTW' THEN bw ELSE bt END, 0) AS base, CASE WHEN coalesce(date_from > date_to, false) THEN NULL WHEN ca.n > 0 THEN 'call_linked' WHEN pt IS NOT NULL THEN 'daily_proxy' END AS mode
+  FROM sc LEFT JOIN ca ON sc.scope_id = ca.scope_id LEFT JOIN bs ON sc.scope_id = bs.scope_id LEFT JOIN pr ON sc.scope_id = pr.scope_id LEFT JOIN ba ON sc.port_key = ba.port_key),
+ei AS (SELECT *, CASE mode WHEN 'call_linked' THEN t WHEN 'daily_proxy' THEN pt END AS total, CASE mode WHEN 'call_linked' THEN lo WHEN 'daily_proxy' THEN pl END AS lower, CASE mode WHEN 'call_linked' THEN up WHEN 'daily_proxy' THEN pu END AS upper, CASE mode WHEN 'call_linked' THEN f WHEN 'daily_proxy' THEN pf END AS fb FROM jo),
+la AS (SELECT *, CASE WHEN total > 0 THEN (upper - lower) / total ELSE 0 END AS w FROM ei), lb AS (SELECT *, CASE WHEN w <= 0.2 AND fb <= 0.05 THEN 'high' WHEN w <= 0.4 OR fb <= 0.2 THEN 'medium' ELSE 'low' END AS c FROM la)""",
+    tail="""SELECT scope_id::BIGINT AS scope_id, CASE WHEN mode IS NULL THEN 'NOT_COMPUTABLE' WHEN abs(total) < 1e-12 THEN 'COMPUTED_ZERO' ELSE 'COMPUTED' END AS state, mode, round(total, 6) AS total, round(lower, 6) AS lower, round(upper, 6) AS upper,
+CASE WHEN mode IS NULL THEN NULL WHEN mode = 'daily_proxy' AND c = 'high' THEN 'medium' ELSE c END AS confidence, CASE WHEN mode = 'call_linked' THEN round(ct, 6) END AS calls_total, CASE WHEN coalesce(date_from > date_to, false) THEN 0 ELSE coalesce(n, 0) END::BIGINT AS unique_calls,
+CASE WHEN mode IS NULL OR base < 1 THEN 'unstable baseline' WHEN mode = 'call_linked' AND (mh > 240 OR mt > 500) THEN 'warning' ELSE 'checked' END AS sanity FROM lb"""))
+def port_emission_answers(spark, sf):
+    return answers.port_emissions(segs(spark, sf), scopes(spark, sf))
+
+
+ASK_SQL = """ak AS (SELECT call_no * 4 + k AS ask_id, mmsi, CASE k WHEN 0 THEN call_id WHEN 1 THEN ' _' || lower(replace(call_id, '-', '')) WHEN 2 THEN call_id || 'X' ELSE replace(call_id, '_', ':') END AS call_id FROM port_calls, range(4) r(k) WHERE call_no % 7 = 0)"""
+
+
+@query(W(*ROWS, SEGS, BY_CALL, ASK_SQL, """ne AS (SELECT ask_id, ltrim(trim(ak.call_id), ' :_-') = cl.call_id AS ex, cl.* FROM ak JOIN cl ON ak.mmsi = cl.mmsi AND regexp_replace(upper(ak.call_id), '[^A-Z0-9]', '', 'g') = regexp_replace(upper(cl.call_id), '[^A-Z0-9]', '', 'g')),
+fo AS (SELECT ask_id, bool_or(ex) AS ex, count(DISTINCT call_id) AS n, sum(wtw_co2e_t) FILTER (WHERE ex) AS xt, sum(wtw_co2e_t_lower) FILTER (WHERE ex) AS xl, sum(wtw_co2e_t_upper) FILTER (WHERE ex) AS xu, sum(wtw_co2e_t) AS yt, sum(wtw_co2e_t_lower) AS yl, sum(wtw_co2e_t_upper) AS yu FROM ne GROUP BY ask_id),
+re AS (SELECT ask_id, n, ex, CASE WHEN ex THEN xt WHEN n = 1 THEN yt END AS total, CASE WHEN ex THEN xl WHEN n = 1 THEN yl END AS lower, CASE WHEN ex THEN xu WHEN n = 1 THEN yu END AS upper FROM ak LEFT JOIN fo USING (ask_id))""",
+    tail="SELECT ask_id::BIGINT AS ask_id, CASE WHEN total IS NULL THEN 'NOT_COMPUTABLE' WHEN abs(total) < 1e-12 THEN 'COMPUTED_ZERO' ELSE 'COMPUTED' END AS state, CASE WHEN n IS NULL THEN 'no match' WHEN NOT ex AND n > 1 THEN 'ambiguous' END AS reason, round(total, 6) AS total, round(lower, 6) AS lower, round(upper, 6) AS upper FROM re"))
+def call_emission_answers(spark, sf):
+    c = B.port_calls(spark, sf).filter("call_no % 7 = 0").select("call_no", "mmsi", "call_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    asked_id = F.when(F.col("k") == 0, F.col("call_id")).when(F.col("k") == 1, F.concat(F.lit(" _"), F.lower(F.replace("call_id", F.lit("-"), F.lit(""))))).when(F.col("k") == 2, F.concat("call_id", F.lit("X"))).otherwise(F.replace("call_id", F.lit("_"), F.lit(":")))
+    return answers.call_emissions(carbon.by_call(segs(spark, sf)), c.select((F.col("call_no") * 4 + F.col("k")).alias("ask_id"), "mmsi", asked_id.alias("call_id")))
+
+
+CONGESTION_SERIES = "s AS (SELECT port_key, date, sum(congestion_index)::DOUBLE AS value FROM idx WHERE congestion_index IS NOT NULL GROUP BY ALL)"
+
+
+def _on(target: str) -> str:
+    """SQL for one target day."""
+    d = f"DATE '{target}'"
+    t = [f"month(date) = month({d}) AND day(date) = day({d})", f"month(date) = month({d}) AND abs(day(date) - day({d})) <= 2 AND dayname(date) = dayname({d})", f"week(date) = week({d}) AND dayname(date) = dayname({d})", f"month(date) = month({d}) AND dayname(date) = dayname({d})", f"month(date) = month({d})", f"dayname(date) = dayname({d})", "true"]
+    tier = " ".join(f"WHEN count(*) FILTER (WHERE {x}) >= {k} THEN {i}" for i, (x, k) in enumerate(zip(t, _M, strict=True), 1))
+    held = " OR ".join(f"(tier = {i} AND {x})" for i, x in enumerate(t, 1))
+    return f"""SELECT '{target}' AS target, port_key, method, round(v, 6) AS predicted, round(lo, 6) AS lower, round(up, 6) AS upper, confidence, CASE WHEN v < 0.8 THEN 'below normal' WHEN v < 1.2 THEN 'normal' WHEN v < 1.6 THEN 'elevated' WHEN v IS NOT NULL THEN 'high' END AS level FROM (
+SELECT e.port_key, CASE WHEN seen IS NOT NULL THEN 'observed' WHEN near THEN 'model' ELSE 'analog' END AS method, coalesce(seen, CASE WHEN near THEN predicted ELSE p END) AS v, coalesce(seen, CASE WHEN near THEN greatest(0, predicted - 1.96 * sigma * sqrt(step)) ELSE greatest(0, CASE WHEN k = 1 THEN p * 0.8 ELSE a END) END) AS lo,
+  coalesce(seen, CASE WHEN near THEN predicted + 1.96 * sigma * sqrt(step) WHEN k = 1 THEN p * 1.2 ELSE b2 END) AS up, CASE WHEN seen IS NOT NULL THEN NULL WHEN near THEN CASE WHEN ahead <= 14 THEN 'high' ELSE 'medium' END
+  WHEN tier = 1 AND k >= 4 THEN 'high' WHEN tier = 1 AND k >= 2 THEN 'medium' WHEN tier = 2 AND k >= 3 THEN 'high' WHEN tier = 2 AND k >= 2 THEN 'medium' WHEN tier <= 4 AND k >= 3 THEN 'medium' WHEN k >= 5 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT *, ahead > 0 AND ahead <= 28 AND n >= 14 AS near FROM (SELECT port_key, date_diff('day', max(date), {d}) AS ahead, count(*) AS n, max(value) FILTER (WHERE date = {d}) AS seen FROM s GROUP BY port_key)) e
+LEFT JOIN (SELECT port_key, step, predicted, sigma FROM f JOIN b USING (port_key) WHERE step > 0 AND last + step = {d}) g ON e.port_key = g.port_key
+LEFT JOIN (SELECT port_key, tier, count(*) AS k, avg(value) AS p, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.9) AS b2 FROM s JOIN (SELECT port_key, CASE {tier} END AS tier FROM s GROUP BY port_key) USING (port_key) WHERE {held} GROUP BY ALL) x ON e.port_key = x.port_key)"""
+
+
+TARGETS = ("2024-01-15", "2024-02-05", "2024-02-20", "2025-03-14")
+
+
+@query("WITH RECURSIVE " + ", ".join((CALLS, DAILY, STAYS, POSITIONS, PROXY, INDEX, CONGESTION_SERIES, ONE, HORIZON)) + """, f AS (SELECT port_key, 0 AS step, h, NULL::DOUBLE AS predicted FROM h0
+UNION ALL SELECT port_key, step + 1, h[2:7] || [greatest(0, 0.7 * h[1] + 0.3 * list_avg(h))], greatest(0, 0.7 * h[1] + 0.3 * list_avg(h)) FROM f WHERE step < 28) """ + " UNION ALL ".join(map(_on, TARGETS)))
+def congestion_on_date(spark, sf):
+    series_ = forecast.daily_series(index(spark, sf), "congestion_index")
+    out = [answers.congestion_on(series_, t).select(F.lit(t).alias("target"), "*") for t in TARGETS]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(W(*ROWS, SEGS, DAILY_PORT, "t AS (SELECT port_key, date, sum(wtw_co2e_t) AS total_t FROM dp GROUP BY ALL)", "v AS (SELECT *, lag(total_t) OVER w AS y, avg(total_t) OVER (PARTITION BY port_key ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS m FROM t WINDOW w AS (PARTITION BY port_key ORDER BY date))",
+    "u AS (SELECT *, CASE WHEN abs(y) >= 1 THEN (total_t - y) / abs(y) * 100 END AS day_change, CASE WHEN abs(m) >= 1 THEN (total_t - m) / abs(m) * 100 END AS mean_change FROM v)",
+    tail="SELECT port_key, date, round(total_t, 6) AS total_t, round(day_change, 6) AS day_change, round(mean_change, 6) AS mean_change, CASE WHEN mean_change IS NULL THEN 'no baseline' WHEN mean_change >= 80 THEN 'very high' WHEN mean_change >= 30 THEN 'high' WHEN mean_change <= -30 THEN 'low' ELSE 'usual' END AS level FROM u"), dates="date")
+def emission_changes(spark, sf):
+    return answers.emission_changes(carbon.daily_port(segs(spark, sf))).drop("shown")
+
+
+LINE_SQL = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT conv_id, turn, '[' || role || ' | n/a | ' || turn::VARCHAR || '] ' || CASE WHEN length({LINE_SQL}) > 160 THEN rtrim(substring({LINE_SQL}, 1, 160)) || '...' ELSE {LINE_SQL} END AS line FROM conversations WHERE text IS NOT NULL")
+def evidence_lines(spark, sf):
+    c = B.table(spark, sf, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", F.col("role").alias("source"), F.lit(" ").alias("port_key"), F.col("turn").alias("date"), "text")
+    return answers.evidence_lines(c).select("conv_id", "turn", "line")
+
+
+@query(W(POSITIONS, "c AS (SELECT vessel_type_norm AS question, port_key, count(*) AS k FROM positions GROUP BY ALL)", tail="SELECT question, min(timestamp::DATE) AS first, max(timestamp::DATE) AS last, round(min(speed), 6) AS least, round(max(speed), 6) AS most, count(*) AS n, (SELECT port_key FROM c WHERE c.question = p.vessel_type_norm ORDER BY k DESC, port_key LIMIT 1) AS top_port FROM (SELECT *, vessel_type_norm AS question FROM positions) p GROUP BY question, vessel_type_norm"), dates="first last")
+def evidence_span(spark, sf):
+    p = B.positions(spark, sf).select(F.col("vessel_type_norm").alias("question"), "port_key", F.col("timestamp").cast("date").alias("date"), F.col("speed").alias("value"))
+    return answers.evidence_span(p)
+
+
+# ---- questions
+
+ASKED = (
+    "Show daily arrival counts at LVVNT between 2022-02-01 and 2022-02-28 for %s.", "Show monthly WTW CO2e trend for SETRG in 2022.", "What are call-level emissions for MMSI 123456789 and call_id_123456789_2022-03-01T10-00-00_SEGOT?",
+    "What is truck turn-time at the gate for SEGOT today?", "Give exact berth-level queue length for vessel arrivals at GDANSK.", "Which port is busier, FI HEL or %s, on Fridays versus Mondays?", "Predict congestion at %s for the next 6 weeks",
+    "Any suspicious jump near Gothenburg on 2022-03-05?", "Why was dwell time so high in March 2022?", "When is Klaipeda usually busiest, by hour?", "What was the peak arrival date last 3 weeks for tankers?", "NOx and PM per call in 2022-04", "how busy is it on February 20, 2026?",
+)
+KIND_SQL = lambda words: "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
+QUESTIONS_SQL = f"""q0 AS (SELECT n_nationkey, k, replace([{", ".join(f"'{a}'" for a in ASKED)}][k], '%s', n_name) AS question FROM nation, range(1, {len(ASKED)} + 1) r(k)), q1 AS (SELECT *, lower(question) AS q FROM q0)"""
+INTENT_SQL = f"""CASE WHEN {KIND_SQL(questions.UNSUPPORTED)} OR regexp_matches(q, '{questions.UNSUPPORTED_PATTERN}') THEN 'G' WHEN {KIND_SQL(questions.CARBON)} THEN 'H' WHEN {KIND_SQL(questions.ANOMALY)} THEN 'F'
+WHEN {KIND_SQL(questions.FORECAST)} THEN 'C' WHEN {KIND_SQL(questions.COMPARE)} AND {KIND_SQL((*questions.DAYS, 'weekend', 'weekday'))} THEN 'B' WHEN {KIND_SQL(questions.COMPARE)} THEN 'D'
+WHEN {KIND_SQL(questions.DIAGNOSTIC)} THEN 'E' WHEN {KIND_SQL(questions.PATTERN)} THEN 'B' ELSE 'A' END"""
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    n = B.table(spark, sf, "nation").select("n_nationkey", "n_name", F.posexplode(F.array(*map(F.lit, ASKED))).alias("k", "t"))
+    return n.select("n_nationkey", (F.col("k") + 1).cast("long").alias("k"), F.replace("t", F.lit("%s"), F.col("n_name")).alias("question"))
+
+
+@query(W(QUESTIONS_SQL, tail=f"""SELECT n_nationkey, k, {INTENT_SQL} AS intent, CASE WHEN contains(q, 'dwell') THEN 'dwell_minutes' WHEN contains(q, 'congestion') OR contains(q, 'busy') THEN 'congestion_index' WHEN contains(q, 'occupancy') THEN 'occupancy_vessels'
+WHEN contains(q, 'arrival') OR contains(q, 'arrive') THEN 'arrivals_vessels' WHEN contains(q, 'spike') OR contains(q, 'anomaly') THEN 'arrivals_spike' ELSE 'arrivals_vessels' END AS metric,
+CASE WHEN (contains(q, 'highest') OR contains(q, 'max') OR contains(q, 'peak')) AND (contains(q, 'day') OR contains(q, 'date')) THEN 'peak_day' END AS aggregation,
+CASE WHEN contains(q, 'tanker') THEN 'tanker' WHEN contains(q, 'cargo') THEN 'cargo ship' WHEN contains(q, 'container') THEN 'container ship' END AS vessel_type,
+CASE WHEN contains(q, 'wtw') OR contains(q, 'well-to-wake') OR contains(q, 'well to wake') OR contains(q, 'lifecycle') OR contains(q, 'co2e') THEN 'WTW' ELSE 'TTW' END AS boundary,
+least(greatest(coalesce(try_cast(nullif(regexp_extract(q, '\\b(\\d{{1,2}})\\s+weeks?\\b', 1), '') AS INT), 4), 1), 12) AS horizon_weeks, nullif(regexp_extract(q, '\\bmmsi\\s*[:#]?\\s*(\\d{{6,9}})\\b', 1), '') AS mmsi FROM q1"""))
+def question_intents(spark, sf):
+    return questions.understood(asked(spark, sf), F.lit("2022-03-02").cast("date")).select("n_nationkey", "k", "intent", "metric", "aggregation", "vessel_type", "boundary", "horizon_weeks", "mmsi")
+
+
+SPAN_SQL = """CASE k WHEN 1 THEN ['2022-02-01', '2022-02-28'] WHEN 8 THEN ['2022-03-05', '2022-03-05'] WHEN 9 THEN ['2022-03-01', '2022-03-31'] WHEN 12 THEN ['2022-04-01', '2022-04-30'] WHEN 13 THEN ['2026-02-20', '2026-02-20'] END"""
+FIRST_PORT_SQL = "CASE k WHEN 1 THEN 'LVVNT' WHEN 2 THEN 'SETRG' WHEN 4 THEN 'SEGOT' WHEN 5 THEN 'GDANSK' WHEN 6 THEN 'FIHEL' WHEN 8 THEN 'Gothenburg' WHEN 9 THEN 'March' WHEN 10 THEN 'Klaipeda' WHEN 11 THEN 'tankers' END"
+
+
+@query(W(QUESTIONS_SQL, tail=f"""SELECT n_nationkey, k, ({SPAN_SQL})[1] AS date_from, ({SPAN_SQL})[2] AS date_to, CASE WHEN k = 11 THEN 'last_3_weeks' END AS "window", CASE k WHEN 3 THEN '123456789_2022-03-01T10-00-00_SEGOT' END AS call_id,
+CASE k WHEN 6 THEN 'Friday' END AS dow, CASE k WHEN 6 THEN 'Monday' END AS dow_compare, {FIRST_PORT_SQL} AS port FROM q1 WHERE k <> 7"""), dates="")
+def question_entities(spark, sf):
+    got = questions.understood(asked(spark, sf), F.lit("2022-03-02").cast("date")).filter("k <> 7")
+    return got.select("n_nationkey", "k", F.col("date_from").cast("string").alias("date_from"), F.col("date_to").cast("string").alias("date_to"), "window", "call_id", "dow", "dow_compare", "port")
+
+
 # ---- learning
 
 
@@ -659,12 +801,12 @@ def regression_metrics(spark, sf):
     return learning.regression_report(forecast.one_step(values(spark, sf)), "value", "predicted")
 
 
-@query(W("p AS (SELECT o_orderpriority AS label, lag(o_orderpriority, 1, '1-URGENT') OVER (ORDER BY o_orderkey) AS prediction FROM orders WHERE o_orderkey <= 2000)", "t AS (SELECT label AS class, count(*) AS support, count(*) FILTER (WHERE label = prediction) AS hits FROM p GROUP BY label)", "q AS (SELECT prediction AS class, count(*) AS predicted FROM p GROUP BY prediction)", "m AS (SELECT class, coalesce(support, 0) AS support, coalesce(hits, 0) AS hits, coalesce(predicted, 0) AS predicted FROM t FULL JOIN q USING (class))", "r AS (SELECT *, coalesce(hits / nullif(predicted, 0), 0) AS precision, coalesce(hits / nullif(support, 0), 0) AS recall FROM m)", tail=f"SELECT class, support, hits, predicted, {R6('precision', 'recall')}, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM r"))
+@query(W("p AS (SELECT o_orderpriority AS label, lag(o_orderpriority, 1, '1-URGENT') OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prediction FROM orders)", "t AS (SELECT label AS class, count(*) AS support, count(*) FILTER (WHERE label = prediction) AS hits FROM p GROUP BY label)", "q AS (SELECT prediction AS class, count(*) AS predicted FROM p GROUP BY prediction)", "m AS (SELECT class, coalesce(support, 0) AS support, coalesce(hits, 0) AS hits, coalesce(predicted, 0) AS predicted FROM t FULL JOIN q USING (class))", "r AS (SELECT *, coalesce(hits / nullif(predicted, 0), 0) AS precision, coalesce(hits / nullif(support, 0), 0) AS recall FROM m)", tail=f"SELECT class, support, hits, predicted, {R6('precision', 'recall')}, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM r"))
 def classification_metrics(spark, sf):
     from pyspark.sql import Window
 
-    o = B.table(spark, sf, "orders").filter("o_orderkey <= 2000")
-    lag = F.lag("o_orderpriority", 1, "1-URGENT").over(Window.partitionBy(F.lit(1)).orderBy("o_orderkey"))
+    o = B.table(spark, sf, "orders")
+    lag = F.lag("o_orderpriority", 1, "1-URGENT").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     return learning.classification_report(o.select(F.col("o_orderpriority").alias("label"), lag.alias("prediction")))
 
 
