@@ -14,21 +14,26 @@ from pyspark.sql import functions as F
 FEATURES = ["speed", "course", "latitude", "longitude", "delta_distance_km", "speed_estimated_kn", "course_change_deg", "hour_of_day"]
 
 
-def ranked(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+def ranked(df: DataFrame, order: list[str], parts: int = 64) -> tuple[DataFrame, int]:
     """Rows with their 0-based position in a total order, and their number.
 
-    Positions come from range partitions and their sizes, so no task sees more than its share of the rows.
+    Rows are dealt by fixed ranges of the first column, so their sizes are the same whenever they are counted, and no task
+    sees more than its share of the rows.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    sizes = {r._p: r.n for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row per partition
-    start, at = {}, 0
-    for p in sorted(sizes):
-        start[p], at = at, at + sizes[p]
+    kind = df.schema[order[0]].dataType
+    cuts = df.agg(F.percentile_approx(order[0], [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first().cuts or []
+    part = F.lit(0)
+    for c in sorted({*cuts}):
+        part = part + F.coalesce(F.col(order[0]) > F.lit(c).cast(kind), F.lit(False)).cast("int")
+    placed = df.withColumn("_p", part)
+    start, at = [], 0
+    for r in placed.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():  # at most `parts` rows
+        start += [F.lit(r._p), F.lit(at)]
+        at += r.n
     if not start:
         return df.withColumn("position", F.lit(0).cast("long")), 0
-    offset = F.element_at(F.create_map(*(F.lit(v) for kv in start.items() for v in kv)), F.col("_p"))
     inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return placed.withColumn("position", (offset + inner).cast("long")).drop("_p"), at
+    return placed.withColumn("position", (F.element_at(F.create_map(*start), F.col("_p")) + inner).cast("long")).drop("_p"), at
 
 
 def evenly(df: DataFrame, order: list[str], m: int) -> DataFrame:
@@ -106,9 +111,17 @@ def top_classes(scored: DataFrame, names: list[str], k: int = 5) -> DataFrame:
     return scored.withColumn("top", F.slice(F.reverse(F.array_sort(p)), 1, k))
 
 
+def filled(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Gaps filled with the column's median, in rows that have any of the columns."""
+    medians = rows.agg(*(F.percentile_approx(c, 0.5, 10_000).alias(c) for c in columns)).first()
+    some = F.coalesce(*(F.col(c).cast("string") for c in columns)).isNotNull()
+    return rows.withColumns({c: F.coalesce(F.col(c), F.when(some, F.lit(medians[c]))) for c in columns})
+
+
 def fit_isolation(rows: DataFrame, columns: list[str], sample: int = 4096, trees: int = 64, depth: int = 10, seed: int = 7) -> list[list]:
-    """Random isolation trees on a bounded sample (smallest hashes); each node is (column, cut, left, right) or a path length."""
-    data = rows.select(*columns).dropna().orderBy(F.xxhash64(*columns)).limit(sample).toPandas().to_numpy(float)
+    """Random isolation trees on a bounded sample (smallest hashes) of the rows that have any of the columns, gaps filled with
+    medians; each node is (column, cut, left, right) or a path length."""
+    data = filled(rows, columns).select(*columns).dropna(how="all").orderBy(F.xxhash64(*columns)).limit(sample).toPandas().to_numpy(float)
     rng = np.random.default_rng(seed)
 
     def usual(n: int) -> float:
@@ -128,7 +141,7 @@ def fit_isolation(rows: DataFrame, columns: list[str], sample: int = 4096, trees
 
 
 def isolation_score(rows: DataFrame, columns: list[str], forest: list[list]) -> DataFrame:
-    """`anomaly_score` from 0 to 1; larger is stranger; null where a feature is null."""
+    """`anomaly_score` from 0 to 1; larger is stranger; gaps count as medians; null where every feature is null."""
 
     def paths(node: object, x: np.ndarray) -> np.ndarray:
         if not isinstance(node, list):
@@ -144,4 +157,12 @@ def isolation_score(rows: DataFrame, columns: list[str], forest: list[list]) ->
         mean = np.mean([paths(t, x) / max(u, 1e-9) for t, u in forest], axis=0)
         return pd.Series(np.where(np.isnan(x).any(1), np.nan, 2.0**-mean)).astype(object).where(~np.isnan(x).any(1), None)
 
-    return rows.withColumn("anomaly_score", score(*columns))
+    gaps = filled(rows.withColumns({f"_{c}": F.col(c) for c in columns}), [f"_{c}" for c in columns])
+    return gaps.withColumn("anomaly_score", score(*(f"_{c}" for c in columns))).drop(*(f"_{c}" for c in columns))
+
+
+def accuracy(scored: DataFrame, label: str, top: str, k: int = 5) -> DataFrame:
+    """Share of rows whose label is the first, and among the first k, of the class names in `top`."""
+    first, some = F.get(F.col(top), 0) == F.col(label), F.array_contains(F.slice(top, 1, k), F.col(label))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    return scored.agg(F.count("*").alias("rows"), share(first).alias("top_1"), share(some).alias(f"top_{k}"))

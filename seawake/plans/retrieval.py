@@ -114,22 +114,35 @@ def plain(name: str) -> str:
 
 
 def resolve_ports(asked: DataFrame, catalog: DataFrame, least: float = 0.80) -> DataFrame:
-    """(asked, port_key): the catalog port a name means: of the same key or name, else contained, else most similar.
+    """(asked, port_key): the catalog port a name means: of the same key or name, else contained, else most similar; among
+    equals the one with most arrivals, then the first key.
 
-    Names asked for are a stated query set and the catalog one row per port, so the catalog is shipped to the tasks.
+    The names asked for are a stated query set, which is shipped to the tasks that hold the catalog; every task returns its
+    best port for each name.
     """
-    ports = [(r.port_key, plain(r.port_label), r.arrivals_total) for r in catalog.orderBy(F.desc("arrivals_total"), "port_key").limit(100_000).collect()]
-
-    def best(name: str) -> str | None:
-        p = plain(name)
-        for test in (lambda k, n: k == name.strip().upper(), lambda k, n: n == p, lambda k, n: bool(p) and (p in n or n in p)):
-            if hit := next((k for k, n, _ in ports if test(k, n)), None):
-                return hit
-        scored = max(((SequenceMatcher(None, p, n).ratio(), t, k) for k, n, t in ports), default=(0.0, 0, None))
-        return scored[2] if scored[0] >= least else None
+    names = [r.asked for r in asked.select("asked").filter("asked <> ''").distinct().collect()]
+    wanted = [(a, a.strip().upper(), plain(a)) for a in names]
+
+    def rank(key: str, name: str, upper: str, p: str) -> tuple[int, float] | None:
+        if key == upper:
+            return 0, 0.0
+        if name == p:
+            return 1, 0.0
+        if p and (p in name or name in p):
+            return 2, 0.0
+        ratio = SequenceMatcher(None, p, name).ratio()
+        return (3, -ratio) if ratio >= least else None
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, tuple] = {}
         for b in batches:
-            yield pd.DataFrame({"asked": b.asked, "port_key": b.asked.map(lambda s: best(s) if s else None)})
-
-    return asked.select("asked").mapInPandas(task, "asked string, port_key string")
+            for key, label, total in zip(b.port_key, b.port_label, b.arrivals_total, strict=True):
+                name = plain(label)
+                for a, upper, p in wanted:
+                    if (r := rank(key, name, upper, p)) is not None:
+                        best[a] = min(best.get(a, (9,)), (*r, -int(total), key))
+        yield pd.DataFrame([(a, *x) for a, x in best.items()], columns=["asked", "tier", "distance", "arrivals", "port_key"])
+
+    found = catalog.select("port_key", "port_label", "arrivals_total").mapInPandas(task, "asked string, tier int, distance double, arrivals long, port_key string")
+    top = found.groupBy("asked").agg(F.min(F.struct("tier", "distance", "arrivals", "port_key")).alias("best"))
+    return asked.select("asked").join(top, "asked", "left").select("asked", F.col("best.port_key").alias("port_key"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seawake.functions import emission, text
+from seawake.functions import emission, labels, text
 from seawake.operators import vectors
 from seawake.plans import answers, carbon, forecast, kpi, learning, portday, questions, retrieval, tracks
 from seawake.sources import bindings as B
@@ -462,12 +462,19 @@ def backtest_ports(spark, sf):
     return forecast.backtest(values(spark, sf))
 
 
-@query()
+STEPS = """, f AS (SELECT port_key, 0 AS step, h, NULL::DOUBLE AS predicted FROM h0
+UNION ALL SELECT port_key, step + 1, h[2:7] || [greatest(0, 0.7 * h[1] + 0.3 * list_avg(h))], greatest(0, 0.7 * h[1] + 0.3 * list_avg(h)) FROM f WHERE step < 14)"""
+
+
+@query("WITH RECURSIVE " + ", ".join((CALLS, DAILY, SERIES, ONE, HORIZON)) + STEPS + """ SELECT port_key, round(p, 6) AS predicted, rank() OVER (ORDER BY p DESC, port_key)::BIGINT AS rank
+FROM (SELECT port_key, avg(predicted) AS p FROM f JOIN b USING (port_key) WHERE step > 0 AND port_key IN ('NATION_6', 'NATION_7') GROUP BY port_key)""")
 def forecast_comparison(spark, sf):
-    return forecast.compare(values(spark, sf), "NATION_6", "NATION_7")
+    return forecast.compare(values(spark, sf), "NATION_6", "NATION_7").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query("WITH RECURSIVE " + ", ".join((CALLS, DAILY, SERIES, ONE, HORIZON)) + STEPS + """ SELECT port_key, date, round(avg(actual), 6) AS actual, round(avg(predicted), 6) AS predicted FROM (
+SELECT port_key, date, value AS actual, NULL::DOUBLE AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY port_key ORDER BY date DESC) AS r FROM s) WHERE r <= 30
+UNION ALL SELECT port_key, last + step, NULL, predicted FROM f JOIN b USING (port_key) WHERE step > 0) GROUP BY ALL""", dates="date")
 def forecast_chart(spark, sf):
     v = values(spark, sf)
     return forecast.pivoted(forecast.with_history(v, forecast.horizon(v, 2), 30))
@@ -609,6 +616,24 @@ def normalised(spark, sf):
     return c.select("c_custkey", text.identifier(F.concat(F.col("c_custkey").cast("string"), F.lit(".0"))).alias("mmsi"), F.col("d").alias("destination"), text.country(F.col("d")).alias("country"), amount.alias("amount"))
 
 
+@query(f"""WITH r AS (SELECT *, [{", ".join(f"'{d}'" for d in RAW_DESTINATIONS)}][(c_custkey % {len(RAW_DESTINATIONS)})::INT + 1] AS raw FROM customer)
+SELECT c_custkey, regexp_extract(upper(replace(trim(raw), ' ', '')), '^([A-Z]{{5}})$', 1) AS code, regexp_replace(upper(trim(raw)), '\\s+', ' ', 'g') AS plain, CASE WHEN lower(trim(raw)) NOT IN ('', 'unknown', 'nan', 'none') THEN trim(raw) ELSE c_mktsegment END AS known,
+[true, false, true, false][(c_custkey % 4)::INT + 1] AS flag, nullif(regexp_replace(c_name, '\\D', '', 'g'), '') AS digits, round(c_acctbal / nullif(c_custkey % 3, 0), 6) AS part FROM r""")
+def cleaned_values(spark, sf):
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("c_custkey") % len(xs)).cast("int") + 1)
+    raw, flag = pick(*RAW_DESTINATIONS), pick("1", "0", " TRUE", "no")
+    return B.table(spark, sf, "customer").select(
+        "c_custkey", text.five_letter_code(F.upper(F.replace(F.trim(raw), F.lit(" "), F.lit("")))).alias("code"), text.plain_destination(raw).alias("plain"), text.first_known(raw, F.col("c_mktsegment")).alias("known"),
+        text.truth(flag).alias("flag"), text.digits(F.col("c_name")).alias("digits"), labels.share(F.col("c_acctbal"), (F.col("c_custkey") % 3).cast("double")).alias("part"),
+    )
+
+
+@query("SELECT conv_id, turn, CASE WHEN d AND NOT t THEN 'docs' WHEN t AND NOT d THEN 'traffic' ELSE 'both' END AS route FROM (SELECT conv_id, turn, list_has_any(w, ['regulation', 'policy', 'guideline', 'guidance', 'document', 'report', 'procedure', 'definition', 'convention']) AS d, list_has_any(w, ['vessel', 'vessels', 'arrival', 'arrivals', 'port', 'ship', 'ships', 'mmsi', 'dwell', 'congestion', 'traffic', 'position', 'jump']) AS t FROM (SELECT conv_id, turn, regexp_extract_all(lower(text || CASE turn % 3 WHEN 0 THEN ' port policy' WHEN 1 THEN ' arrivals' ELSE ' guidance' END), '[a-z0-9]+') AS w FROM conversations WHERE text IS NOT NULL))")
+def question_routes(spark, sf):
+    said = F.concat("text", F.when(F.col("turn") % 3 == 0, " port policy").when(F.col("turn") % 3 == 1, " arrivals").otherwise(" guidance"))
+    return retrieval.routed(B.table(spark, sf, "conversations").filter("text IS NOT NULL").withColumn("question", said)).select("conv_id", "turn", "route")
+
+
 @query(f"WITH t AS (SELECT p_partkey, lower(p_type) || CASE p_partkey % 4 WHEN 0 THEN ' oil tanker' WHEN 1 THEN '' WHEN 2 THEN ' fishing boat' ELSE ' ro-ro cargo' END AS vessel_type_norm FROM part) SELECT p_partkey, {CLASS} AS vessel_class FROM t")
 def vessel_classes(spark, sf):
     tail = F.element_at(F.array(*map(F.lit, (" oil tanker", "", " fishing boat", " ro-ro cargo"))), (F.col("p_partkey") % 4).cast("int") + 1)
@@ -828,6 +853,23 @@ def eta_predictions(spark, sf):
     return learning.train_eta(rows, rounds=5).transform(rows).select("position_id", "eta_minutes_label", "prediction")
 
 
+@query()
+def destination_metrics(spark, sf):
+    """Accuracy over the last fifth of the time of a model of the rest."""
+    rows = learning.time_split(_features(spark, sf).withColumnRenamed("port_key", "destination_norm"), ["timestamp", "position_id"])
+    model = learning.train_destination(learning.frequent_classes(rows.filter("is_train"), "destination_norm").drop("position", "is_train"))
+    scored = learning.top_classes(model.transform(rows.filter("NOT is_train")), list(model.stages[0].labels), 5)
+    return learning.accuracy(scored.withColumn("names", F.transform("top", lambda t: t["name"])), "destination_norm", "names")
+
+
+@query()
+def eta_metrics(spark, sf):
+    """Errors over the last fifth of the time of a model of the rest."""
+    rows = learning.time_split(tracks.clock(tracks.eta_label(tracks.deltas(B.positions(spark, sf)), B.port_calls(spark, sf))), ["timestamp", "position_id"])
+    model = learning.train_eta(rows.filter("is_train").drop("position", "is_train"), rounds=5)
+    return learning.regression_report(model.transform(rows.filter("NOT is_train AND eta_minutes_label IS NOT NULL")), "eta_minutes_label")
+
+
 @query()
 def track_anomalies(spark, sf):
     rows, columns = _features(spark, sf), ["speed", "delta_distance_km", "course_change_deg"]
