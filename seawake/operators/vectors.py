@@ -13,10 +13,14 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - dot(a, b) / norms))
 
 
-def nearest(items: DataFrame, vector: str, query: list[float], key: str, k: int) -> DataFrame:
-    """The `k` items nearest to `query`: filter first, then an exact top-k."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return items.withColumn("distance", cosine_distance(F.col(vector), q)).orderBy("distance", key).limit(k)
+def nearest(items: DataFrame, vector: str, query: list[float] | DataFrame, key: str, k: int) -> DataFrame:
+    """The `k` items nearest to `query`, a vector or a table of one row with a column `query`: filter first, then an exact
+    top-k, all in one job."""
+    if isinstance(query, DataFrame):
+        items, q = items.crossJoin(F.broadcast(query.select(F.col("query").alias("_query")).limit(1))), F.col("_query")  # one row
+    else:
+        q = F.array(*(F.lit(float(x)) for x in query))
+    return items.withColumn("distance", cosine_distance(F.col(vector), q)).drop("_query").orderBy("distance", key).limit(k)
 
 
 def merged(lists: list[DataFrame], key: str, k: int) -> DataFrame:

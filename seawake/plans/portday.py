@@ -10,9 +10,10 @@ from seawake.operators import series
 
 def stay_flags(stays: DataFrame) -> DataFrame:
     """Stays in their port's lowest and highest tenth."""
-    w = Window.partitionBy("port_key")
-    low, high = (F.percentile("dwell_minutes", F.lit(q)).over(w) for q in (0.1, 0.9))
-    out = stays.withColumn("anomaly_short_dwell", F.coalesce(F.col("dwell_minutes") <= low, F.lit(False))).withColumn("anomaly_long_dwell", F.coalesce(F.col("dwell_minutes") >= high, F.lit(False)))
+    ends = stays.groupBy(F.col("port_key").alias("_port")).agg(F.percentile("dwell_minutes", F.array(F.lit(0.1), F.lit(0.9))).alias("_ends"))
+    low, high = F.get("_ends", F.lit(0)), F.get("_ends", F.lit(1))
+    out = stays.join(ends, F.col("port_key").eqNullSafe(F.col("_port")), "left")
+    out = out.withColumn("anomaly_short_dwell", F.coalesce(F.col("dwell_minutes") <= low, F.lit(False))).withColumn("anomaly_long_dwell", F.coalesce(F.col("dwell_minutes") >= high, F.lit(False))).drop("_port", "_ends")
     return out.withColumn("anomaly_flag", F.col("anomaly_short_dwell") | F.col("anomaly_long_dwell"))
 
 
@@ -49,9 +50,15 @@ def port_day_chunks(days: DataFrame, proxy_daily: DataFrame) -> DataFrame:
 
 
 def window_chunks(stays: DataFrame, size: int = 5) -> DataFrame:
-    """Each port's calls in windows of `size`, in order of arrival, with the two commonest vessel types."""
-    w = Window.partitionBy("port_key").orderBy("arrival_time", "call_id")
-    numbered = stays.withColumn("window_no", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """Each port's calls in windows of `size`, in order of arrival, with the two commonest vessel types.
+
+    Calls are numbered within a port's day and days by running counts, so no task holds all calls of a port.
+    """
+    day = stays.withColumn("_day", F.col("arrival_time").cast("date"))
+    days = day.groupBy("port_key", "_day").agg(F.count("*").alias("_n"))
+    days = days.withColumn("_before", F.sum("_n").over(Window.partitionBy("port_key").orderBy("_day")) - F.col("_n")).drop("_n")
+    inner = F.row_number().over(Window.partitionBy("port_key", "_day").orderBy("arrival_time", "call_id")) - 1
+    numbered = day.withColumn("_i", inner).join(days, ["port_key", "_day"]).withColumn("window_no", F.floor((F.col("_before") + F.col("_i")) / size).cast("long"))
     keys = ["port_key", "window_no"]
     main = numbered.groupBy(*keys).agg(F.min("arrival_time").alias("first"), F.max("arrival_time").alias("last"), F.count("*").alias("events"), F.countDistinct("mmsi").alias("vessels"), F.avg("dwell_minutes").alias("mean_minutes"))
     ranked = series.last_rows(numbered.groupBy(*keys, "vessel_type_norm").count(), keys, [F.desc("count"), F.col("vessel_type_norm")], 2)

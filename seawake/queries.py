@@ -532,8 +532,8 @@ COS = "greatest(0, 1 - list_dot_product(e.embedding::DOUBLE[], q.v) / (sqrt(list
 VEC = f"q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), dist AS (SELECT vec_id, label, {COS} AS distance FROM embeddings e, q)"
 
 
-def _query_vector(spark: SparkSession, sf: str) -> list[float]:
-    return B.table(spark, sf, "embeddings").filter("vec_id = 0").first().embedding
+def _query_vector(spark: SparkSession, sf: str) -> DataFrame:
+    return B.table(spark, sf, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("query"))
 
 
 @query(W(VEC, tail="SELECT vec_id, round(distance, 6) AS distance FROM dist ORDER BY distance, vec_id LIMIT 5"))
