@@ -15,16 +15,27 @@ from seawake.llm import bpe_dropout, decontaminate, jaccard_join, language_id, l
 from seawake.llm.words import shared_folder
 
 
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """`docs` with its columns of these names renamed, as an operator adds columns of its own by them."""
+    return docs.withColumnsRenamed({n: f"{n} of docs" for n in names if n in docs.columns})
+
+
+def _back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` under their own names."""
+    return df.select(*(F.col(f"`{n} of docs`").alias(n) if f"{n} of docs" in df.columns else F.col(f"`{n}`") for n in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is near no language's centroids go, those without a letter among them."""
     model = language_id.fit(docs, ~language_id.held_out())
-    return language_id.identify(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    found = language_id.identify(_aside(docs, "lang_pred", "score", "rejected"), model)
+    return _back(found.filter(~F.col("rejected")), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines are cut; documents of which nothing is left go."""
-    cut = line_dedup.dedup_lines(docs)
-    return cut.filter(F.col("line_runs").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    cut = line_dedup.dedup_lines(_aside(docs, "line_runs"))
+    return _back(cut.filter(F.col("line_runs").isNull() | F.col("text").rlike(r"\S")), docs)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

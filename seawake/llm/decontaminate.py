@@ -215,28 +215,22 @@ def _each_block(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[in
     return n, (Phrases([(r.item, r.text) for r in items.filter(part == i).collect()], window) for i in range(n))
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Phrases]:
-    return list(_each_block(benchmark, window, block_bytes)[1])
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_tokens: int = 1 << 19, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document row: its id, number of words, merged hit runs as word positions
     `[start, end, start, end, ...]` (end exclusive) and the ids of the items found, as sorted strings.
 
     With several blocks of items each block is a pass over the documents, and the runs are merged per row.
     """
-    blocks = _blocks(benchmark, window, block_bytes)
-    passes = []
-    for phrases in blocks:
+    n, blocks = _each_block(benchmark, window, block_bytes)
+    if n == 1:
+        phrases = next(blocks)
 
-        def task(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, _ in _shards(batches, phrases, shard_tokens):
                 ids, n, spans, items = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
 
-        passes.append(docs.select("doc_id", "text").mapInArrow(task, SCHEMA))
-    if len(passes) == 1:
-        return passes[0]
+        return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
     key = F.xxhash64("text").alias("h")
     texts = docs.select("doc_id", key, "text")
     merged = None
@@ -250,12 +244,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard
                 rows = shard.results()
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.string()))], ["doc_id", "h", "n_words", "hits", "items"])
 
-        part = texts.mapInArrow(keyed, "doc_id long, h long, n_words long, hits array<int>, items array<string>")
+        part = cut(texts.mapInArrow(keyed, "doc_id long, h long, n_words long, hits array<int>, items array<string>"))  # so that the block can go
         merged = part if merged is None else merged.unionByName(part)
     runs = F.transform(F.sequence(F.lit(0), F.size("hits") - 2, F.lit(2)), lambda i: F.struct(F.get("hits", i).alias("a"), F.get("hits", i + 1).alias("b")))
     merged = merged.withColumn("runs", F.when(F.size("hits") > 0, runs).otherwise(F.array().cast("array<struct<a:int,b:int>>")))
     merged = merged.groupBy("doc_id", "h").agg(
-        (F.count("*") / F.lit(len(blocks))).cast("long").alias("copies"),
+        (F.count("*") / F.lit(n)).cast("long").alias("copies"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("runs")))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),

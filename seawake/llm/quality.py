@@ -8,8 +8,9 @@ symbols, length); each feature counts once, so length does not dilute it. An abs
 rows, leaves weight on the few features that tell grades apart and none on words that merely met one grade.
 
 The fit uses at most `most` rated rows, those with the smallest hash of the id; scoring covers every row and whole texts
-in one narrow pass. Ratings: rows with a null rating or text are not learned from. Null and empty texts get grade 0
-and tail 0. With fewer than two grades the one grade is predicted, with no rating at all grade 0.
+in one narrow pass. Ratings: rows with a null rating, id or text are not learned from; repeated
+rows count as often as they occur, each gets its row, and rows with a null id are scored by their text. Null and empty
+texts get grade 0 and tail 0; a tail of just the bound is kept. With fewer than two grades the one grade is predicted, with no rating at all grade 0.
 """
 
 from __future__ import annotations
@@ -114,17 +115,18 @@ def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, *, least_rows: int =
 def fit(docs: DataFrame, ratings: DataFrame, rating: Column, *, most: int = 8000, least_rows: int = 3) -> Model:
     """Learns from rated documents; `rating` is an integer expression on `ratings(doc_id, ...)`.
 
-    The sample has at most `most` rows, so it and what the driver collects are bounded whatever the tables hold.
+    The sample has at most `most` ratings and at most `most` texts, those with the smallest hashes, so it and what the
+    driver collects are bounded whatever the tables hold.
     """
     sample = ratings.select("doc_id", rating.cast("int").alias("grade")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most)
-    joined = docs.select("doc_id", "text").dropna().join(F.broadcast(sample), "doc_id").select("grade", "text")
+    joined = docs.select("doc_id", "text").dropna().join(F.broadcast(sample), "doc_id").select("grade", "text", F.xxhash64("doc_id", "text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [sorted(map(hashed, features(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), batch.column(2)], ["grade", "features", "h"])
 
-    got = joined.mapInArrow(task, "grade int, features array<long>").toArrow()
+    got = joined.mapInArrow(task, "grade int, features array<long>, h long").orderBy("h").limit(most).toArrow()
     return fit_ordinal([np.array(x.as_py(), np.int64) for x in got.column(1)], np.array(got.column(0).to_pylist(), int), least_rows=least_rows)
 
 

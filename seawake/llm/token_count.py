@@ -5,7 +5,9 @@ score and the number of pieces on that path. Ties and unknown characters follow
 last piece wins a tie, a character without a piece of its own costs the least score minus ten and counts as its UTF-8
 bytes, and each word with the space before it is segmented by itself.
 
-Scores are double precision sums. Null and empty texts have no tokens. Words are cached per task up to `cache` entries.
+Scores are double precision sums. Null and empty texts have no tokens. Repeated rows each get their row, with a null id
+too. A run of spaces is one piece for each of them: pieces of several spaces are left out, as the tokenizer of words has
+none. Words are cached per task up to `cache` entries.
 """
 
 from __future__ import annotations

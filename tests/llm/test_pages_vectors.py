@@ -197,3 +197,25 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
         assert empty.count() == 0
+
+
+def test_stages_keep_columns_and_odd_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = docs.limit(1).collect()[0].asDict()
+    odd = [{**first, "doc_id": None}, {**first, "doc_id": None}, {**first, "doc_id": 10_001, "text": None}, {**first, "doc_id": 10_002, "text": ""}, {**first, "doc_id": 10_003, "lang": None}, {**first, "doc_id": 10_004, "text": first["text"] * 300}]
+    docs = docs.unionByName(docs.filter("doc_id < 3")).unionByName(spark.createDataFrame(odd, docs.schema))
+    for n in ("line_runs", "rejected", "score", "ids", "the row", "key"):
+        docs = docs.withColumn(n, F.lit(f"my {n}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        assert out.columns == docs.columns and 0 < len(rows) <= docs.count(), name
+        assert all(r[n] == f"my {n}" for r in rows for n in ("line_runs", "rejected", "score", "ids", "the row", "key")), name
+        if name == "jaccard_join":
+            ids = [r.doc_id for r in rows if r.doc_id is not None]
+            assert len(ids) == len({*ids}) and sum(r.doc_id is None for r in rows) == 2 and {10_001, 10_002} <= {*ids}
+        if name == "decontamination":
+            assert len(rows) == docs.count()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(last) == docs.count() and all(r.lossless for r in last)

@@ -423,3 +423,20 @@ def test_language_of_odd_rows(spark):
     assert len({(r.doc_id, r.text): r.lang_pred for r in rows}) == len({(r.doc_id, r.text, r.lang_pred) for r in rows})
     flat = language_id.Model(["a", "b"], np.array([0, 1]), np.ones((2, 4096), np.float32) / 64, np.ones(4096, np.float32), np.zeros((2, language_id.CLASSES)))
     assert flat.predict(["equally near"])[0][0] == "a"
+
+
+# ---- odd rows
+
+
+def test_null_ids_repeated_and_long_rows(spark):
+    texts = [(1, "some words here"), (None, "some words here"), (None, None), (1, "some words here"), (2, ""), (3, "long words " * 30_000), (None, 'password = "abcdefgh"')]
+    d = spark.createDataFrame([(i, t, "k", None, "en", 1) for i, t in texts], DOCS).repartition(3)
+    rated = spark.createDataFrame([(1, 0), (3, 1), (3, 1), (None, 1)], "doc_id long, g int")
+    model = quality.fit(d, rated, F.col("g"), least_rows=1)
+    for out in (token_count.count_tokens(d), secret_scan.digest(secret_scan.scan(d)), bpe_dropout.round_trip(d), quality.score(d, model)):
+        rows = [tuple(str(x) for x in r) for r in out.collect()]
+        assert len(rows) == len(texts) and sorted(r[0] for r in rows) == sorted(str(i) for i, _ in texts)
+        assert len({r[1:] for r in rows if r[0] == "1"}) == 1 and {r[1:] for r in rows if r[0] == "1"} <= {r[1:] for r in rows if r[0] == "None"}
+    clash = d.withColumn("ids", F.lit("mine"))
+    out = bpe_dropout.decode(bpe_dropout.encode(clash).withColumn("decoded", F.lit("mine")))
+    assert out.columns == [*d.columns, "ids", "decoded"] and all(r.decoded == r.text for r in out.collect())
