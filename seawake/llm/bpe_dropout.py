@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ SHORT = 48
 WIDE = 1 << 20
 #: Nodes that a worker keeps, ids that it decodes at once and words that it encodes at once.
 CACHE, AT_ONCE, WORDS = 400_000, 1 << 18, 1 << 16
+#: The mark of an occurrence that is merged by itself.
+ONCE = -2
 #: No word of up to `SHORT` characters meets so many candidates: each merge offers at most two new ones.
 STEPS = 256
 
@@ -219,37 +223,39 @@ class Encoder:
         self.codes[self.n_codes : end], self.n_codes = codes, end
         return range(a, b)
 
+    @staticmethod
+    def _alike(words: list[str]) -> Iterator[list[int]]:
+        """The places of the words in parts of like lengths."""
+        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
+        yield from (order[i : i + 2048].tolist() for i in range(0, len(order), 2048))
+
     def _learn(self, todo: list[tuple[str, tuple[int, ...]]]) -> np.ndarray:
         """The new nodes of words of known characters under series of skipped steps."""
-        classes: dict[int, list[int]] = {}
-        for k, (w, _) in enumerate(todo):
-            classes.setdefault((len(w) + 3) >> 2, []).append(k)
         at = np.empty(len(todo), np.int64)
-        for some in classes.values():
-            for part in (some[i : i + 4096] for i in range(0, len(some), 4096)):
-                words, skipped = [todo[k][0] for k in part], [todo[k][1] for k in part]
-                forced = np.zeros((len(part), STEPS), bool)
-                for r, steps in enumerate(skipped):
-                    forced[r, list(steps)] = True
-                base, met = np.array([s[-1] if s else -1 for s in skipped]), [(np.empty(0, np.int64), np.empty(0, np.uint64))]
-
-                def skips(step: int, rows: np.ndarray, i: np.ndarray, piece: np.ndarray, base: np.ndarray = base, forced: np.ndarray = forced, met: list = met) -> np.ndarray:
-                    new = base[rows] < step
-                    met.append((rows[new], self._codes(i[new], piece[new])))
-                    return forced[rows, step]
-
-                out = self._rounds(words, skips)
-                rows, codes = (np.concatenate(x) for x in zip(*met, strict=True))
-                at[part] = self._add(words, skipped, out, codes[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(part)))
+        for part in self._alike([w for w, _ in todo]):
+            words, skipped = [todo[k][0] for k in part], [todo[k][1] for k in part]
+            forced = np.zeros((len(part), STEPS), bool)
+            forced[np.repeat(np.arange(len(part)), [*map(len, skipped)]), np.fromiter(chain.from_iterable(skipped), np.int64)] = True
+            base, met = np.array([s[-1] if s else -1 for s in skipped]), [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+
+            def skips(step: int, rows: np.ndarray, i: np.ndarray, piece: np.ndarray, base: np.ndarray = base, forced: np.ndarray = forced, met: list = met) -> np.ndarray:
+                new = base[rows] < step
+                met.append((rows[new], self._codes(i[new], piece[new])))
+                return forced[rows, step]
+
+            out = self._rounds(words, skips)
+            rows, codes = (np.concatenate(x) for x in zip(*met, strict=True))
+            at[part] = self._add(words, skipped, out, codes[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(part)))
         return at
 
-    def _roots(self, words: set[str]) -> None:
-        """Adds the roots of new words. Words that are long or have unknown characters get one only if nothing in them
-        depends on skips; the others are marked by -1 and merged each time."""
+    def _roots(self, words: Counter[str]) -> None:
+        """Adds the roots of new words that occur more than once. Words that are long or have unknown characters get one only
+        if nothing in them depends on skips; the others are marked by -1 and merged each time."""
         easy, fixed = [], []
-        for w in words:
+        for w, n in words.items():
             if w and len(w) <= SHORT and self.known.issuperset(w):
-                easy.append(w)
+                if n > 1 or not self.limit:
+                    easy.append(w)
             elif not self.limit or not any(a + b in self.rank for a, b in zip(w, w[1:], strict=False)):
                 fixed.append(w)
             else:
@@ -260,12 +266,13 @@ class Encoder:
         self.root.update(zip(fixed, self._add(fixed, [()] * len(fixed), ids, np.empty(0, np.uint64), np.zeros(len(fixed), np.int64)), strict=True))
 
     def _segment(self, words: list[str], keys: np.ndarray) -> list[bytes]:
-        """The bytes of the ids of each occurrence of a word, under its key."""
-        new = {*words}
-        if len(self.out) + len(new.difference(self.root)) > self.most:
+        """The bytes of the ids of each occurrence of a word, under its key. Words and series of skips that are met but once
+        among them are merged at once and not kept."""
+        new = Counter(words)
+        if len(self.out) + len(new) > self.most:
             self._forget()
-        self._roots(new.difference(self.root))
-        node = np.fromiter(map(self.root.__getitem__, words), np.int64, len(words))
+        self._roots(Counter({w: n for w, n in new.items() if w not in self.root}))
+        node = np.array([self.root.get(w, ONCE) for w in words], np.int64)
         live = np.flatnonzero(node >= 0)
         while self.limit:
             live = live[self.nodes[node[live], 1] > 0]
@@ -279,12 +286,29 @@ class Encoder:
             once = np.diff(owner, prepend=-1) > 0  # the first skip of each
             hit, owner = hit[once], owner[once]
             branch = node[live[owner]] * STEPS + base[owner] + hit - (end - count)[owner]
-            some, which = np.unique(branch, return_inverse=True)
-            missing = [b for b in some.tolist() if b not in self.child]
+            some, which, times = np.unique(branch, return_inverse=True, return_counts=True)
+            missing = [b for b, n in zip(some.tolist(), times.tolist(), strict=True) if n > 1 and b not in self.child]
             self.child.update(zip(missing, self._learn([(self.word[b // STEPS], (*self.skipped[b // STEPS], b % STEPS)) for b in missing]).tolist(), strict=True))
             live = live[owner]
-            node[live] = np.fromiter(map(self.child.__getitem__, some.tolist()), np.int64, len(some))[which]
-        return [self.out[n] if n >= 0 else self._ids(self.merge(words[k], int(keys[k]))) for k, n in enumerate(node.tolist())]
+            node[live] = np.array([self.child.get(b, ONCE) for b in some.tolist()], np.int64)[which]
+            live = live[node[live] >= 0]
+        once = np.flatnonzero(node == ONCE)
+        found = self._merged([words[k] for k in once.tolist()], keys[once])
+        rows = self._rows(node, words, keys)
+        for k, x in zip(once.tolist(), found, strict=True):
+            rows[k] = x
+        return rows
+
+    def _merged(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """`merge_many` for words of any lengths."""
+        out: list[bytes] = [b""] * len(words)
+        for part in self._alike(words):
+            for k, x in zip(part, self.merge_many([words[k] for k in part], keys[part]), strict=True):
+                out[k] = x
+        return out
+
+    def _rows(self, node: np.ndarray, words: list[str], keys: np.ndarray) -> list[bytes]:
+        return [b"" if n == ONCE else self.out[n] if n >= 0 else self._ids(self.merge(words[k], int(keys[k]))) for k, n in enumerate(node.tolist())]
 
     def chunks(self, text: str) -> list[str]:
         """The words of a text, each with the spaces before it; a literal U+2581 stands for itself as a chunk of its own."""

@@ -8,7 +8,10 @@ Large leaves are compared block against block, so no task holds more than two bl
 block pair yields the number of links and one union edge for each of its vectors. Equal vectors are compared once and
 weighed by their number.
 
-The forest is fitted on at most `sample` distinct vectors (smallest hashes); every vector is indexed. Rows whose vec_id or
+The upper part of the forest is fitted on at most `sample` distinct vectors (smallest hashes). Leaves that then hold more
+than `GROW` times `leaf_rows` vectors are split further, each by a tree fitted on about `LEAF_SAMPLE` of its own vectors,
+round by round until none is large but those that no threshold splits; so the size of leaves does not grow with the table.
+Every vector is indexed. Rows whose vec_id or
 label is null, and vectors that are null, empty, zero or hold null or non-finite components link with nothing; only
 vectors of equal length are compared. Repeated rows count as copies that link with each other. Each row gets its row.
 """
@@ -16,7 +19,7 @@ vectors of equal length are compared. Repeated rows count as copies that link wi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,9 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seawake.llm.components import components
-from seawake.llm.words import cut
+from seawake.llm.words import cut, mix
 
 LEAF_BITS = 24
+#: A leaf of more than so many times `leaf_rows` vectors is split further, by a tree of its own of at most so many levels,
+#: fitted on about so many of its vectors.
+GROW, LEVELS, LEAF_SAMPLE = 4, 7, 2048
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -37,13 +43,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def directions(d: int, depth: int, rng: np.random.Generator) -> np.ndarray:
+    """A random unit direction for each level, at right angles where there are enough dimensions."""
+    return np.linalg.qr(rng.standard_normal((d, max(d, depth))))[0][:, :depth] if depth <= d else unit(rng.standard_normal((depth, d))).T
+
+
 class Tree:
     """One tree: a direction for each level, thresholds for its nodes; an infinite threshold does not split."""
 
     def __init__(self, sample: np.ndarray, depth: int, overlap: float, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        d = sample.shape[1]
-        self.direction = np.linalg.qr(rng.standard_normal((d, max(d, depth))))[0][:, :depth] if depth <= d else unit(rng.standard_normal((depth, d))).T
+        self.direction = directions(sample.shape[1], depth, rng)
         self.overlap, self.threshold = overlap, []
         p, node = sample @ self.direction, np.zeros(len(sample), np.int64)
         for level in range(depth):
@@ -68,6 +78,71 @@ class Tree:
         return row, node
 
 
+def grown(tree_seed: int, overlap: float, thresholds: np.ndarray, d: int) -> Tree:
+    """The tree of a leaf from its thresholds, level after level."""
+    t = Tree.__new__(Tree)
+    depth = (len(thresholds) + 1).bit_length() - 1
+    t.direction = directions(d, depth, np.random.default_rng(tree_seed))
+    t.overlap, t.threshold = overlap, [thresholds[(1 << k) - 1 : (2 << k) - 1] for k in range(depth)]
+    return t
+
+
+def _fitter(leaf_rows: int, overlap: float, salt: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Fits a tree on the sample of one leaf."""
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        depth = min(LEVELS, max(1, math.ceil(math.log2(g["count"].iloc[0] / leaf_rows))))
+        own = hash((int(g.leaf.iloc[0]), salt)) & 0x7FFFFFFF
+        t = Tree(unit(np.array(g.embedding.tolist(), np.float64)), depth, overlap, own)
+        return pd.DataFrame({"label": g.label.iloc[:1], "d": g.d.iloc[:1], "leaf": g.leaf.iloc[:1], "own": [own], "thresholds": [np.concatenate(t.threshold)]})
+
+    return fit
+
+
+def split_large(placed: DataFrame, leaf_rows: int, overlap: float, seed: int, rounds: int = 16) -> DataFrame:
+    """`placed` with its large leaves split; a vector near a threshold has a row in both parts."""
+    key, stuck, changed = ["label", "d", "leaf"], None, False
+    for k in range(rounds):
+        large = placed.groupBy(key).count().filter(F.col("count") > GROW * leaf_rows)
+        large = cut(large if stuck is None else large.join(stuck, key, "left_anti"))
+        if large.isEmpty():
+            break
+
+        share = F.pmod(F.xxhash64("rep", F.lit(seed + k)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        some = placed.join(large, key).filter(share * F.col("count") <= LEAF_SAMPLE)
+        kinds = placed.schema
+        trees = some.select(*key, "embedding", "count").groupBy(key).applyInPandas(_fitter(leaf_rows, overlap, seed + k), T.StructType([*(kinds[c] for c in key), T.StructField("own", T.LongType()), T.StructField("thresholds", T.ArrayType(T.DoubleType()))]))
+        trees = cut(trees)
+        splits = F.exists("thresholds", lambda t: t < float("inf"))
+        flat = trees.filter(~splits).select(key)
+        flat = cut(flat.unionByName(large.select(key).join(trees.select(key), key, "left_anti")))  # without a sample, too
+        stuck = flat if stuck is None else cut(stuck.unionByName(flat))
+        trees = trees.filter(splits)
+        at = {c: i for i, c in enumerate(placed.columns)}
+
+        def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaf, own = (batch.column(i).to_numpy() for i in (at["leaf"], len(at)))
+                d = batch.column(at["d"]).to_numpy()
+                for o, n in {*zip(own.tolist(), d.tolist(), strict=True)}:
+                    rows = np.flatnonzero((own == o) & (d == n))
+                    for old in np.unique(leaf[rows]):
+                        mine = rows[leaf[rows] == old]
+                        t = grown(o, overlap, np.array(batch.column(len(at) + 1)[int(mine[0])].as_py()), n)
+                        row, node = t.leaves(unit(_matrix(batch.column(at["embedding"]).take(pa.array(mine)))))
+                        new = mix(mix(np.full(len(node), old, np.int64).view(np.uint64)) + node.astype(np.uint64)).view(np.int64)
+                        part = batch.take(pa.array(mine[row]))
+                        columns = [pa.array(new) if c == "leaf" else part.column(i) for c, i in at.items()]
+                        yield pa.RecordBatch.from_arrays(columns, [*at])
+
+        divided = placed.join(trees, key).select(*placed.columns, "own", "thresholds").mapInArrow(divide, placed.schema)
+        placed, changed = cut(placed.join(trees.select(key), key, "left_anti").unionByName(divided)), True
+    if not changed:
+        return placed
+    lists = placed.groupBy("label", "d", "rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+    return placed.drop("leaves").join(lists, ["label", "d", "rep"]).dropDuplicates([*key, "rep", "embedding"])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -144,7 +219,7 @@ def near_duplicates(
 
     indexed = reps.mapInArrow(assign, T.StructType([*reps.schema.fields, T.StructField("leaves", T.ArrayType(T.LongType()))]))
     placed = cut(indexed.withColumn("d", F.size("embedding"))).withColumn("leaf", F.explode("leaves"))
-    key = ["label", "d", "leaf"]
+    placed, key = split_large(placed, leaf_rows, overlap, seed), ["label", "d", "leaf"]
     full = placed.groupBy(key).count().filter("count > 1").withColumn("parts", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
     placed = placed.join(full, key).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(7)), "parts").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))

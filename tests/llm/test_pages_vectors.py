@@ -161,6 +161,29 @@ def test_embeddings(spark, setting):
     assert all(r.kept is None if r.vec_id is None else r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_large_leaves_are_split_until_they_are_small(spark, monkeypatch):
+    rng, rows = np.random.default_rng(5), []
+    for k in range(500):  # more vectors than the sample of 64 can place in small leaves
+        c = rng.standard_normal(24)
+        rows += [(3 * k + i, (c + 0.02 * rng.standard_normal(24)).tolist(), 1) for i in range(3)]
+    rows += [(5000 + i, (np.ones(24) + 0.001 * rng.standard_normal(24)).tolist(), 1) for i in range(150)]  # no threshold splits these
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    seen, old = [], embedding_dedup.split_large
+
+    def split(placed, leaf_rows, *args, **more):
+        out = old(placed, leaf_rows, *args, **more)
+        sizes = out.groupBy("leaf").agg(F.count("*").alias("n"), F.max("rep").alias("most")).collect()
+        seen.append((placed.groupBy("leaf").count().agg(F.max("count")).first()[0], max(r.n for r in sizes if r.most < 5000)))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "split_large", split)
+    got = embedding_dedup.near_duplicates(df, leaf_rows=20, sample=64, block_rows=64).collect()
+    want = brute(rows)
+    assert sum(r.n_links for r in got) >= 0.9 * sum(n for _, n, _ in want) and all(r.n_links <= n for r, (_, n, _) in zip(sorted(got, key=lambda r: repr((r.vec_id,))), want, strict=True))
+    assert {r.vec_id: r.n_links for r in got if r.vec_id >= 5000} == dict.fromkeys(range(5000, 5150), 149)
+    assert seen[0][0] > 300 and seen[0][1] <= 80
+
+
 def test_recall_on_the_test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding), r.label) for r in df.collect()]
