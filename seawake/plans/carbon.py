@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from seawake.operators import series
 from seawake.plans import tracks
 
 CALL = ["call_id", "arrival_time", "departure_time", "port_key", "port_label"]
-PARAMS = "factors v1|mode rules v1|closed form"
+#: The factors in canonical form with the rules beside them: its hash, and so every evidence id, changes with any of them.
+PARAMS = json.dumps({"vessels": emission.VESSELS, "modes": emission.MODES, "fuels": emission.FUELS}, sort_keys=True, separators=(",", ":")) + "|mode rules v1|closed form"
 
 
 def inside_calls(positions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -22,12 +25,14 @@ def inside_calls(positions: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def modes(rows: DataFrame) -> DataFrame:
-    """Transit, manoeuvring, berth or anchorage by speed and by the hours around arrival and departure."""
+    """Transit, manoeuvring, berth or anchorage by speed and by the hours around arrival and departure; from the time at
+    the berth on, where the rows have one, berth."""
     c, h = F.col, lambda n: F.expr(f"interval {n} hours")
     out = rows.withColumn("speed_kn", F.greatest(F.coalesce("speed", "speed_estimated_kn", F.lit(0.0)), F.lit(0.0))).withColumn("speed_interpolated", c("speed").isNull() & c("speed_estimated_kn").isNotNull())
     t, v = c("timestamp"), c("speed_kn")
     near = t.between(c("arrival_time") - h(2), c("arrival_time") + h(1)) | t.between(c("departure_time") - h(1), c("departure_time") + h(2))
-    mode = F.when(~c("inside_call"), "transit").when(v.between(0.5, 8.0) & near, "manoeuvring").when(v <= 0.5, "berth").when(v <= 2.0, "anchorage").otherwise("transit")
+    moored = F.coalesce(t >= c("berth_timestamp"), F.lit(False)) if "berth_timestamp" in rows.columns else F.lit(False)
+    mode = F.when(~c("inside_call"), "transit").when(v.between(0.5, 8.0) & near, "manoeuvring").when((v <= 0.5) | moored, "berth").when(v <= 2.0, "anchorage").otherwise("transit")
     return out.withColumn("mode", mode)
 
 
@@ -156,7 +161,7 @@ def scenario(spark: SparkSession, vessel_type: str, mode: str, hours: float, spe
 
 
 def intensities(calls: DataFrame) -> DataFrame:
-    """Total, kg per call, t per day and kg per hour."""
+    """Total, kg per call and kg per hour."""
     t = F.sum("wtw_co2e_t")
     return calls.agg(t.alias("total_t"), (t * 1000 / F.nullif(F.countDistinct("call_id"), F.lit(0))).alias("kg_per_call"), (t * 1000 / F.nullif(F.sum("duration_h"), F.lit(0.0))).alias("kg_per_hour"))
 

@@ -166,3 +166,11 @@ def accuracy(scored: DataFrame, label: str, top: str, k: int = 5) -> DataFrame:
     first, some = F.get(F.col(top), 0) == F.col(label), F.array_contains(F.slice(top, 1, k), F.col(label))
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     return scored.agg(F.count("*").alias("rows"), share(first).alias("top_1"), share(some).alias(f"top_{k}"))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -32,6 +32,22 @@ def matching(chunks: DataFrame, equal: dict[str, object] | None = None, start: s
     return chunks
 
 
+def chosen(chunks: DataFrame, port: str | None = None, vessel_type: str | None = None, anomaly: bool | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Chunks (port, locode, vessel_type, anomaly, date) that fit what a user gave: a port equal to name or code, or part of
+    the name; a type in any case, `all` for every one; days from start to end, without a day none."""
+    if port:
+        p = port.strip().upper().replace(" ", "")
+        name = F.upper(F.coalesce("port", F.lit("")))
+        tight = lambda c: F.replace(F.upper(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit(""))
+        chunks = chunks.filter((tight("port") == p) | (tight("locode") == p) | name.contains(p))
+    kind = (vessel_type or "").strip().lower()
+    if kind and kind != "all":
+        chunks = chunks.filter(F.lower(F.coalesce("vessel_type", F.lit(""))) == kind)
+    if anomaly is not None:
+        chunks = chunks.filter(F.coalesce("anomaly", F.lit(False)) == anomaly)
+    return matching(chunks, start=start, end=end)
+
+
 def counted(chunks: DataFrame, key: str, ids: int = 200) -> DataFrame:
     """How many match, and the first ids of them."""
     first = chunks.orderBy(key).limit(ids).agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("first_ids"))

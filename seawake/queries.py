@@ -662,6 +662,16 @@ def resolved_ports(spark, sf):
     return retrieval.resolve_ports(asked, kpi.port_catalog(daily(spark, sf))).filter("port_key IS NOT NULL")
 
 
+@query(W(PORT_CALLS, PC_STAYS, FLAGGED, tail="""SELECT 'a' AS asked, call_no FROM fl WHERE contains(upper(port_label), 'NATION_1') AND (s OR l) UNION ALL SELECT 'b', call_no FROM fl WHERE vessel_type_norm = 'tug' AND arrival_time::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
+UNION ALL SELECT 'c', call_no FROM fl WHERE NOT (s OR l) AND (port_key = 'NATION_20' OR contains(upper(port_label), 'NATION_20'))"""))
+def chosen_calls(spark, sf):
+    f = portday.stay_flags(kpi.dwell(B.port_calls(spark, sf)))
+    c = f.select("call_no", F.col("port_label").alias("port"), F.col("port_key").alias("locode"), F.col("vessel_type_norm").alias("vessel_type"), F.col("anomaly_flag").alias("anomaly"), F.col("arrival_time").cast("date").alias("date"))
+    asked_ = {"a": {"port": " nation_1 ", "vessel_type": "ALL", "anomaly": True}, "b": {"vessel_type": "Tug ", "start": "2024-01-05", "end": "2024-01-20"}, "c": {"port": "nation_20", "anomaly": False}}
+    out = [retrieval.chosen(c, **x).select(F.lit(k).alias("asked"), "call_no") for k, x in asked_.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # ---- answers
 
 SCOPE_SQL = """sc AS (SELECT n_nationkey * 10 + k AS scope_id, CASE WHEN k = 5 THEN 'NOWHERE' ELSE replace(upper(n_name), ' ', '_') END AS port_key, [DATE '2024-01-01', DATE '2024-01-10', DATE '2024-02-01', DATE '2023-01-01', NULL][k] AS date_from,

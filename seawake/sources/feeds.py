@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +49,20 @@ def write_mart(df: DataFrame, path: str, partition: list[str] | None = None) ->
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
+def ensure_mart(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition: list[str] | None = None) -> DataFrame:
+    """The mart at `path`, built and written first if there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        write_mart(build(), path, partition)
+        return spark.read.parquet(path)
+
+
+def write_manifest(facts: DataFrame, path: str) -> None:
+    """Facts about a table, one row, as one JSON file."""
+    facts.limit(1).coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

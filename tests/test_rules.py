@@ -171,3 +171,27 @@ def test_gaps_count_as_medians(spark):
     rows = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(60)] + [(100, None, 2.0), (101, None, None), (102, 500.0, 400.0)], "k int, a double, b double")
     got = {r.k: r.anomaly_score for r in learning.isolation_score(rows, ["a", "b"], learning.fit_isolation(rows, ["a", "b"])).collect()}
     assert got[101] is None and got[100] is not None and got[102] == max(v for v in got.values() if v is not None)
+
+
+def test_marts_are_built_once_and_models_come_back(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([(float(i % 9), float(i)) for i in range(60)], "speed double, eta_minutes_label double").selectExpr("*", *(f"speed + {k} AS {c}" for k, c in enumerate(learning.FEATURES[1:])))
+
+    mart = feeds.ensure_mart(spark, str(tmp_path / "mart"), build)
+    assert feeds.ensure_mart(spark, str(tmp_path / "mart"), build).count() == mart.count() == 60 and len(built) == 1
+    feeds.write_manifest(kpi.capabilities(spark.createDataFrame([("A", dt.date(2024, 1, 1))], "port_key string, date date"), spark.createDataFrame([(1.0,)], "dwell_minutes double")), str(tmp_path / "facts"))
+    assert spark.read.json(str(tmp_path / "facts")).first().ports == 1
+    model = learning.train_eta(mart, rounds=2)
+    learning.save_model(model, str(tmp_path / "model"))
+    assert [r.prediction for r in learning.load_model(str(tmp_path / "model")).transform(mart).collect()] == [r.prediction for r in model.transform(mart).collect()]
+
+
+def test_modes_at_the_berth(spark):
+    t = lambda h, m=0: dt.datetime(2024, 1, 2, h, m)
+    rows = spark.createDataFrame([(1, t(5), 0.2), (2, t(9), 1.0), (3, t(14), 1.0), (4, t(14), 9.0), (5, t(1), 3.0)], "k int, timestamp timestamp, speed double")
+    rows = rows.withColumns({"speed_estimated_kn": F.lit(None).cast("double"), "inside_call": F.lit(True), "arrival_time": F.lit(t(0)), "departure_time": F.lit(t(20))})
+    assert [r["mode"] for r in carbon.modes(rows).orderBy("k").collect()] == ["berth", "anchorage", "anchorage", "transit", "manoeuvring"]
+    assert [r["mode"] for r in carbon.modes(rows.withColumn("berth_timestamp", F.lit(t(12)))).orderBy("k").collect()] == ["berth", "anchorage", "berth", "berth", "manoeuvring"]
