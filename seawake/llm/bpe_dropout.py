@@ -38,7 +38,7 @@ MASK = (1 << 64) - 1
 SHORT = 48
 WIDE = 1 << 20
 #: Nodes that a worker keeps, ids that it decodes at once and words that it encodes at once.
-CACHE, AT_ONCE, WORDS = 400_000, 1 << 18, 1 << 16
+CACHE, AT_ONCE, WORDS = 150_000, 1 << 18, 1 << 16
 #: The mark of an occurrence that is merged by itself.
 ONCE = -2
 #: No word of up to `SHORT` characters meets so many candidates: each merge offers at most two new ones.

@@ -133,13 +133,17 @@ def fit(docs: DataFrame, train: Column, *, per_language: int = 800, clusters: in
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            parts = [x for t in texts for x in (t, *filter(LETTER.search, spans(t)))]
-            row = [k for k, t in enumerate(texts) for _ in (t, *filter(LETTER.search, spans(t)))]
-            full = [counts(t, buckets) for t in parts]
-            at = [np.flatnonzero(x) for x in full]
-            whole = pa.array([k == 0 or row[k] != row[k - 1] for k in range(len(row))])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), whole, pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(full, at, strict=True)], pa.list_(pa.int32()))], ["lang", "whole", "at", "n"])
+            row, whole, at, n = [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                for j, part in enumerate((text, *filter(LETTER.search, spans(text)))):
+                    full = counts(part, buckets)
+                    some = np.flatnonzero(full)  # only these are kept
+                    row.append(k)
+                    whole.append(j == 0)
+                    at.append(some.astype(np.int32))
+                    n.append(full[some].astype(np.int32))
+            lists = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(whole, pa.bool_()), pa.array(at, lists), pa.array(n, lists)], ["lang", "whole", "at", "n"])
 
     got = picked.select("lang", "text").mapInArrow(task, "lang string, whole boolean, at array<int>, n array<int>").toArrow()
     langs, whole = np.array(got.column(0).to_pylist(), object), got.column(1).to_numpy().astype(bool)
