@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seawake.llm import bpe_dropout, conversation_trie, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, quality, secret_scan, token_count
+from seawake.llm import bpe_dropout, conversation_trie, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, quality, secret_scan, token_count, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,12 +56,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(_table(spark, sf_dir, "documents"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_decontamination, op4_embedding_dedup, op5_html_extraction, op6_quality, op7_jaccard_join, op8_secret_scan, op9_bpe_dropout, op10_language_id, op12_conversation_trie)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_decontamination, op4_embedding_dedup, op5_html_extraction, op6_quality, op7_jaccard_join, op8_secret_scan, op9_bpe_dropout, op10_language_id, op11_whitening, op12_conversation_trie, op13_packing)}
 
 
 OP3_SQL = r"""
