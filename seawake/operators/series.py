@@ -5,31 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seawake.operators import blocks
 
-def asof(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, payload: list[str], tie: str) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, payload: list[str], tie: str, moment: str | None = None) -> DataFrame:
     """`left` with the `payload` of the last right row of the same `by` at or before its time.
 
-    Both sides are stacked and the last right row is carried forward, so there is one shuffle on `by` and no join whose
-    size depends on how many rows match. `tie` orders right rows of one time (the largest wins).
+    Both sides are stacked and the last right row is carried forward, so there is one shuffle and no join whose size depends on
+    how many rows match. `tie` orders right rows of one time (the largest wins). Rows are cut into blocks of days of `moment`
+    (the left time unless it is another column of both sides), each with the last right row before it, so no task holds all
+    rows of a key; the block stays as a column.
     """
     call = F.struct(*payload)
-    l = left.select(by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(call.alias("c")).schema["c"].dataType).alias("_call"))  # noqa: E741
-    r = right.select(by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), call.alias("_call"))
-    w = Window.partitionBy(by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = l.unionByName(r).withColumn("_call", F.last("_call", ignorenulls=True).over(w)).filter("_side = 1")
-    return carried.select("_row.*", *(F.col(f"_call.{c}").alias(c) for c in payload))
-
-
-def hour_grid(df: DataFrame, start: str, end: str, name: str = "datetime_hour") -> DataFrame:
-    """One row per hour that an interval touches."""
-    hours = F.sequence(F.date_trunc("hour", start), F.date_trunc("hour", end), F.expr("interval 1 hour"))
-    return df.filter(F.col(start) <= F.col(end)).withColumn(name, F.explode(hours))
+    numbered = lambda df, t: df.withColumn("_at", F.col(t)).withColumn("_moment", F.col(moment or t).cast("timestamp"))
+    kind = right.select(call.alias("c")).schema["c"].dataType
+    l = blocks.by_block(numbered(left, left_time), "_moment")  # noqa: E741
+    l = l.select(by, blocks.BLOCK, F.col("_at").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.struct(*(c for c in left.columns if c != blocks.BLOCK)).alias("_row"), F.lit(None).cast(kind).alias("_call"))  # noqa: E741
+    r = blocks.by_block(numbered(right, right_time), "_moment").select(by, blocks.BLOCK, F.col("_at").alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), call.alias("_call"))
+    ends = l.select(by, blocks.BLOCK).distinct().withColumn("_call", F.lit(None).cast(kind)).unionByName(r.groupBy(by, blocks.BLOCK).agg(F.max_by("_call", F.struct("_t", "_tie")).alias("_call")))
+    ends = ends.groupBy(by, blocks.BLOCK).agg(F.first("_call", ignorenulls=True).alias("_call"))
+    carried = blocks.last_known(l.unionByName(r), by, ["_t", "_side", "_tie"], "_call", ends).filter("_side = 1")
+    return carried.select("_row.*", blocks.BLOCK, *(F.col(f"_call.{c}").alias(c) for c in payload))
+
+
+def present(df: DataFrame, by: list[str], member: str, start: str, end: str, name: str = "datetime_hour", members: str = "members", events: str = "events") -> DataFrame:
+    """How many members and events are present in each key and hour, for the hours that have any.
+
+    An interval is one step up in its first hour and one down after its last; steps of equal hours are summed before any
+    window, so windows are as long as there are hours, not intervals. A member's intervals that overlap or touch are one.
+    Hours are written out only for runs of the result.
+    """
+    up, down = F.date_trunc("hour", start), F.date_trunc("hour", end) + F.expr("interval 1 hour")
+    steps = df.filter(F.col(start) <= F.col(end)).select(*by, member, F.explode(F.array(F.struct(up.alias("h"), F.lit(1).alias("d")), F.struct(down.alias("h"), F.lit(-1).alias("d")))).alias("s"))
+    steps = steps.groupBy(*by, member, F.col("s.h").alias("h")).agg(F.sum("s.d").alias("d"))
+    own = Window.partitionBy(*by, member).orderBy("h")
+    there = F.sum("d").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    steps = steps.withColumn("_now", there).withColumn("_before", F.coalesce(F.lag("_now").over(own), F.lit(0)))
+    steps = steps.groupBy(*by, "h").agg(F.sum((F.col("_now") > 0).cast("int") - (F.col("_before") > 0).cast("int")).alias("m"), F.sum("d").alias("d"))
+    w = Window.partitionBy(*by).orderBy("h")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    runs = steps.select(*by, "h", F.sum("m").over(upto).alias(members), F.sum("d").over(upto).alias(events), F.lead("h").over(w).alias("_end")).filter(F.col(events) > 0)
+    return runs.select(*by, F.explode(F.sequence("h", F.col("_end") - F.expr("interval 1 hour"), F.expr("interval 1 hour"))).alias(name), members, events)
 
 
-def islands(df: DataFrame, by: str, order: list[str | Column], starts: Column, name: str) -> DataFrame:
-    """Numbers the runs of each `by`; a row for which `starts` holds begins a run."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(starts.cast("int")).over(w))
+def islands(df: DataFrame, by: str, order: list[str], starts: Column, name: str) -> DataFrame:
+    """Numbers the runs of each `by`; a row for which `starts` holds begins a run. Rows have blocks."""
+    return blocks.running_sum(df, by, order, starts.cast("int"), name)
 
 
 def seconds(a: Column, b: Column) -> Column:
@@ -79,9 +100,3 @@ def horizon(df: DataFrame, by: list[str], order: str, value: str, days: int) ->
 def last_rows(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first `n` rows of each key in the given order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
-
-
-def mode_of(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """The most frequent value of each key, the smallest of equals; counted before it is ranked."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).count()
-    return counts.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("count"), F.col(value))).alias(name))

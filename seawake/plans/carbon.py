@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seawake.functions import emission, labels, text
-from seawake.operators import series
+from seawake.operators import blocks, quantiles, series
 from seawake.plans import tracks
+from seawake.session import kept
 
 CALL = ["call_id", "arrival_time", "departure_time", "port_key", "port_label"]
 #: The factors in canonical form with the rules beside them: its hash, and so every evidence id, changes with any of them.
@@ -18,7 +19,7 @@ PARAMS = json.dumps({"vessels": emission.VESSELS, "modes": emission.MODES, "fuel
 
 def inside_calls(positions: DataFrame, calls: DataFrame) -> DataFrame:
     """Positions with the call they fall into: the last arrival at or before them, if its departure is not past."""
-    p = positions.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumnRenamed("port_key", "destination_norm").drop("port_label")
+    p = positions.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumnRenamed("port_key", "destination_norm").drop("port_label")  # in blocks of days, like the deltas
     out = series.asof(p, calls.select("mmsi", "call_no", *CALL), "mmsi", "timestamp", "arrival_time", CALL, "call_no")
     inside = F.coalesce(F.col("timestamp") <= F.col("departure_time"), F.lit(False))
     return out.withColumn("inside_call", inside).withColumns({c: F.when(F.col("inside_call"), F.col(c)) for c in CALL})
@@ -38,17 +39,21 @@ def modes(rows: DataFrame) -> DataFrame:
 
 def durations(rows: DataFrame) -> DataFrame:
     """Hours to the next report; beyond six or below zero the vessel's median of the plausible ones, ten minutes if none."""
-    c, w = F.col, Window.partitionBy("mmsi")
-    out = rows.withColumn("duration_h_raw", series.seconds(c("timestamp"), F.lead("timestamp").over(tracks.track())) / 3600)
-    median = F.percentile(F.when((c("duration_h_raw") > 0) & (c("duration_h_raw") <= 2), c("duration_h_raw")), F.lit(0.5)).over(w)
-    sane = F.when((c("duration_h_raw") > 0) & (c("duration_h_raw") <= 6), c("duration_h_raw")).otherwise(median)
-    out = out.withColumn("duration_h", F.least(F.greatest(F.coalesce(sane, F.lit(1 / 6)), F.lit(1 / 120)), F.lit(6.0)))
+    c = F.col
+    raw = rows.withColumn("duration_h_raw", series.seconds(c("timestamp"), c("_next_time").cast("timestamp")) / 3600).drop("_next_time")
+    middle = quantiles.quantiles(raw.filter((c("duration_h_raw") > 0) & (c("duration_h_raw") <= 2)), ["mmsi"], "duration_h_raw", [0.5])
+    middle = middle.select(c("mmsi").alias("_mmsi"), F.get("quantiles", 0).alias("_median"))
+    out = raw.join(middle, c("mmsi").eqNullSafe(c("_mmsi")), "left")
+    sane = F.when((c("duration_h_raw") > 0) & (c("duration_h_raw") <= 6), c("duration_h_raw")).otherwise(c("_median"))
+    out = out.withColumn("duration_h", F.least(F.greatest(F.coalesce(sane, F.lit(1 / 6)), F.lit(1 / 120)), F.lit(6.0))).drop("_mmsi", "_median")
     return out.withColumn("ais_gap_flag", c("duration_h") > 0.5)
 
 
 def row_emissions(spark: SparkSession, positions: DataFrame, calls: DataFrame) -> DataFrame:
-    """Emissions of every position row."""
-    rows = durations(modes(inside_calls(tracks.deltas(positions), calls)))
+    """Emissions of every position row. What calls, neighbours and modes say of a row is computed once and kept, as the
+    medians of the vessels are taken from it before they go into it."""
+    within = inside_calls(positions, calls)
+    rows = durations(kept(modes(tracks.deltas(within, positions.withColumn("timestamp", F.col("timestamp").cast("timestamp"))))))
     rows = rows.withColumn("vessel_class", text.vessel_class(F.col("vessel_type_norm"))).join(F.broadcast(emission.factor_table(spark)), ["vessel_class", "mode"])  # 24 rows
     rows = emission.with_emissions(rows).withColumn("fallback_flag", emission.is_fallback())
     return rows.withColumn("rel_sigma", emission.relative_sigma(F.col("speed_interpolated"), F.col("ais_gap_flag"), F.col("fallback_flag")))
@@ -56,10 +61,11 @@ def row_emissions(spark: SparkSession, positions: DataFrame, calls: DataFrame) -
 
 def segmented(rows: DataFrame) -> DataFrame:
     """Rows with their segment: a new one where mode or call changes, or after a gap of half an hour."""
-    lag = lambda c: F.lag(c).over(tracks.track())
+    lag = lambda c: F.col(f"_prev.{c}")
+    beside = blocks.neighbours(rows, "mmsi", tracks.ORDER, ["mode", "call_id", "duration_h"])
     starts = lag("mode").isNull() | (F.col("mode") != lag("mode")) | (F.coalesce("call_id", F.lit("")) != F.coalesce(lag("call_id"), F.lit(""))) | (F.coalesce(lag("duration_h"), F.lit(0.0)) > 0.5)
-    flagged = rows.withColumn("_start", starts)
-    out = series.islands(flagged, "mmsi", ["timestamp", "position_id"], F.col("_start"), "segment_ord").drop("_start")
+    flagged = beside.withColumn("_start", starts).drop("_prev", "_next")
+    out = series.islands(flagged, "mmsi", tracks.ORDER, F.col("_start"), "segment_ord").drop("_start", blocks.BLOCK)
     return out.withColumn("segment_id", F.concat(F.col("mmsi"), F.lit("_seg_"), F.lpad(F.col("segment_ord").cast("string"), 6, "0")))
 
 
@@ -134,7 +140,8 @@ def uncertainty(df: DataFrame) -> DataFrame:
 
 def diagnostics(calls: DataFrame, high_t: float = 50.0) -> DataFrame:
     """How a scope's calls are spread, and whether the total can be trusted."""
-    out = calls.agg(F.countDistinct("call_id").alias("unique_calls"), F.count("*").alias("rows"), F.sum("wtw_co2e_t").alias("total_t"), F.percentile("wtw_co2e_t", F.lit(0.5)).alias("median_t"), F.max("wtw_co2e_t").alias("max_t"))
+    out = calls.agg(F.countDistinct("call_id").alias("unique_calls"), F.count("*").alias("rows"), F.sum("wtw_co2e_t").alias("total_t"), F.max("wtw_co2e_t").alias("max_t"))
+    out = out.crossJoin(quantiles.quantile(calls, F.col("wtw_co2e_t"), [0.5]).select(F.get("quantiles", 0).alias("median_t")))  # one row with one row
     return out.withColumn("duplicate_rows", F.col("rows") - F.col("unique_calls")).withColumn("sanity", F.when(F.col("unique_calls") == 0, "no calls").when(F.col("duplicate_rows") > 0, "duplicates").when(F.col("max_t") > high_t, "high call").otherwise("ok"))
 
 
@@ -168,7 +175,7 @@ def intensities(calls: DataFrame) -> DataFrame:
 
 def bands(daily: DataFrame, value: str = "wtw_co2e_t") -> DataFrame:
     """Every row with its band between the quartiles of all rows."""
-    q = daily.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantiles.quantile(daily, F.col(value), [0.25, 0.5, 0.75], "_q")
     out = daily.crossJoin(q)  # with one row
     return out.withColumn("band", labels.band(F.col(value), F.col("_q")[0], F.col("_q")[1], F.col("_q")[2])).drop("_q")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seawake.operators import series
+from seawake.operators import quantiles, series
 
 PORT = ("port_key", "port_label")
 
@@ -36,7 +36,7 @@ def dwell(calls: DataFrame, most_days: int = 45) -> DataFrame:
 
 def occupancy(stays: DataFrame) -> DataFrame:
     """Vessels and calls present in each port and hour."""
-    return series.hour_grid(stays, "arrival_time", "departure_time").groupBy(*PORT, "datetime_hour").agg(F.countDistinct("mmsi").alias("occupancy_vessels"), F.count("*").alias("occupancy_events"))
+    return series.present(stays, [*PORT], "mmsi", "arrival_time", "departure_time", members="occupancy_vessels", events="occupancy_events")
 
 
 def port_days(daily: DataFrame) -> DataFrame:
@@ -146,7 +146,9 @@ def busiest_hour(hourly: DataFrame) -> DataFrame:
 
 
 def dwell_stats(stays: DataFrame) -> DataFrame:
-    return stays.groupBy("vessel_type_norm").agg(F.count("*").alias("calls"), F.percentile("dwell_minutes", F.lit(0.5)).alias("median_minutes"), F.avg("dwell_minutes").alias("mean_minutes"))
+    middle = quantiles.quantiles(stays, ["vessel_type_norm"], "dwell_minutes", [0.5]).select(F.col("vessel_type_norm").alias("_type"), F.get("quantiles", 0).alias("median_minutes"))
+    means = stays.groupBy("vessel_type_norm").agg(F.count("*").alias("calls"), F.avg("dwell_minutes").alias("mean_minutes"))
+    return means.join(middle, F.col("vessel_type_norm").eqNullSafe(F.col("_type")), "left").select("vessel_type_norm", "calls", "median_minutes", "mean_minutes")
 
 
 def port_stays(stays: DataFrame, mmsi: str) -> DataFrame:

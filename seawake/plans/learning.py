@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seawake.operators import quantiles
+
 FEATURES = ["speed", "course", "latitude", "longitude", "delta_distance_km", "speed_estimated_kn", "course_change_deg", "hour_of_day"]
 
 
@@ -71,7 +73,8 @@ def frequent_classes(df: DataFrame, label: str, least: tuple[int, ...] = (200, 1
 
 def thresholds(features: DataFrame) -> DataFrame:
     """The 0.99 quantile of absolute acceleration and the 0.95 of course change."""
-    return features.agg(F.percentile(F.abs("acceleration_kn_per_h"), F.lit(0.99)).alias("acceleration_p99"), F.percentile("course_change_deg", F.lit(0.95)).alias("course_change_p95"))
+    q = lambda c, p, n: quantiles.quantile(features, c, [p]).select(F.get("quantiles", 0).alias(n))
+    return q(F.abs("acceleration_kn_per_h"), 0.99, "acceleration_p99").crossJoin(q(F.col("course_change_deg"), 0.95, "course_change_p95"))  # one row with one row
 
 
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -87,7 +90,8 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
 
 def regression_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     e = F.col(label) - F.col(prediction)
-    return df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"))
+    means = df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return means.crossJoin(quantiles.quantile(df, F.abs(e), [0.5]).select(F.get("quantiles", 0).alias("median_ae")))  # one row with one row
 
 
 def train_destination(rows: DataFrame, label: str = "destination_norm", trees: int = 20, seed: int = 7) -> PipelineModel:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seawake.operators import series
+from seawake.operators import quantiles, series
 
 
 def stay_flags(stays: DataFrame) -> DataFrame:
     """Stays in their port's lowest and highest tenth."""
-    ends = stays.groupBy(F.col("port_key").alias("_port")).agg(F.percentile("dwell_minutes", F.array(F.lit(0.1), F.lit(0.9))).alias("_ends"))
+    ends = quantiles.quantiles(stays, ["port_key"], "dwell_minutes", [0.1, 0.9], "_ends").withColumnRenamed("port_key", "_port")
     low, high = F.get("_ends", F.lit(0)), F.get("_ends", F.lit(1))
     out = stays.join(ends, F.col("port_key").eqNullSafe(F.col("_port")), "left")
     out = out.withColumn("anomaly_short_dwell", F.coalesce(F.col("dwell_minutes") <= low, F.lit(False))).withColumn("anomaly_long_dwell", F.coalesce(F.col("dwell_minutes") >= high, F.lit(False))).drop("_port", "_ends")
