@@ -19,11 +19,13 @@ vectors of equal length are compared. Repeated rows count as copies that link wi
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,7 +94,7 @@ def _fitter(leaf_rows: int, overlap: float, salt: int) -> Callable[[pd.DataFrame
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         depth = min(LEVELS, max(1, math.ceil(math.log2(g["count"].iloc[0] / leaf_rows))))
-        own = hash((int(g.leaf.iloc[0]), salt)) & 0x7FFFFFFF
+        own = zlib.crc32(repr((g.label.iloc[0], int(g.d.iloc[0]), int(g.leaf.iloc[0]), salt)).encode())
         t = Tree(unit(np.array(g.embedding.tolist(), np.float64)), depth, overlap, own)
         return pd.DataFrame({"label": g.label.iloc[:1], "d": g.d.iloc[:1], "leaf": g.leaf.iloc[:1], "own": [own], "thresholds": [np.concatenate(t.threshold)]})
 
@@ -100,47 +102,44 @@ def _fitter(leaf_rows: int, overlap: float, salt: int) -> Callable[[pd.DataFrame
 
 
 def split_large(placed: DataFrame, leaf_rows: int, overlap: float, seed: int, rounds: int = 16) -> DataFrame:
-    """`placed` with its large leaves split; a vector near a threshold has a row in both parts."""
-    key, stuck, changed = ["label", "d", "leaf"], None, False
+    """(label, d, leaf, rep, code) of every vector in every leaf, large leaves split; a vector near a threshold is in both
+    parts. Only vectors of large leaves go on with their embedding from round to round, the others as ids."""
+    key = ["label", "d", "leaf"]
+    ids = [*key, "rep", "code"]
+    settled: list[DataFrame] = []
+    active = placed.select(*ids, "embedding")
     for k in range(rounds):
-        large = placed.groupBy(key).count().filter(F.col("count") > GROW * leaf_rows)
-        large = cut(large if stuck is None else large.join(stuck, key, "left_anti"))
+        sizes = active.groupBy(key).count()
+        large = cut(sizes.filter(F.col("count") > GROW * leaf_rows))
         if large.isEmpty():
             break
-
         share = F.pmod(F.xxhash64("rep", F.lit(seed + k)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        some = placed.join(large, key).filter(share * F.col("count") <= LEAF_SAMPLE)
+        some = active.join(large, key).filter(share * F.col("count") <= LEAF_SAMPLE)
         kinds = placed.schema
-        trees = some.select(*key, "embedding", "count").groupBy(key).applyInPandas(_fitter(leaf_rows, overlap, seed + k), T.StructType([*(kinds[c] for c in key), T.StructField("own", T.LongType()), T.StructField("thresholds", T.ArrayType(T.DoubleType()))]))
-        trees = cut(trees)
-        splits = F.exists("thresholds", lambda t: t < float("inf"))
-        flat = trees.filter(~splits).select(key)
-        flat = cut(flat.unionByName(large.select(key).join(trees.select(key), key, "left_anti")))  # without a sample, too
-        stuck = flat if stuck is None else cut(stuck.unionByName(flat))
-        trees = trees.filter(splits)
-        at = {c: i for i, c in enumerate(placed.columns)}
+        own = T.StructType([*(kinds[c] for c in key), T.StructField("own", T.LongType()), T.StructField("thresholds", T.ArrayType(T.DoubleType()))])
+        trees = cut(some.select(*key, "embedding", "count").groupBy(key).applyInPandas(_fitter(leaf_rows, overlap, seed + k), own))
+        trees = trees.filter(F.exists("thresholds", lambda t: t < float("inf")))  # a leaf that no threshold splits stays
+        settled.append(active.select(*ids).join(trees.select(key), key, "left_anti"))
 
         def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                leaf, own = (batch.column(i).to_numpy() for i in (at["leaf"], len(at)))
-                d = batch.column(at["d"]).to_numpy()
-                for o, n in {*zip(own.tolist(), d.tolist(), strict=True)}:
-                    rows = np.flatnonzero((own == o) & (d == n))
-                    for old in np.unique(leaf[rows]):
-                        mine = rows[leaf[rows] == old]
-                        t = grown(o, overlap, np.array(batch.column(len(at) + 1)[int(mine[0])].as_py()), n)
-                        row, node = t.leaves(unit(_matrix(batch.column(at["embedding"]).take(pa.array(mine)))))
-                        new = mix(mix(np.full(len(node), old, np.int64).view(np.uint64)) + node.astype(np.uint64)).view(np.int64)
-                        part = batch.take(pa.array(mine[row]))
-                        columns = [pa.array(new) if c == "leaf" else part.column(i) for c, i in at.items()]
-                        yield pa.RecordBatch.from_arrays(columns, [*at])
-
-        divided = placed.join(trees, key).select(*placed.columns, "own", "thresholds").mapInArrow(divide, placed.schema)
-        placed, changed = cut(placed.join(trees.select(key), key, "left_anti").unionByName(divided)), True
-    if not changed:
-        return placed
-    lists = placed.groupBy("label", "d", "rep").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
-    return placed.drop("leaves").join(lists, ["label", "d", "rep"]).dropDuplicates([*key, "rep", "embedding"])
+                if not len(batch):
+                    continue
+                leaf, own, d = (batch.column(i).to_numpy() for i in (2, 6, 1))
+                label = pc.dictionary_encode(batch.column(0)).indices.to_numpy()
+                groups = np.unique(np.stack((label, d, leaf)), axis=1, return_inverse=True)[1].ravel()
+                for g in range(groups.max() + 1):
+                    mine = np.flatnonzero(groups == g)
+                    t = grown(int(own[mine[0]]), overlap, np.array(batch.column(7)[int(mine[0])].as_py()), int(d[mine[0]]))
+                    row, node = t.leaves(unit(_matrix(batch.column(5).take(pa.array(mine)))))
+                    new = mix(mix(np.full(len(node), leaf[mine[0]], np.int64).view(np.uint64)) + node.astype(np.uint64)).view(np.int64)
+                    part = batch.take(pa.array(mine[row]))
+                    yield pa.RecordBatch.from_arrays([pa.array(new) if i == 2 else part.column(i) for i in range(6)], [*ids, "embedding"])
+
+        active = cut(active.join(trees, key).select(*ids, "embedding", "own", "thresholds").mapInArrow(divide, active.schema))
+    for part in settled:
+        active = active.drop("embedding").unionByName(part)
+    return active.drop("embedding")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -218,12 +217,15 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "leaves"])
 
     indexed = reps.mapInArrow(assign, T.StructType([*reps.schema.fields, T.StructField("leaves", T.ArrayType(T.LongType()))]))
-    placed = cut(indexed.withColumn("d", F.size("embedding"))).withColumn("leaf", F.explode("leaves"))
-    placed, key = split_large(placed, leaf_rows, overlap, seed), ["label", "d", "leaf"]
-    full = placed.groupBy(key).count().filter("count > 1").withColumn("parts", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
-    placed = placed.join(full, key).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(7)), "parts").cast("int"))
+    placed = cut(indexed.withColumns({"d": F.size("embedding"), "code": F.xxhash64("embedding")}))
+    key, who = ["label", "d", "leaf"], ["label", "d", "rep", "code"]
+    spread = cut(split_large(placed.withColumn("leaf", F.explode("leaves")), leaf_rows, overlap, seed).distinct())
+    full = spread.groupBy(key).count().filter("count > 1").withColumn("parts", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
+    spread = cut(spread.join(full, key).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(7)), "parts").cast("int")))
+    leaves = spread.groupBy(who).agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # of several vectors each
+    whole = placed.select(*who, "copies", "embedding").join(leaves, who)
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
-    blocks = placed.withColumn("pair", F.explode(pairs)).select(*key, "rep", "copies", "embedding", "leaves", "part", "pair.i", "pair.j")
+    blocks = spread.join(whole, who).withColumn("pair", F.explode(pairs)).select(*key, "rep", "copies", "embedding", "leaves", "part", "pair.i", "pair.j")
     found = cut(blocks.groupBy(*key, "i", "j").applyInPandas(lambda g: compare(g, least), "rep long, gain long, low long"))
     gains = found.groupBy("rep").agg(F.sum("gain").alias("gain"))
     joined = components(found.filter("low < rep").select(F.col("rep").alias("a"), F.col("low").alias("b")))
