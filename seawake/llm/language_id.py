@@ -18,16 +18,19 @@ null language are not learned from; without any training row every text is `und`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seawake.llm.words import cut
+
 LETTER = regex.compile(r"\p{L}")
 #: ASCII letters and non-ASCII bytes stay, the rest becomes a space.
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -121,20 +124,43 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _sparse(rows: pd.DataFrame, buckets: int) -> np.ndarray:
+    full = np.zeros((len(rows), buckets), np.float32)
+    for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
+        full[i, at] = n
+    return full
+
+
+def _centroids(model: Model, clusters: int, reject: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Clusters the texts of one language and finds its limits."""
+    buckets = len(model.weight)
+
+    def task(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place", kind="stable")
+        c = _clusters(model.vectors(_sparse(rows[rows.whole], buckets)), clusters)
+        parts = [_sparse(rows.iloc[i : i + 512], buckets) for i in range(0, len(rows), 512)]
+        cosine = np.concatenate([(model.vectors(x) @ c.T).max(1) for x in parts])
+        least = limits(cosine, np.concatenate([np.count_nonzero(x, axis=1) for x in parts]), reject)
+        return pd.DataFrame({"lang": rows.lang.iloc[:1], "centroids": [c.astype(np.float32).ravel()], "least": [least]})
+
+    return task
+
+
 def fit(docs: DataFrame, train: Column, *, per_language: int = 800, clusters: int = 3, buckets: int = 4096, reject: float = 0.002, languages: int = 512) -> Model:
     """Learns from the rows where `train` holds and `lang` is not null, at most `per_language` of each of the most frequent
-    `languages`, so what the driver collects is bounded."""
+    `languages`. N-grams are counted in tasks and clustered in one task for each language; the driver gets the number of
+    texts that have each n-gram, and centroids."""
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = F.xxhash64(F.col("doc_id").cast("string"))
     share = F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20))
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
     some = rows.join(F.broadcast(sizes), "lang").filter(share * F.col("count") <= 1.5 * per_language + 50)
-    picked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text")))).filter(F.col("n") <= per_language)
+    picked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text")))).filter(F.col("place") <= per_language)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, whole, at, n = [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 for j, part in enumerate((text, *filter(LETTER.search, spans(text)))):
                     full = counts(part, buckets)
                     some = np.flatnonzero(full)  # only these are kept
@@ -142,33 +168,24 @@ def fit(docs: DataFrame, train: Column, *, per_language: int = 800, clusters: in
                     whole.append(j == 0)
                     at.append(some.astype(np.int32))
                     n.append(full[some].astype(np.int32))
-            lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(whole, pa.bool_()), pa.array(at, lists), pa.array(n, lists)], ["lang", "whole", "at", "n"])
-
-    got = picked.select("lang", "text").mapInArrow(task, "lang string, whole boolean, at array<int>, n array<int>").toArrow()
-    langs, whole = np.array(got.column(0).to_pylist(), object), got.column(1).to_numpy().astype(bool)
-    at, n = (got.column(k).combine_chunks() for k in (2, 3))
-    ends = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy()))).astype(np.int64)
-    at, n = at.flatten().to_numpy(), n.flatten().to_numpy()
-    spread = np.bincount(at[np.repeat(whole, np.diff(ends))], minlength=buckets)
-    weight = np.log((1 + whole.sum()) / (1 + spread)).astype(np.float32) + np.float32(1)
+            lists, row = pa.list_(pa.int32()), pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(whole, pa.bool_()), pa.array(at, lists), pa.array(n, lists)], ["lang", "place", "whole", "at", "n"])
+
+    grams = cut(picked.select("lang", "place", "text").mapInArrow(task, "lang string, place int, whole boolean, at array<int>, n array<int>"))
+    spread, texts = np.zeros(buckets), 0
+    for r in grams.filter("whole").select(F.explode(F.concat("at", F.array(F.lit(-1)))).alias("k")).groupBy("k").count().collect():  # a row for each bucket
+        if r.k < 0:
+            texts = r["count"]
+        else:
+            spread[r.k] = r["count"]
+    weight = np.log((1 + texts) / (1 + spread)).astype(np.float32) + np.float32(1)
     model = Model([], np.empty(0, int), np.empty((0, buckets), np.float32), weight, np.empty((0, CLASSES)))
-
-    def dense(rows: np.ndarray) -> np.ndarray:
-        full = np.zeros((len(rows), buckets), np.float32)
-        for i, k in enumerate(rows):
-            full[i, at[ends[k] : ends[k + 1]]] = n[ends[k] : ends[k + 1]]
-        return full
-
-    for lang in sorted({*langs}):
-        mine = np.flatnonzero(langs == lang)
-        c = _clusters(model.vectors(dense(mine[whole[mine]])), clusters)
-        parts = [dense(mine[i : i + 512]) for i in range(0, len(mine), 512)]
-        cosine = np.concatenate([(model.vectors(x) @ c.T).max(1) for x in parts])
+    for r in sorted(grams.groupBy("lang").applyInPandas(_centroids(model, clusters, reject), "lang string, centroids array<float>, least array<double>").collect(), key=lambda r: r.lang):
+        c = np.array(r.centroids, np.float32).reshape(-1, buckets)
         model.owner = np.concatenate((model.owner, np.full(len(c), len(model.languages))))
-        model.centroids = np.concatenate((model.centroids, c.astype(np.float32)))
-        model.least = np.concatenate((model.least, limits(cosine, np.concatenate([np.count_nonzero(x, axis=1) for x in parts]), reject)[None]))
-        model.languages.append(lang)
+        model.centroids = np.concatenate((model.centroids, c))
+        model.least = np.concatenate((model.least, np.array(r.least)[None]))
+        model.languages.append(r.lang)
     return model
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import gc
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seawake.session import shared_folder
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A-Z in lower case; every byte that is neither a digit, a letter nor part of a non-ASCII character becomes a space.
 ALNUM = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in LOWER)
@@ -86,11 +88,3 @@ def cut(df: DataFrame) -> DataFrame:
     gc.collect()
     done.sparkSession.sparkContext._jvm.System.gc()
     return done
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the session names; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/seawake-checkpoints")
-    return sc.getCheckpointDir()
