@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +16,29 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - dot(a, b) / norms))
 
 
+#: Vectors of up to so many entries are compared by an expression that is compiled, longer ones entry by entry.
+UNROLLED = 512
+
+
+def distance_to(a: Column, query: list[float]) -> Column:
+    """The cosine distance to a given vector, summed in one expression; null for vectors of another length."""
+    length = math.sqrt(math.fsum(x * x for x in query))
+    if not query or not length or len(query) > UNROLLED:
+        return F.when(F.size(a) == len(query), cosine_distance(a, F.array(*(F.lit(float(x)) for x in query))))
+    entries = [F.get(a, F.lit(i)).cast("double") for i in range(len(query))]
+    total = lambda xs: reduce(lambda p, q: p + q, xs)
+    norm = F.sqrt(total([e * e for e in entries]))
+    cosine = total([e * F.lit(x / length) for e, x in zip(entries, query, strict=True)]) / norm
+    return F.when(F.size(a) == len(query), F.when(norm == 0, 1.0).when(cosine.isNotNull() & ~F.isnan(cosine), F.greatest(F.lit(0.0), 1 - cosine)))
+
+
 def nearest(items: DataFrame, vector: str, query: list[float] | DataFrame, key: str, k: int) -> DataFrame:
-    """The `k` items nearest to `query`, a vector or a table of one row with a column `query`: filter first, then an exact
-    top-k, all in one job."""
+    """The `k` items nearest to `query`, a vector or a table of one row with a column `query` (which is read first): filter
+    first, then an exact top-k."""
     if isinstance(query, DataFrame):
-        items, q = items.crossJoin(F.broadcast(query.select(F.col("query").alias("_query")).limit(1))), F.col("_query")  # one row
-    else:
-        q = F.array(*(F.lit(float(x)) for x in query))
-    return items.withColumn("distance", cosine_distance(F.col(vector), q)).drop("_query").orderBy("distance", key).limit(k)
+        row = query.select("query").first()
+        query = list(row.query) if row and row.query else []
+    return items.withColumn("distance", distance_to(F.col(vector), [float(x) for x in query])).orderBy(F.asc_nulls_last("distance"), key).limit(k)
 
 
 def merged(lists: list[DataFrame], key: str, k: int) -> DataFrame:

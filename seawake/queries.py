@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seawake.functions import emission, labels, text
-from seawake.operators import vectors
+from seawake.operators import vector_index, vectors
 from seawake.plans import answers, carbon, forecast, kpi, learning, portday, questions, retrieval, tracks
+from seawake.session import shared_folder
 from seawake.sources import bindings as B
 from seawake.sources import feeds
 
@@ -541,6 +543,34 @@ def vector_topk(spark, sf):
     return vectors.nearest(B.table(spark, sf, "embeddings"), "embedding", _query_vector(spark, sf), "vec_id", 5).select("vec_id", "distance")
 
 
+def stored_index(spark: SparkSession, sf: str) -> vector_index.Index:
+    return vector_index.build(B.table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", f"{shared_folder(spark)}/vector-index-{uuid.uuid4().hex}")
+
+
+MANY = f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, round({COS}, 12) AS distance FROM embeddings e, q), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)"
+
+
+def _hundredths(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 100."""
+    return B.table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"{MANY} SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM f WHERE rank <= 5")
+def vector_index_topk(spark, sf):
+    """The five nearest of every query from a stored index, the exact way."""
+    return vector_index.nearest_many(stored_index(spark, sf), _hundredths(spark, sf), 5, exact=True).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT count(*) AS queries, true AS at_least_95_percent FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, sf):
+    """Whether probing three quarters of the cells (the test vectors hardly cluster) finds at least 95 % of what the exact way finds."""
+    index, q = stored_index(spark, sf), _hundredths(spark, sf)
+    exact = vector_index.nearest_many(index, q, 5, exact=True).select("query_id", "vec_id")
+    probed = vector_index.nearest_many(index, q, 5, probes=-(-3 * len(index.centres) // 4)).select("query_id", "vec_id").withColumn("hit", F.lit(1))
+    both = exact.join(probed, ["query_id", "vec_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.95 * F.count("*")).alias("at_least_95_percent"))
+
+
 @query(W(VEC, tail="SELECT vec_id, label, round(distance, 6) AS distance FROM dist WHERE label = 3 ORDER BY distance, vec_id LIMIT 5"))
 def filtered_vector_topk(spark, sf):
     items = retrieval.matching(B.table(spark, sf, "embeddings"), {"label": 3})
