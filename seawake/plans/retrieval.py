@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
 from html.parser import HTMLParser
 from unicodedata import combining, normalize
 
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seawake.functions import text
+from seawake.operators import fuzzy
+from seawake.session import kept
 
 # Words that route a question to documents or to traffic.
 DOCUMENT_WORDS = "regulation policy guideline guidance document report procedure definition convention".split()
@@ -129,36 +129,53 @@ def plain(name: str) -> str:
     return base.removeprefix("port of ").strip()
 
 
+def _plain(df: DataFrame, column: str, name: str) -> DataFrame:
+    """`df` with the plain form of a column."""
+
+    @F.pandas_udf("string")
+    def made(c: pd.Series) -> pd.Series:
+        return c.map(plain)
+
+    return df.withColumn(name, made(column))
+
+
 def resolve_ports(asked: DataFrame, catalog: DataFrame, least: float = 0.80) -> DataFrame:
     """(asked, port_key): the catalog port a name means: of the same key or name, else contained, else most similar; among
     equals the one with most arrivals, then the first key.
 
-    The names asked for are a stated query set, which is shipped to the tasks that hold the catalog; every task returns its
-    best port for each name.
+    Joins on keys, plain names and pairs of characters, so neither side has to be small.
     """
-    names = [r.asked for r in asked.select("asked").filter("asked <> ''").distinct().collect()]
-    wanted = [(a, a.strip().upper(), plain(a)) for a in names]
-
-    def rank(key: str, name: str, upper: str, p: str) -> tuple[int, float] | None:
-        if key == upper:
-            return 0, 0.0
-        if name == p:
-            return 1, 0.0
-        if p and (p in name or name in p):
-            return 2, 0.0
-        ratio = SequenceMatcher(None, p, name).ratio()
-        return (3, -ratio) if ratio >= least else None
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[str, tuple] = {}
-        for b in batches:
-            for key, label, total in zip(b.port_key, b.port_label, b.arrivals_total, strict=True):
-                name = plain(label)
-                for a, upper, p in wanted:
-                    if (r := rank(key, name, upper, p)) is not None:
-                        best[a] = min(best.get(a, (9,)), (*r, -int(total), key))
-        yield pd.DataFrame([(a, *x) for a, x in best.items()], columns=["asked", "tier", "distance", "arrivals", "port_key"])
-
-    found = catalog.select("port_key", "port_label", "arrivals_total").mapInPandas(task, "asked string, tier int, distance double, arrivals long, port_key string")
+    names = _plain(asked.select("asked").filter("asked <> ''").distinct(), "asked", "a")
+    ports = _plain(catalog.select("port_key", F.coalesce("port_label", F.lit("")).alias("port_label"), "arrivals_total"), "port_label", "b")
+    shown = lambda df, tier, distance: df.select("asked", F.lit(tier).alias("tier"), distance.cast("double").alias("distance"), (-F.col("arrivals_total")).alias("arrivals"), "port_key")
+    ports, names = kept(ports), kept(names)
+    forms, labels = names.select("a").distinct(), ports.select("b").distinct()
+    zero = F.lit(0.0)
+    by_key = shown(names.withColumn("port_key", F.upper(F.trim("asked"))).join(ports, "port_key"), 0, zero)
+    by_name = shown(names.join(ports, F.col("a") == F.col("b")), 1, zero)
+    parts = shown(names.join(fuzzy.contained(forms, labels), "a").join(ports, "b"), 2, zero)
+    like = shown(names.join(fuzzy.alike(forms, labels, least), "a").join(ports, "b"), 3, -F.col("ratio"))
+    found = by_key.unionByName(by_name).unionByName(parts).unionByName(like)
     top = found.groupBy("asked").agg(F.min(F.struct("tier", "distance", "arrivals", "port_key")).alias("best"))
     return asked.select("asked").join(top, "asked", "left").select("asked", F.col("best.port_key").alias("port_key"))
+
+
+def resolve_scopes(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row per question of `candidates(question, place, source, token)`: the port that it is about.
+
+    Tokens are tried by place (what the user chose, what was understood first, other places named, other words); the first
+    that names a port of the catalog wins. Where none does, a port that the user chose stays as given (source `user_filter`),
+    anything else is dropped. `correction` says which token was mapped or ignored, null where none was.
+    """
+    c = candidates.withColumn("token", F.trim("token")).filter("token <> ''")
+    known = resolve_ports(c.select(F.col("token").alias("asked")).distinct(), catalog).withColumnRenamed("asked", "token")
+    tried = c.join(known, "token", "left")
+    at = F.struct("place", "token")
+    per = tried.groupBy("question").agg(
+        F.min_by("token", F.when(F.col("source").isin("user_filter", "entity_primary"), at)).alias("raw"), F.min_by("token", F.when(F.col("source") == "user_filter", at)).alias("chosen"),
+        F.min_by(F.struct("port_key", "source"), F.when(F.col("port_key").isNotNull(), at)).alias("hit"), F.count("*").alias("tried"),
+    )
+    port = F.coalesce("hit.port_key", "chosen")
+    note = F.when(F.col("raw").isNotNull() & port.isNotNull() & (F.col("raw") != port), F.concat(F.col("raw"), F.lit(" -> "), port)).when(F.col("raw").isNotNull() & port.isNull(), F.concat(F.col("raw"), F.lit(" ignored")))
+    source = F.when(F.col("hit.port_key").isNotNull(), F.col("hit.source")).when(F.col("chosen").isNotNull(), "user_filter")
+    return candidates.select("question").distinct().join(per, "question", "left").select("question", port.alias("port"), source.alias("source"), F.coalesce("tried", F.lit(0)).alias("tried"), note.alias("correction"))

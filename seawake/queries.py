@@ -692,6 +692,33 @@ def resolved_ports(spark, sf):
     return retrieval.resolve_ports(asked, kpi.port_catalog(daily(spark, sf))).filter("port_key IS NOT NULL")
 
 
+@query()
+def fuzzy_ports(spark, sf):
+    """What each customer's nation, written with a letter left out or doubled, is resolved to."""
+    c, n = B.table(spark, sf, "customer"), B.table(spark, sf, "nation")
+    at = F.col("c_custkey") % F.length("n_name") + 1
+    worn = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.substring("n_name", F.lit(1), at - 1), F.expr("substring(n_name, c_custkey % length(n_name) + 2)"))).otherwise(F.concat(F.substring("n_name", F.lit(1), at), F.expr("substring(n_name, c_custkey % length(n_name) + 1)")))
+    asked_ = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", worn.alias("asked"))  # 25 nations
+    found = retrieval.resolve_ports(asked_.select("asked").distinct(), kpi.port_catalog(daily(spark, sf)))
+    return asked_.join(found, "asked").select("c_custkey", "asked", "port_key")
+
+
+SCOPE_TRIES = """c AS (SELECT n_nationkey * 4 + k AS question, k, n_name, replace(upper(n_name), ' ', '_') AS key FROM nation, range(4) r(k)),
+known AS (SELECT DISTINCT replace(upper(n_name), ' ', '_') AS key FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey)"""
+
+
+@query(W(SCOPE_TRIES, tail="""SELECT question, CASE WHEN k = 2 THEN NULL WHEN k = 3 THEN 'QQZZX' ELSE key END AS port, CASE k WHEN 0 THEN 'user_filter' WHEN 1 THEN 'entity_port' WHEN 3 THEN 'user_filter' END AS source, CASE k WHEN 1 THEN 2 WHEN 0 THEN 2 ELSE 1 END::BIGINT AS tried,
+CASE WHEN k = 0 AND 'Port of ' || n_name <> key THEN 'Port of ' || n_name || ' -> ' || key WHEN k = 1 THEN 'XQXQX -> ' || key WHEN k = 2 THEN 'ZZXQQ ignored' END AS correction FROM c WHERE key IN (FROM known)"""))
+def resolved_scopes(spark, sf):
+    """The port of a question from several candidates: chosen by name, a wrong token before a right one, no right one, a wrong choice."""
+    n = B.table(spark, sf, "nation").select(F.col("n_nationkey"), "n_name", F.replace(F.upper("n_name"), F.lit(" "), F.lit("_")).alias("key"))
+    known = kpi.port_catalog(daily(spark, sf))
+    tries = [(0, 0, "user_filter", F.concat(F.lit("Port of "), "n_name")), (0, 1, "entity_primary", F.lit("QXQXQ")), (1, 1, "entity_primary", F.lit("XQXQX")), (1, 2, "entity_port", F.col("n_name")), (2, 1, "entity_primary", F.lit("ZZXQQ")), (3, 0, "user_filter", F.lit("QQZZX"))]
+    rows_ = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("place"), F.lit(s).alias("source"), t.alias("token")) for k, p, s, t in tries))
+    c = n.join(known.select(F.col("port_key").alias("key")).distinct(), "key", "left_semi").select("n_nationkey", F.inline(rows_))
+    return retrieval.resolve_scopes(c.select((F.col("n_nationkey") * 4 + F.col("k")).alias("question"), "place", "source", "token"), known)
+
+
 @query(W(PORT_CALLS, PC_STAYS, FLAGGED, tail="""SELECT 'a' AS asked, call_no FROM fl WHERE contains(upper(port_label), 'NATION_1') AND (s OR l) UNION ALL SELECT 'b', call_no FROM fl WHERE vessel_type_norm = 'tug' AND arrival_time::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
 UNION ALL SELECT 'c', call_no FROM fl WHERE NOT (s OR l) AND (port_key = 'NATION_20' OR contains(upper(port_label), 'NATION_20'))"""))
 def chosen_calls(spark, sf):
