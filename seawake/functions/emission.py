@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +79,34 @@ def bounds(metric: str, sigma: Column) -> list[Column]:
     s = F.least(F.greatest(F.coalesce(sigma, F.lit(0.30)), F.lit(0.05)), F.lit(0.95))
     x = F.coalesce(F.col(metric), F.lit(0.0))
     return [F.greatest(x * (1 - Z95 * s), F.lit(0.0)).alias(f"{metric}_lower"), F.greatest(x * (1 + Z95 * s), F.lit(0.0)).alias(f"{metric}_upper")]
+
+
+#: Draws of an interval, and the multiplier of the mixing of 32-bit numbers (odd, below 2^31, so that no product leaves a long).
+DRAWS, MIX, STEP = 500, 0x45D9F3B, 0x9E3779B1
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers, well mixed; kept to shifts and products that SQL can repeat."""
+    for _ in range(2):
+        x = ((x >> 16) ^ x) * MIX & 0xFFFFFFFF
+    return (x >> 16) ^ x
+
+
+def normals(seed: np.ndarray, other: np.ndarray, draws: int) -> np.ndarray:
+    """Standard normal draws of each pair of 32-bit seeds: two mixed counters and the Box-Muller transform."""
+    i = np.arange(draws, dtype=np.int64)[None]
+    u, v = (mixed((s[:, None] + i * STEP) & 0xFFFFFFFF) for s in (seed, other))
+    return np.sqrt(-2 * np.log((u + 1) / 4294967296.0)) * np.cos(2 * np.pi * v / 4294967296.0)
+
+
+def sampled_bounds(total: np.ndarray, sigma: np.ndarray, seed: np.ndarray, other: np.ndarray, draws: int = DRAWS) -> tuple[np.ndarray, np.ndarray]:
+    """The 0.025 and 0.975 quantiles of draws around each total, no draw below zero; zero for totals that are not positive."""
+    rel = np.clip(sigma, 0.05, 0.95)
+    x = np.maximum(total[:, None] * (1 + rel[:, None] * normals(seed, other, draws)), 0)
+    x.sort(1)
+    ends = []
+    for p in (0.025, 0.975):
+        at = (draws - 1) * p
+        low = int(at)
+        ends.append(np.where(total > 0, x[:, low] + (x[:, min(low + 1, draws - 1)] - x[:, low]) * (at - low), 0.0))
+    return ends[0], ends[1]

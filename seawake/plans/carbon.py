@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seawake.functions import emission, labels, text
 from seawake.operators import blocks, quantiles, series
@@ -105,6 +109,38 @@ def aggregate(segs: DataFrame, keys: list[str]) -> DataFrame:
     return intervals(out)
 
 
+def sampled_intervals(df: DataFrame, keys: list[str], seed: int = 42, draws: int = emission.DRAWS) -> DataFrame:
+    """Aggregates with bounds from seeded draws of clipped normals around each total instead of the closed form.
+
+    The draws of a row and pollutant depend on the seed, the pollutant and the row's keys alone (by their MD5), so they are
+    the same on any cluster and whatever rows are beside it. A row needs `draws` numbers for each pollutant, a batch a
+    bounded number of rows at a time.
+    """
+    plain = df.drop(*(f"{p}{s}" for p in emission.POLLUTANTS for s in ("_lower", "_upper")), "ci_width_rel", "confidence_label")
+    code = lambda p: F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(p), *(F.col(k).cast("string") for k in keys)))
+    word = lambda p, at: F.conv(F.substring(code(p), at, 8), 16, 10).cast("long")
+    rows = plain.withColumn("_seeds", F.array(*(word(p, at) for p in emission.POLLUTANTS for at in (1, 9))))
+    names, n = plain.columns, len(emission.POLLUTANTS)
+    at = [names.index(p) for p in emission.POLLUTANTS]
+    sigma_at = names.index("rel_sigma_weighted")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 2048) for i in range(0, len(whole), 2048)):
+                seeds = batch.column(len(names)).flatten().to_numpy().reshape(-1, 2 * n)
+                number = lambda i: pc.fill_null(batch.column(i), 0.0).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                bounds = [b for j, i in enumerate(at) for b in emission.sampled_bounds(number(i), number(sigma_at), seeds[:, 2 * j], seeds[:, 2 * j + 1], draws)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, bounds)], [*names, *(f"{p}{s}" for p in emission.POLLUTANTS for s in ("_lower", "_upper"))])
+
+    kind = T.StructType([*plain.schema.fields, *(T.StructField(f"{p}{s}", T.DoubleType()) for p in emission.POLLUTANTS for s in ("_lower", "_upper"))])
+    out = rows.mapInArrow(task, kind)
+    either = lambda s: F.coalesce(F.when(F.col(f"wtw_co2e_t{s}") > 0, F.col(f"wtw_co2e_t{s}")).otherwise(F.col(f"co2_t{s}")), F.lit(0.0))
+    width = F.when(either("") > 0, (either("_upper") - either("_lower")) / either("")).otherwise(1.0)
+    out = out.withColumn("ci_width_rel", width).withColumn("confidence_label", labels.confidence(F.col("ci_width_rel"), F.col("fallback_usage_ratio")))
+    coverage = 1 - F.least(F.lit(1.0), F.col("ais_gap_ratio"))
+    return out.withColumn("confidence_reason", F.format_string("interval %.2f, defaults %.2f, coverage %.2f", "ci_width_rel", "fallback_usage_ratio", coverage))
+
+
 def daily_port(segs: DataFrame) -> DataFrame:
     """Per day and port; segments outside calls count for the port they head for."""
     proxy = segs.withColumn("port_key", F.coalesce("port_key", "destination_norm"))

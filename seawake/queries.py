@@ -366,6 +366,37 @@ def carbon_month(spark, sf):
     return carbon.by_month(segs(spark, sf)).select("month", "port_key", "segments", "row_count", "confidence_label", *AGG_COLS)
 
 
+_NORMAL = "sqrt(-2 * ln((xor(s.u >> 16, s.u) + 1) / 4294967296.0::DOUBLE)) * cos(2 * pi() * xor(s.v >> 16, s.v) / 4294967296.0::DOUBLE)"
+
+
+def _sampled(name: str, source: str, keys: tuple[str, ...], seed: int) -> str:
+    """SQL for aggregates with drawn bounds: the 500 draws of each pollutant as a sorted list."""
+    mix = lambda x: f"list_reduce([{x}, 0, 0], lambda a, _: (xor(a >> 16, a) * {emission.MIX}) & 4294967295)"
+    code = lambda p: f"md5(concat_ws('|', '{seed}', '{p}', {', '.join(f'{k}::VARCHAR' for k in keys)}))"
+    word = lambda p, at: f"('0x' || substr({code(p)}, {at}, 8))::BIGINT"
+    counted = lambda w: mix(f"(({w}) + i * {emission.STEP}) & 4294967295")
+    seeds = ", ".join(f"{word(p, 1)} AS {p}_a, {word(p, 9)} AS {p}_b" for p in POLL)
+    plain = ", ".join(f"{p}_lower, {p}_upper" for p in POLL)
+    drawn = ", ".join(f"list_sort(list_transform(list_transform(range({emission.DRAWS}), lambda i: {{'u': {counted(f'{p}_a')}, 'v': {counted(f'{p}_b')}}}), lambda s: greatest({p} * (1 + least(greatest(rel_sigma_weighted, 0.05), 0.95) * {_NORMAL}), 0))) AS {p}_d" for p in POLL)
+    low, high = (emission.DRAWS - 1) * 0.025, (emission.DRAWS - 1) * 0.975
+    end = lambda p, at: f"CASE WHEN {p} > 0 THEN {p}_d[{int(at) + 1}] + ({p}_d[{int(at) + 2}] - {p}_d[{int(at) + 1}]) * {at - int(at)!r}::DOUBLE ELSE 0 END"
+    ends = ", ".join(f"{end(p, low)} AS {p}_lower, {end(p, high)} AS {p}_upper" for p in POLL)
+    either = lambda s: f"coalesce(CASE WHEN wtw_co2e_t{s} > 0 THEN wtw_co2e_t{s} ELSE co2_t{s} END, 0)"
+    return f"""{name}a AS (SELECT * EXCLUDE ({plain}, ci_width_rel, confidence_label), {seeds} FROM {source}), {name}b AS (SELECT *, {drawn} FROM {name}a), {name}c AS (SELECT *, {ends} FROM {name}b),
+{name}d AS (SELECT *, CASE WHEN {either('')} > 0 THEN ({either('_upper')} - {either('_lower')}) / {either('')} ELSE 1.0 END AS ci_width_rel FROM {name}c), {name} AS (SELECT *, {CONF} FROM {name}d)"""
+
+
+@query(W(*ROWS, SEGS, DAILY_PORT, _sampled("sd", "dp", ("date", "port_key"), 42), tail=f"SELECT date, port_key, segments, row_count, confidence_label, {R6(*AGG_COLS)} FROM sd"), dates="date")
+def carbon_daily_port_sampled(spark, sf):
+    return carbon.sampled_intervals(carbon.daily_port(segs(spark, sf)), ["date", "port_key"]).select("date", "port_key", "segments", "row_count", "confidence_label", *AGG_COLS)
+
+
+@query(W(*ROWS, SEGS, BY_CALL, _sampled("sc", "cl", ("call_id", "mmsi", "port_key", "port_label"), 43), tail=f"SELECT call_id, mmsi, port_key, port_label, segments, row_count, confidence_label, {R6(*AGG_COLS)} FROM sc"))
+def carbon_call_sampled(spark, sf):
+    out = carbon.sampled_intervals(carbon.by_call(segs(spark, sf)), ["call_id", "mmsi", "port_key", "port_label"], 43)
+    return out.select("call_id", "mmsi", "port_key", "port_label", "segments", "row_count", "confidence_label", *AGG_COLS)
+
+
 @query(W(*ROWS, SEGS, tail=" UNION ALL ".join(f"SELECT '{p}' AS pollutant, round(sum({p}), 6) AS point, round(sum({p}_lower), 6) AS lower, round(sum({p}_upper), 6) AS upper FROM segs WHERE date >= DATE '2024-01-05' AND date <= DATE '2024-01-20' AND contains(coalesce(port_key, ''), 'NATION_6')" for p in POLL)))
 def carbon_uncertainty(spark, sf):
     return carbon.uncertainty(carbon.scope(segs(spark, sf), "NATION_6", "2024-01-05", "2024-01-20"))
