@@ -57,6 +57,17 @@ def seasonal_analog(df: DataFrame, target: str) -> DataFrame:
     return out.select("port_key", "tier", "samples", "predicted", F.greatest(F.lit(0.0), F.when(one, F.col("predicted") * 0.8).otherwise(F.col("p10"))).alias("lower"), F.when(one, F.col("predicted") * 1.2).otherwise(F.col("p90")).alias("upper"), labels.analog_confidence(F.col("tier"), F.col("samples")).alias("confidence"))
 
 
+def analog_means(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """(question_id, analog): as `seasonal_analog`, for the target days of many questions (question_id, key, target_date) over
+    series (key, date, value) at once."""
+    both = asked.join(df, "key")
+    day, target = F.dayofmonth("date") - F.dayofmonth("target_date"), F.col("target_date")
+    month, name, week = F.month("date") == F.month(target), F.weekday("date") == F.weekday(target), F.weekofyear("date") == F.weekofyear(target)
+    tiers = [(month & (day == 0), 1), (month & (F.abs(day) <= 2) & name, 2), (week & name, 3), (month & name, 3), (month, 5), (name, 5), (F.lit(True), 1)]
+    per = both.groupBy("question_id").agg(*(F.count_if(t).alias(f"n{i}") for i, (t, _) in enumerate(tiers)), *(F.avg(F.when(t, F.col("value"))).alias(f"m{i}") for i, (t, _) in enumerate(tiers)))
+    return per.select("question_id", F.coalesce(*(F.when(F.col(f"n{i}") >= least, F.col(f"m{i}")) for i, (_, least) in enumerate(tiers))).alias("analog"))
+
+
 def backtest(df: DataFrame, least_history: int = 60, test_rows: int = 28, ports: int = 20) -> DataFrame:
     """One-step errors over the last rows of the ports with the largest totals."""
     w = Window.partitionBy("port_key")

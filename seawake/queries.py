@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seawake.functions import emission, labels, text
 from seawake.operators import vector_index, vectors
-from seawake.plans import answers, carbon, forecast, kpi, learning, portday, questions, retrieval, tracks
+from seawake.plans import answers, carbon, dispatch, forecast, kpi, learning, portday, questions, retrieval, tracks
 from seawake.session import shared_folder
 from seawake.sources import bindings as B
 from seawake.sources import feeds
@@ -896,6 +896,25 @@ def question_entities(spark, sf):
     return got.select("n_nationkey", "k", F.col("date_from").cast("string").alias("date_from"), F.col("date_to").cast("string").alias("date_to"), "window", "call_id", "dow", "dow_compare", "port")
 
 
+HERE = (
+    "How many vessels arrived between 2024-01-05 and 2024-01-20?", "What was the peak arrival date last 3 weeks?", "Which are the top ports in January 2024?", "Average dwell time of tankers in January 2024",
+    "How high was congestion in January 2024?", "Is it busier on Fridays versus Mondays?", "Which hour is usually busiest?", "What weekday is busiest?", "Predict congestion on 2024-02-10",
+    "What congestion is expected on Mondays in the next 3 weeks?", "Compare arrivals here", "Why was it so slow?", "Any unusual spike?", "Any suspicious jump on 2024-01-10?", "What are truck turn-time figures?",
+    "CO2e emissions WTW in January 2024", "Monthly NOx emissions", "Will carbon emissions rise?", "Estimate emissions of a tanker manoeuvring 2 hours at 6 kn", "Emissions in March 2021", "emissions of mmsi 123456 call_id_none",
+)
+
+
+@query()
+def answered_questions(spark, sf):
+    """Every question of `HERE` for every nation as the port that the user chose."""
+    n = B.table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("user_port"), F.posexplode(F.array(*map(F.lit, HERE))).alias("k", "question"))
+    none = F.lit(None).cast("date")
+    asked_ = n.select((F.col("n_nationkey") * 100 + F.col("k") + 1).cast("long").alias("question_id"), "question", "user_port", none.alias("user_from"), none.alias("user_to"))
+    calls, positions = B.port_calls(spark, sf), B.positions(spark, sf)
+    by_day, stays = kpi.call_arrivals(calls), kpi.dwell(calls)
+    return dispatch.answered(spark, asked_, F.lit("2024-01-31").cast("date"), daily=by_day, stays=stays, index=kpi.congestion(by_day, kpi.proxy_arrivals(positions), stays), positions=positions, segs=segs(spark, sf))
+
+
 # ---- learning
 
 
