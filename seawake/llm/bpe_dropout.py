@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from seawake.llm.vocab import MODEL, SPACE, pieces, read_model
-from seawake.llm.words import mix
+from seawake.llm.words import mix, tidy
 
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 NEVER = float("inf")
@@ -38,7 +38,7 @@ MASK = (1 << 64) - 1
 SHORT = 48
 WIDE = 1 << 20
 #: Nodes that a worker keeps, ids that it decodes at once and words that it encodes at once.
-CACHE, AT_ONCE, WORDS = 150_000, 1 << 18, 1 << 16
+CACHE, AT_ONCE, WORDS = 80_000, 1 << 18, 1 << 16
 #: The mark of an occurrence that is merged by itself.
 ONCE = -2
 #: No word of up to `SHORT` characters meets so many candidates: each merge offers at most two new ones.
@@ -386,7 +386,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: i
                 ids = _lists(e.encode_many(part.column(at).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidy(task), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def _texts(e: Encoder, column: pa.ListArray) -> pa.Array:
@@ -410,7 +410,7 @@ def decode(df: DataFrame, *, model: str = MODEL) -> DataFrame:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 yield pa.RecordBatch.from_arrays([*part.columns, _texts(e, part.column(at))], [*part.schema.names, "decoded"])
 
-    return df.mapInArrow(task, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
+    return df.mapInArrow(tidy(task), T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0) -> DataFrame:
@@ -429,4 +429,4 @@ def round_trip(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, see
                 same = pc.equal(_texts(e, ids), texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, ids.value_lengths().fill_null(0).cast(pa.int64()), pc.coalesce(same, texts.is_null())], ["doc_id", "ids", "n_tokens", "lossless"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("ids array<int>, n_tokens long, lossless boolean")]))
+    return docs.select("doc_id", "text").mapInArrow(tidy(task), T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("ids array<int>, n_tokens long, lossless boolean")]))

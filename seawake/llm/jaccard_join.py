@@ -298,9 +298,9 @@ def _edges(docs: DataFrame, profiles: DataFrame, hot: np.ndarray, reps: DataFram
     return first.unionByName(cut(_verified(sets, rest, percent))), sets
 
 
-def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cells: int = 2, spoiled: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, n, set) of every row, and (set, n, component, links) of every set that is not alone: the smallest doc_id
-    that its documents reach, and the number of other documents that its documents are linked with directly."""
+def _grouped(docs: DataFrame, shingle: int, percent: int, cells: int = 2, spoiled: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, h, n, set) of every row; (set, n, rep, copies, component) of every set that is not alone, the component being
+    the smallest doc_id that its documents reach; the sets of candidates; and the components of ids with several sets."""
     both = cut(_profiles(docs, shingle))
     rows, docs = both.filter("odd IS NOT NULL").drop("odd"), docs.filter("doc_id IS NOT NULL")
     profiles = both.filter("odd IS NOT NULL AND doc_id IS NOT NULL AND n > 0")
@@ -316,9 +316,14 @@ def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cells: int =
     alone = (F.col("copies") == 1) & F.col("component").isNull()
     found = reps.drop("odd").join(joined.withColumnRenamed("node", "rep"), "rep", "left").filter(~alone)
     found = cut(found.withColumn("component", F.coalesce("component", "rep")))
+    return rows, found, sets, same.select(F.col("a").alias("node")).distinct().join(joined, "node").select("component", F.lit(True).alias("mixed")).distinct()
+
 
+def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, cells: int = 2, spoiled: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, set) of every row, and (set, n, component, links) of every set that is not alone: the smallest doc_id
+    that its documents reach, and the number of other documents that its documents are linked with directly."""
+    rows, found, sets, mixed = _grouped(docs, shingle, percent, cells, spoiled)
     groups = found.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum("copies").alias("all"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("m > 1")
-    mixed = same.select(F.col("a").alias("node")).distinct().join(joined, "node").select("component", F.lit(True).alias("mixed")).distinct()
     two = (F.col("m") == 2) & (F.col("lo") < F.col("hi")) & F.col("mixed").isNull()  # such a pair has been verified
     groups = cut(groups.join(mixed, "component", "left").withColumn("two", two))
     parts = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
@@ -343,8 +348,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
 
 def one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each group, that of the smallest doc_id; rows of it that share its id but not its text
-    stay too, of repeated rows (same id, same text) one does. Documents without words and rows without an id stay."""
-    rows, found = links(docs, shingle=shingle, percent=percent)
+    stay too, of repeated rows (same id, same text) one does. Documents without words and rows without an id stay. Links are
+    not counted for it."""
+    rows, found, _, _ = _grouped(docs, shingle, percent)
     keyed = rows.filter("doc_id IS NOT NULL").join(found, ["set", "n"], "left").groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.min("component").alias("component"))
     marked = cut(keyed.filter("times > 1 OR component <> doc_id").select(F.col("doc_id").alias("the id"), F.col("h").alias("the hash"), (F.coalesce("component", "doc_id") != F.col("doc_id")).alias("gone")))
     key = (F.col("doc_id") == F.col("the id")) & (F.xxhash64("text") == F.col("the hash"))

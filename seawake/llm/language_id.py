@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seawake.llm.words import cut
+from seawake.llm.words import cut, tidy
 
 LETTER = regex.compile(r"\p{L}")
 #: ASCII letters and non-ASCII bytes stay, the rest becomes a space.
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, train: Column, *, per_language: int = 800, clusters: in
             lists, row = pa.list_(pa.int32()), pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(whole, pa.bool_()), pa.array(at, lists), pa.array(n, lists)], ["lang", "place", "whole", "at", "n"])
 
-    grams = cut(picked.select("lang", "place", "text").mapInArrow(task, "lang string, place int, whole boolean, at array<int>, n array<int>"))
+    grams = cut(picked.select("lang", "place", "text").mapInArrow(tidy(task), "lang string, place int, whole boolean, at array<int>, n array<int>"))
     spread, texts = np.zeros(buckets), 0
     for r in grams.filter("whole").select(F.explode(F.concat("at", F.array(F.lit(-1)))).alias("k")).groupBy("k").count().collect():  # a row for each bucket
         if r.k < 0:
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "lang_pred", "score", "rejected"])
 
     new = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())]
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in new)]))
+    return docs.mapInArrow(tidy(task), T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in new)]))
 
 
 def held_out() -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +78,19 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("i"), F.xxhash64(text).alias("h"))
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`task`, which gives the memory of its batches back at its end; workers live on for other tasks and stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the session's shared folder.
 
