@@ -195,12 +195,18 @@ def find_call(calls: DataFrame, call_id: str) -> DataFrame:
     return near.withColumn("_any", F.max("_exact").over(w)).withColumn("_n", F.size(F.collect_set("call_id").over(w))).filter(F.col("_exact") | (~F.col("_any") & (F.col("_n") == 1))).drop("_exact", "_any", "_n")
 
 
+def scenarios(spark: SparkSession, assumed: DataFrame, sigma: float = 0.30) -> DataFrame:
+    """Emissions of assumed stays (vessel_type, mode, duration_h, speed_kn), any number of them; other columns stay. Stays in
+    an unknown mode have no row."""
+    rows = assumed.withColumn("vessel_class", text.vessel_class(F.col("vessel_type"))).join(F.broadcast(emission.factor_table(spark)), ["vessel_class", "mode"])  # 24 rows
+    out = emission.with_emissions(rows).withColumn("rel_sigma_weighted", F.lit(sigma))
+    return out.select(*assumed.columns, "vessel_class", "load_factor", "fuel_t", *emission.POLLUTANTS, *(b for p in emission.POLLUTANTS for b in emission.bounds(p, F.col("rel_sigma_weighted"))))
+
+
 def scenario(spark: SparkSession, vessel_type: str, mode: str, hours: float, speed_kn: float, sigma: float = 0.30) -> DataFrame:
-    """Emissions of an assumed stay, as one row."""
+    """Emissions of one assumed stay, as one row."""
     row = spark.createDataFrame([(vessel_type, mode, float(hours), float(speed_kn))], "vessel_type string, mode string, duration_h double, speed_kn double")
-    row = row.withColumn("vessel_class", text.vessel_class(F.col("vessel_type"))).join(F.broadcast(emission.factor_table(spark)), ["vessel_class", "mode"])
-    out = emission.with_emissions(row).withColumn("rel_sigma_weighted", F.lit(sigma))
-    return out.select("vessel_class", "mode", "load_factor", "fuel_t", *emission.POLLUTANTS, *(b for p in emission.POLLUTANTS for b in emission.bounds(p, F.col("rel_sigma_weighted"))))
+    return scenarios(spark, row, sigma).drop("vessel_type", "duration_h", "speed_kn")
 
 
 def intensities(calls: DataFrame) -> DataFrame:

@@ -17,6 +17,18 @@ FORECAST = ("forecast", "predict", "expected", "expect", "next", "coming", "futu
 COMPARE = ("compare", "vs", "versus", "more than", "less than", "which port")
 DIAGNOSTIC = ("why", "cause", "reason", "dominated", "contributing", "contributors", "breakdown")
 PATTERN = ("busiest", "usually", "pattern", "seasonal", "weekday", "day-of-week", "hour")
+#: What a question measures, by the first row of which it has a word; else arrivals.
+METRICS = (
+    (("dwell",), "dwell_minutes"), (("congestion", "busy"), "congestion_index"), (("occupancy",), "occupancy_vessels"),
+    (("arrival", "arrive"), "arrivals_vessels"), (("spike", "anomaly"), "arrivals_spike"),
+)
+VESSEL_WORDS = ((("tanker",), "tanker"), (("cargo",), "cargo ship"), (("container",), "container ship"))
+WELL_TO_WAKE = ("wtw", "well-to-wake", "well to wake", "lifecycle", "co2e")
+EXTREME, DATED = ("highest", "max", "peak"), ("day", "date")
+#: Names of pollutants: words that may stand anywhere, words that stand by themselves.
+POLLUTANTS = (("CO2e", ("co2e", "ghg"), ()), ("CO2", (), ("co2",)), ("NOx", ("nox",), ()), ("SOx", ("sox", "sulfur"), ()), ("PM", ("particulate",), ("pm",)))
+UNNAMED = ("CO2e", "NOx", "SOx", "PM")
+ASSUMED, PREDICTED, BY_MONTH = ("estimate", "assume", "scenario"), ("forecast", "predict"), ("monthly", "per month")
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 PORT_NAMES = ("gothenburg", "goteborg", "gdansk", "gdynia", "klaipeda", "riga", "kotka", "swinoujscie", "szczecin", "lubeck", "ventspils")
@@ -53,36 +65,35 @@ def intent(c: Column) -> Column:
     )
 
 
-def metric(c: Column) -> Column:
+def _first_of(c: Column, table: tuple[tuple[tuple[str, ...], str], ...]) -> Column:
+    """The name of the first row of a table of words of which a question has one."""
     q = F.lower(c)
-    return (
-        F.when(q.contains("dwell"), "dwell_minutes").when(_any(q, ("congestion", "busy")), "congestion_index").when(q.contains("occupancy"), "occupancy_vessels")
-        .when(_any(q, ("arrival", "arrive")), "arrivals_vessels").when(_any(q, ("spike", "anomaly")), "arrivals_spike").otherwise("arrivals_vessels")
-    )
+    return F.coalesce(*(F.when(_any(q, words), name) for words, name in table))
+
+
+def metric(c: Column) -> Column:
+    return F.coalesce(_first_of(c, METRICS), F.lit("arrivals_vessels"))
 
 
 def aggregation(c: Column) -> Column:
     q = F.lower(c)
-    return F.when(_any(q, ("highest", "max", "peak")) & _any(q, ("day", "date")), "peak_day")
+    return F.when(_any(q, EXTREME) & _any(q, DATED), "peak_day")
 
 
 def vessel_type(c: Column) -> Column:
-    q = F.lower(c)
-    return F.when(q.contains("tanker"), "tanker").when(q.contains("cargo"), "cargo ship").when(q.contains("container"), "container ship")
+    return _first_of(c, VESSEL_WORDS)
 
 
 def boundary(c: Column) -> Column:
-    return F.when(_any(F.lower(c), ("wtw", "well-to-wake", "well to wake", "lifecycle", "co2e")), "WTW").otherwise("TTW")
+    return F.coalesce(_first_of(c, ((WELL_TO_WAKE, "WTW"),)), F.lit("TTW"))
 
 
 def pollutants(c: Column) -> Column:
-    """The pollutants a question names, all four where it names none."""
+    """The pollutants a question names, those of `UNNAMED` where it names none."""
     q = F.lower(c)
-    named = F.array_compact(F.array(
-        F.when(_any(q, ("co2e", "ghg")), "CO2e"), F.when(q.rlike(r"\bco2\b"), "CO2"), F.when(q.contains("nox"), "NOx"),
-        F.when(_any(q, ("sox", "sulfur")), "SOx"), F.when(q.rlike(r"\bpm\b") | q.contains("particulate"), "PM"),
-    ))
-    return F.when(F.size(named) > 0, named).otherwise(F.array(*map(F.lit, ("CO2e", "NOx", "SOx", "PM"))))
+    alone = F.split(q, r"\W+")
+    named = F.array_compact(F.array(*(F.when(_any(q, parts) | F.arrays_overlap(alone, F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")), name) for name, parts, words in POLLUTANTS)))
+    return F.when(F.size(named) > 0, named).otherwise(F.array(*map(F.lit, UNNAMED)))
 
 
 def weekdays(c: Column) -> Column:
@@ -172,8 +183,8 @@ def carbon_route(c: Column) -> Column:
     """The emission answer of a question: a call, an estimate, a forecast, or a port (by month if it asks for that)."""
     q = F.lower(c)
     call = _first(c, r"(?i)\bcall[_\-\s]?id[\s:=_\-]*([A-Za-z0-9_\-:.]+)\b").isNotNull()
-    assumed = _any(q, ("estimate", "assume", "scenario")) & q.rlike(r"\d+(\.\d+)?\s*(h|hours?|kn|knots?)\b")
-    return F.when(call, "call").when(assumed, "estimate").when(_any(q, ("forecast", "predict")), "forecast_only").when(_any(q, ("monthly", "per month")), "port_by_month").otherwise("port_by_day")
+    assumed = _any(q, ASSUMED) & q.rlike(r"\d+(\.\d+)?\s*(h|hours?|kn|knots?)\b")
+    return F.when(call, "call").when(assumed, "estimate").when(_any(q, ("forecast", "predict")), "forecast_only").when(_any(q, BY_MONTH), "port_by_month").otherwise("port_by_day")
 
 
 def understood(questions: DataFrame, today: Column) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +35,15 @@ def with_columns(df: DataFrame, names: list[str], kind: str = "string") -> DataF
     return df.withColumns({n: F.lit(None).cast(kind) for n in names if n not in df.columns})
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system that Spark knows."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_mart(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
     """A Parquet mart, or an empty one with its schema where the path does not exist yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    df = spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    df = spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
     return df.select(*columns) if columns else df
 
 
@@ -50,12 +53,10 @@ def write_mart(df: DataFrame, path: str, partition: list[str] | None = None) ->
 
 
 def ensure_mart(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition: list[str] | None = None) -> DataFrame:
-    """The mart at `path`, built and written first if there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The mart at `path`, built and written first if there is nothing there; one that cannot be read is an error."""
+    if not path_exists(spark, path):
         write_mart(build(), path, partition)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_manifest(facts: DataFrame, path: str) -> None:
