@@ -793,7 +793,7 @@ def scopes(spark: SparkSession, sf: str) -> DataFrame:
     return n.select((F.col("n_nationkey") * 10 + F.col("k")).cast("long").alias("scope_id"), port.alias("port_key"), "date_from", "date_to", F.when(F.col("k") == 2, "TTW").otherwise("WTW").alias("boundary"))
 
 
-@query(W(*ROWS, SEGS, DAILY_PORT, SCOPE_SQL, f"""li AS (SELECT scope_id, call_id, {_CH()} AS t, {_CH('_lower')} AS lo, {_CH('_upper')} AS up, duration_h, fallback_usage_ratio FROM segs JOIN sc USING (port_key) WHERE call_id IS NOT NULL AND {_IN}),
+EMISSIONS_OF_SCOPES = f"""li AS (SELECT scope_id, call_id, {_CH()} AS t, {_CH('_lower')} AS lo, {_CH('_upper')} AS up, duration_h, fallback_usage_ratio FROM segs JOIN sc USING (port_key) WHERE call_id IS NOT NULL AND {_IN}),
 bc AS (SELECT scope_id, call_id, sum(t) AS t, sum(lo) AS lo, sum(up) AS up, sum(duration_h) AS h FROM li GROUP BY ALL), bs AS (SELECT scope_id, sum(t) AS t, avg(fallback_usage_ratio) AS f FROM li GROUP BY ALL),
 ca AS (SELECT scope_id, sum(t) AS ct, sum(lo) AS lo, sum(up) AS up, count(*) AS n, max(t) AS mt, max(h) AS mh FROM bc GROUP BY ALL),
 pr AS (SELECT scope_id, sum({_CH()}) AS pt, sum({_CH('_lower')}) AS pl, sum({_CH('_upper')}) AS pu, avg(fallback_usage_ratio) AS pf FROM dp JOIN sc USING (port_key) WHERE {_IN} GROUP BY ALL),
@@ -801,7 +801,10 @@ ba AS (SELECT port_key, median(ttw_co2e_t) AS bt, median(wtw_co2e_t) AS bw FROM
 jo AS (SELECT sc.*, ca.*, bs.t, bs.f, pr.*, coalesce(CASE WHEN boundary = 'WTW' THEN bw ELSE bt END, 0) AS base, CASE WHEN coalesce(date_from > date_to, false) THEN NULL WHEN ca.n > 0 THEN 'call_linked' WHEN pt IS NOT NULL THEN 'daily_proxy' END AS mode
   FROM sc LEFT JOIN ca ON sc.scope_id = ca.scope_id LEFT JOIN bs ON sc.scope_id = bs.scope_id LEFT JOIN pr ON sc.scope_id = pr.scope_id LEFT JOIN ba ON sc.port_key = ba.port_key),
 ei AS (SELECT *, CASE mode WHEN 'call_linked' THEN t WHEN 'daily_proxy' THEN pt END AS total, CASE mode WHEN 'call_linked' THEN lo WHEN 'daily_proxy' THEN pl END AS lower, CASE mode WHEN 'call_linked' THEN up WHEN 'daily_proxy' THEN pu END AS upper, CASE mode WHEN 'call_linked' THEN f WHEN 'daily_proxy' THEN pf END AS fb FROM jo),
-la AS (SELECT *, CASE WHEN total > 0 THEN (upper - lower) / total ELSE 0 END AS w FROM ei), lb AS (SELECT *, CASE WHEN w <= 0.2 AND fb <= 0.05 THEN 'high' WHEN w <= 0.4 OR fb <= 0.2 THEN 'medium' ELSE 'low' END AS c FROM la)""",
+la AS (SELECT *, CASE WHEN total > 0 THEN (upper - lower) / total ELSE 0 END AS w FROM ei), lb AS (SELECT *, CASE WHEN w <= 0.2 AND fb <= 0.05 THEN 'high' WHEN w <= 0.4 OR fb <= 0.2 THEN 'medium' ELSE 'low' END AS c FROM la)"""
+
+
+@query(W(*ROWS, SEGS, DAILY_PORT, SCOPE_SQL, EMISSIONS_OF_SCOPES,
     tail="""SELECT scope_id::BIGINT AS scope_id, CASE WHEN mode IS NULL THEN 'NOT_COMPUTABLE' WHEN abs(total) < 1e-12 THEN 'COMPUTED_ZERO' ELSE 'COMPUTED' END AS state, mode, round(total, 6) AS total, round(lower, 6) AS lower, round(upper, 6) AS upper,
 CASE WHEN mode IS NULL THEN NULL WHEN mode = 'daily_proxy' AND c = 'high' THEN 'medium' ELSE c END AS confidence, CASE WHEN mode = 'call_linked' THEN round(ct, 6) END AS calls_total, CASE WHEN coalesce(date_from > date_to, false) THEN 0 ELSE coalesce(n, 0) END::BIGINT AS unique_calls,
 CASE WHEN mode IS NULL OR base < 1 THEN 'unstable baseline' WHEN mode = 'call_linked' AND (mh > 240 OR mt > 500) THEN 'warning' ELSE 'checked' END AS sanity FROM lb"""))
@@ -921,13 +924,52 @@ HERE = (
 )
 
 
-@query()
+_ROUTES = ("arrivals", "peak_day", "top_ports", "dwell", "congestion", "compare_weekdays", "busiest_hour", "busiest_weekday", "forecast_date", "forecast_weekday", "compare_ports", "diagnose", "spikes", "jumps", "unsupported", "port_by_day", "port_by_month", "forecast_only", "estimate", "port_by_day", "call")
+_FEB = "DATE '2024-02-10'"
+_LIKE = ["month(date) = 2 AND day(date) = 10", "month(date) = 2 AND abs(day(date) - 10) <= 2 AND isodow(date) = 6", "week(date) = 6 AND isodow(date) = 6", "month(date) = 2 AND isodow(date) = 6", "month(date) = 2", "isodow(date) = 6", "true"]
+_ANALOG = "coalesce(" + ", ".join(f"CASE WHEN count(*) FILTER (WHERE {t}) >= {k} THEN avg(value) FILTER (WHERE {t}) END" for t, k in zip(_LIKE, _M, strict=True)) + ")"
+ANSWERS_SQL = f"""d AS (SELECT port_key AS key, arrival_time::DATE AS date, vessel_type_norm AS type, count(DISTINCT mmsi) AS v FROM port_calls GROUP BY ALL), dd AS (SELECT key, date, sum(v) AS v FROM d GROUP BY ALL),
+st AS (SELECT port_key AS key, arrival_time::DATE AS date, vessel_type_norm AS type, dwell_minutes FROM pc_stays), pq AS (SELECT DISTINCT n_nationkey * 100 AS id, replace(upper(n_name), ' ', '_') AS key FROM nation JOIN d ON replace(upper(n_name), ' ', '_') = d.key),
+daily AS (SELECT port_key, port_label, arrival_time::DATE AS date, vessel_type_norm, count(DISTINCT mmsi) AS arrivals_vessels, count(*) AS arrivals_events FROM port_calls GROUP BY ALL), stays AS (SELECT *, arrival_time::DATE AS date FROM pc_stays),
+{INDEX}, s AS (SELECT port_key, date, avg(congestion_index) AS value FROM idx WHERE congestion_index IS NOT NULL GROUP BY ALL), {ONE}, {HORIZON},
+f AS (SELECT port_key, 0 AS step, h, NULL::DOUBLE AS predicted FROM h0 UNION ALL SELECT port_key, step + 1, h[2:7] || [greatest(0, 0.7 * h[1] + 0.3 * list_avg(h))], greatest(0, 0.7 * h[1] + 0.3 * list_avg(h)) FROM f WHERE step < 28),
+wk AS (SELECT key, dayname(date) AS w, sum(v) AS v, count(*) AS n FROM dd GROUP BY ALL), hr AS (SELECT port_key AS key, hour(h) AS hour, sum(v) AS v FROM (SELECT port_key, date_trunc('hour', timestamp) AS h, vessel_type_norm, count(DISTINCT mmsi) AS v FROM positions GROUP BY ALL) GROUP BY ALL),
+ty AS (SELECT key, type, sum(v) AS v FROM d GROUP BY ALL), lead AS (SELECT key, arg_min(type, (-v, type)) AS type, max(v) AS v, count(*) AS n FROM ty GROUP BY key),
+sp AS (SELECT key, date, v, CASE WHEN count(*) OVER w >= 3 THEN avg(v) OVER w + 2 * coalesce(stddev_samp(v) OVER w, 0) END AS threshold FROM dd WINDOW w AS (PARTITION BY key ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+ju AS (SELECT timestamp, (epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w)) / 6e7 AS m, 111.0 * sqrt(pow(latitude - lag(latitude) OVER w, 2) + pow(longitude - lag(longitude) OVER w, 2)) AS km FROM positions WINDOW w AS (PARTITION BY mmsi ORDER BY timestamp, position_id)),
+jn AS (SELECT count(*) AS n, max(km) AS km FROM ju WHERE timestamp::DATE = DATE '2024-01-10' AND m > 0 AND m <= 30 AND (km >= 20 OR (km >= 5 AND km / 1.852 / (m / 60) >= 40))),
+tp AS (SELECT arg_min(key, (-v, key)) AS key, max(v) AS v, count(*) AS n FROM (SELECT key, sum(v) AS v FROM dd WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY key)),
+sc AS (SELECT pq.id + k AS scope_id, key AS port_key, CASE k WHEN 16 THEN DATE '2024-01-01' WHEN 20 THEN DATE '2021-03-01' END AS date_from, CASE k WHEN 16 THEN DATE '2024-01-31' WHEN 20 THEN DATE '2021-03-31' END AS date_to, CASE k WHEN 16 THEN 'WTW' ELSE 'TTW' END AS boundary FROM pq, (VALUES (16), (17), (20)) r(k)),
+{EMISSIONS_OF_SCOPES},
+x AS (SELECT id + 1 AS q, sum(v)::DOUBLE AS value, NULL::DOUBLE AS second, NULL::VARCHAR AS label, count(*) AS n, 'OK' AS state FROM pq JOIN dd USING (key) WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY id
+UNION ALL SELECT id + 2, max(v), NULL, arg_max(date, (v, -date_diff('day', DATE '2000-01-01', date)))::VARCHAR, count(*), 'OK' FROM (SELECT *, max(date) OVER (PARTITION BY key) AS l FROM pq JOIN dd USING (key)) WHERE date >= l - 21 GROUP BY id
+UNION ALL SELECT id + 3, v, NULL, tp.key, n, 'OK' FROM pq, tp WHERE n > 0
+UNION ALL SELECT id + 4, avg(dwell_minutes), median(dwell_minutes), NULL, count(*), 'OK' FROM pq JOIN st USING (key) WHERE type LIKE '%tanker%' AND date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY id
+UNION ALL SELECT id + 5, avg(value), max(value), arg_max(date, (value, -date_diff('day', DATE '2000-01-01', date)))::VARCHAR, count(*), 'OK' FROM pq JOIN s ON key = port_key WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY id
+UNION ALL SELECT id + 6, a.v, b.v, CASE WHEN a.v > b.v THEN 'Friday' ELSE 'Monday' END, (SELECT sum(n) FROM wk c WHERE c.key = pq.key)::BIGINT, 'OK' FROM pq JOIN wk a ON a.key = pq.key AND a.w = 'Friday' JOIN wk b ON b.key = pq.key AND b.w = 'Monday'
+UNION ALL SELECT id + 7, max(v), NULL, arg_min(hour, (-v, hour))::VARCHAR, count(*), 'OK' FROM pq JOIN hr USING (key) GROUP BY id
+UNION ALL SELECT id + 8, max(v), NULL, arg_min(w, (-v, w)), sum(n)::BIGINT, 'OK' FROM pq JOIN wk USING (key) GROUP BY id
+UNION ALL SELECT id + 9, coalesce(seen, p, a), NULL, CASE WHEN seen IS NOT NULL THEN 'observed' WHEN p IS NOT NULL THEN 'model' ELSE 'analog' END, NULL, 'OK' FROM pq JOIN (SELECT port_key, max(value) FILTER (WHERE date = {_FEB}) AS seen, {_ANALOG} AS a FROM s GROUP BY port_key) e ON e.port_key = key
+  LEFT JOIN (SELECT port_key, predicted AS p FROM f JOIN b USING (port_key) WHERE step > 0 AND last + step = {_FEB}) g ON g.port_key = key
+UNION ALL SELECT id + 10, avg(predicted), NULL, CASE WHEN avg(predicted) < 0.8 THEN 'below normal' WHEN avg(predicted) < 1.2 THEN 'normal' WHEN avg(predicted) < 1.6 THEN 'elevated' ELSE 'high' END, count(*), 'OK' FROM pq JOIN f ON f.port_key = key JOIN b ON b.port_key = key WHERE step BETWEEN 1 AND 21 AND isodow(last + step) = 1 GROUP BY id
+UNION ALL SELECT id + 11, sum(v), NULL, key, 1, 'OK' FROM pq JOIN dd USING (key) GROUP BY id, key
+UNION ALL SELECT id + 12, v, (SELECT median(dwell_minutes) FROM st WHERE st.key = lead.key AND st.type = lead.type), type, n, 'OK' FROM pq JOIN lead USING (key)
+UNION ALL SELECT id + 13, NULL, NULL, NULL, count(*) FILTER (WHERE round(v - threshold, 9) > 0), 'OK' FROM pq JOIN sp USING (key) GROUP BY id
+UNION ALL SELECT id + 14, km, NULL, NULL, n, 'OK' FROM pq, jn
+UNION ALL SELECT scope_id, total, NULL, mode, CASE WHEN mode IS NULL THEN 0 ELSE coalesce(n, 0) END, CASE WHEN mode IS NULL THEN 'NOT_COMPUTABLE' WHEN abs(total) < 1e-12 THEN 'COMPUTED_ZERO' ELSE 'COMPUTED' END FROM lb
+UNION ALL SELECT id + 19, (mcr_kw * 0.2 * sfc_main + aux_kw * sfc_aux) * 2 / 1e6 * co2_factor, NULL, vessel_class, NULL, 'COMPUTED' FROM pq, factors WHERE vessel_class = 'tanker' AND mode = 'manoeuvring'
+UNION ALL SELECT id + 21, NULL, NULL, 'no match', NULL, 'NOT_COMPUTABLE' FROM pq)"""
+
+
+@query("WITH RECURSIVE " + ", ".join((*ROWS, PC_STAYS, PROXY, SEGS, DAILY_PORT, ANSWERS_SQL)) + f""" SELECT (id + k)::BIGINT AS question_id, {list(_ROUTES)}[k] AS route, key AS port, coalesce(x.state, CASE WHEN k = 15 THEN 'UNSUPPORTED' WHEN k = 18 THEN 'FORECAST_ONLY' WHEN k IN (13, 14) THEN 'OK' ELSE 'NO_DATA' END) AS state,
+round(value, 6) AS value, round(second, 6) AS second, label, x.n::BIGINT AS n FROM pq CROSS JOIN range(1, {len(_ROUTES)} + 1) r(k) LEFT JOIN x ON x.q = id + k""")
 def answered_questions(spark, sf):
-    """Every question of `HERE` for every nation as the port that the user chose."""
-    n = B.table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("user_port"), F.posexplode(F.array(*map(F.lit, HERE))).alias("k", "question"))
+    """Every question of `HERE` for every port with calls, which the user chose by its label."""
+    calls, positions = B.port_calls(spark, sf), B.positions(spark, sf)
+    ports = calls.select(F.col("port_label").alias("n_name")).distinct()
+    n = B.table(spark, sf, "nation").join(ports, "n_name", "left_semi").select("n_nationkey", F.col("n_name").alias("user_port"), F.posexplode(F.array(*map(F.lit, HERE))).alias("k", "question"))
     none = F.lit(None).cast("date")
     asked_ = n.select((F.col("n_nationkey") * 100 + F.col("k") + 1).cast("long").alias("question_id"), "question", "user_port", none.alias("user_from"), none.alias("user_to"))
-    calls, positions = B.port_calls(spark, sf), B.positions(spark, sf)
     by_day, stays = kpi.call_arrivals(calls), kpi.dwell(calls)
     return dispatch.answered(spark, asked_, F.lit("2024-01-31").cast("date"), daily=by_day, stays=stays, index=kpi.congestion(by_day, kpi.proxy_arrivals(positions), stays), positions=positions, segs=segs(spark, sf))
 
