@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,15 @@ from seawake.llm.words import LOWER, cut
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 CAPACITY, END = 4096, 1
 #: Steps of the search, fillings tried for one sequence, bytes of text encoded at once, words and chunks a worker keeps.
-EFFORT, WIDTH, AT_ONCE, CACHE = 20_000, 8, 4 << 20, 400_000
+EFFORT, WIDTH, AT_ONCE, CACHE = 20_000, 8, 4 << 20, 500_000
 #: Marks that the vocabulary takes out of a text before all else.
 MARK = "<|"
 
 # ---- tokens
 
 _LUT = np.frombuffer(LOWER, np.uint8)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Kinds of bytes: white space, letters, digits, other ASCII, apostrophe or beyond ASCII.
+_KIND = np.array([0 if b in b"\t\n\x0b\x0c\r " else 1 if chr(b).isalpha() and b < 128 else 2 if 48 <= b <= 57 else 4 if b == 39 or b > 127 else 3 for b in range(256)], np.uint8)
 _PLAIN = re.compile("[!-~]+")
 #: Letters that composition leaves alone and that have one small letter each.
 _LATIN = re.compile("[!-~À-įı-ſ]+")
@@ -50,8 +51,9 @@ _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\\sa-
 
 
 class Encoder:
-    """Ids of texts. A text is taken apart at ASCII white space, across which nothing depends on its neighbour, and each
-    different chunk is encoded once; chunks of simple letters go word by word, others through the whole tokenizer."""
+    """Ids of texts. A text is taken apart at ASCII white space, across which nothing depends on its neighbour, and a chunk of
+    ASCII without apostrophes into runs of letters, single digits and runs of other characters, as the vocabulary does. Each
+    different piece is encoded once; what holds apostrophes or other letters goes word by word or through the whole tokenizer."""
 
     def __init__(self, path: str = VOCABULARY) -> None:
         self.whole = Tokenizer.from_file(path)
@@ -63,10 +65,13 @@ class Encoder:
     def full(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, spelt: str) -> bytes:
+        found = [t.id for t in self.whole.model.tokenize(spelt)]
+        return pack_ids(f"<{len(found)}I", *found)
+
     def _word(self, word: str) -> bytes:
         if (x := self.words.get(word)) is None:
-            spelt = word if word.isascii() else word.translate(self.spelt)
-            x = np.array([t.id for t in self.whole.model.tokenize(spelt)], "<u4").tobytes()
+            x = self._ids(word if word.isascii() else word.translate(self.spelt))
             if len(self.words) >= CACHE:
                 self.words.clear()
             self.words[word] = x
@@ -76,7 +81,9 @@ class Encoder:
         """The ids of a chunk whose A-Z are lower-case."""
         if (x := self.chunks.get(chunk)) is None:
             s = chunk.decode()
-            if _PLAIN.fullmatch(s):
+            if chunk.isalpha():
+                x = self._ids(s)
+            elif _PLAIN.fullmatch(s):
                 x = b"".join(map(self._word, _WORDS.findall(s)))
             elif _LATIN.fullmatch(s):
                 x = b"".join(map(self._word, _WORDS.findall(s.lower())))
@@ -94,11 +101,16 @@ class Encoder:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = _LUT[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
         offsets = offsets - offsets[0]
-        space = _SPACE[data]
+        kind = _KIND[data]
+        space = kind == 0
         begin = ~space  # a chunk begins after white space and at the start of a text
         begin[1:] &= space[:-1]
         firsts = offsets[:-1][np.diff(offsets) > 0]
         begin[firsts] = ~space[firsts]
+        if len(chunk_at := np.flatnonzero(begin)):  # plain chunks are taken apart
+            plain = np.repeat(np.maximum.reduceat(kind, chunk_at) < 4, np.diff(np.append(chunk_at, len(data))))
+            plain = np.concatenate((np.zeros(chunk_at[0], bool), plain)) & ~space
+            begin[1:] |= plain[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
         at = np.flatnonzero(begin)
         solid = np.concatenate(([0], np.cumsum(~space)))
         ends = np.append(solid[at], solid[-1])
