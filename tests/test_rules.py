@@ -195,3 +195,30 @@ def test_modes_at_the_berth(spark):
     rows = rows.withColumns({"speed_estimated_kn": F.lit(None).cast("double"), "inside_call": F.lit(True), "arrival_time": F.lit(t(0)), "departure_time": F.lit(t(20))})
     assert [r["mode"] for r in carbon.modes(rows).orderBy("k").collect()] == ["berth", "anchorage", "anchorage", "transit", "manoeuvring"]
     assert [r["mode"] for r in carbon.modes(rows.withColumn("berth_timestamp", F.lit(t(12)))).orderBy("k").collect()] == ["berth", "anchorage", "berth", "berth", "manoeuvring"]
+
+
+def test_draws_are_normal_and_bounds_near_the_closed_form():
+    import numpy as np
+
+    from seawake.functions import emission
+
+    rng = np.random.default_rng(1)
+    seed, other = (rng.integers(0, 1 << 32, 400) for _ in range(2))
+    z = emission.normals(seed, other, 500)
+    assert abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01 and abs(np.corrcoef(z[:, :-1].ravel(), z[:, 1:].ravel())[0, 1]) < 0.01 and (emission.normals(seed, other, 500) == z).all()
+    total, sigma = np.array([10.0, 0.0, -1.0, 5.0]), np.array([0.2, 0.2, 0.2, 0.9])
+    low, high = emission.sampled_bounds(total, sigma, seed[:4], other[:4])
+    assert abs(low[0] - 10 * (1 - 1.96 * 0.2)) < 0.8 and abs(high[0] - 10 * (1 + 1.96 * 0.2)) < 0.8 and low[1] == high[1] == low[2] == high[2] == 0 and low[3] == 0 and high[3] > 10
+
+
+def test_questions_are_routed(spark):
+    from seawake.plans import dispatch
+
+    asked = {
+        "How long did MMSI 123456789 stay in port?": "port_stays", "Which are the top ports?": "top_ports", "Average dwell of tankers": "dwell", "Is Friday busier versus Monday?": "compare_weekdays", "Busiest hour?": "busiest_hour",
+        "Busiest weekday?": "busiest_weekday", "Predict congestion on 2024-02-10": "forecast_date", "Predict congestion": "forecast_weekday", "Compare ports": "compare_ports", "Why so slow?": "diagnose", "Unusual spike": "spikes",
+        "Impossible teleport": "jumps", "TEU throughput": "unsupported", "CO2 next year": "forecast_only", "monthly co2": "port_by_month", "co2 in 2024-01": "port_by_day", "co2 for mmsi 123456789 call_id_9": "call", "estimate co2 of 2 hours": "estimate", "hello": "arrivals",
+    }
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "question_id long, question string")
+    got = {r.question: r.route for r in dispatch.routed(questions.understood(df, F.lit("2024-01-31").cast("date"))).select("question", "route").collect()}
+    assert got == asked and {*asked.values()} <= {*dispatch.ROUTES}
