@@ -8,12 +8,12 @@ cells differ; a set has a signature for every group and every choice of the othe
 signature for certain, whatever the data. (A set with too many empty choices for that tries further partitions of
 the domain, and at last says so by one signature that such sets of a band share.)
 
-Equal sets are joined by their hash, and only one document of each set is signed. A signature's smallest and largest
-document are combined before the shuffle; where there are just the two they are a pair, and only signatures of three and
-more are looked up once more. No bucket is expanded into all its pairs: each set is first verified against the member
-of its buckets that has most buckets in common with others; only sets of a bucket that are then still in different
-components are paired, after a test on sizes and on parity sketches that no similar pair can fail, and buckets of equal
-members count once. Verification intersects the whole shingle sets, which are written once for all candidates.
+Equal sets are joined by their hash, and only one document of each set is signed. Signatures are made and shuffled once;
+sorted by signature they stream past, and only those of two and more documents are kept: two are a pair, three and more a
+bucket. No bucket is expanded into all its pairs: each set is first verified against the member of its buckets that has
+most buckets in common with others, and in buckets that are too large for a passage, for a few turns that find links, against
+a member that changes with the turn. Only sets of a bucket that are then still in different components are paired, after a test on sizes and on parity sketches that no similar pair can fail, and buckets of equal members count
+once. Verification intersects the whole shingle sets, which are written once for all candidates.
 
 The links inside a component are counted block against block, as products of incidence matrices, so that a component of
 any size is spread over many tasks and no pair of it is ever written.
@@ -47,6 +47,10 @@ PARTITIONS = 6
 SHIPPED = 1_000_000
 #: A block of a component has about so many sets, or so many shingles if they are large.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18
+#: Most pairs fail by so many words of their sketches, before the others are read.
+QUICK = 16
+#: A bucket of more than so many times the documents that make a shingle common holds near copies, and is joined in so many turns at most.
+LARGE, TURNS = 2, 3
 
 
 class Bands:
@@ -76,18 +80,18 @@ class Bands:
         return [t for t in ([band, below] if lower else [band]) if self.difference(t) > 0]
 
 
-def _choices(s: np.ndarray, tag: int, k: int, cells: int, spoiled: int, salt: int) -> tuple[list[np.ndarray], bool]:
+def _choices(s: np.ndarray, mixed: np.ndarray | None, tag: int, k: int, cells: int, spoiled: int, salt: int) -> tuple[list[np.ndarray], bool]:
     """Signatures of a set of hashes for one band, and whether the set is lame: with so many empty choices that a
-    similar set need not share one that is not empty."""
+    similar set need not share one that is not empty. `mixed`, if given, is what `_mixed` makes of the set."""
     if salt > 1:
-        s = np.sort(mix(s ^ U64(salt)))
+        s, mixed = np.sort(mix(s ^ U64(salt))), None
     good = k // (spoiled + 1)  # so many groups can have more than `spoiled` cells that differ
     groups = good + 2 + k // 16
     cell = ((s >> U64(32)) * U64(groups * cells)) >> U64(32)
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1])))
     total, some = np.zeros(groups * cells, U64), np.zeros(groups * cells, bool)
     if len(s):
-        total[cell[first]] = mix(np.add.reduceat(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), first))
+        total[cell[first]] = mix(np.add.reduceat(_mixed(s) if mixed is None else mixed, first))
     some[cell[first]] = True
     total, some = total.reshape(groups, cells), some.reshape(groups, cells)
     lame = np.zeros(groups, bool)
@@ -103,6 +107,10 @@ def _choices(s: np.ndarray, tag: int, k: int, cells: int, spoiled: int, salt: in
     return out, bool(lame.sum() >= groups - good)
 
 
+def _mixed(s: np.ndarray) -> np.ndarray:
+    return mix(s ^ U64(0xA5A5A5A5A5A5A5A5))
+
+
 def signatures(s: np.ndarray, bands: Bands, cells: int, spoiled: int, hot: np.ndarray) -> np.ndarray:
     """The PartEnum signatures of a sorted set of hashes.
 
@@ -113,10 +121,11 @@ def signatures(s: np.ndarray, bands: Bands, cells: int, spoiled: int, hot: np.nd
     """
     out: list[np.ndarray] = []
     rare = s[hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s] if len(hot) else s
+    mixed = _mixed(rare)  # the same for every band
     for tag in bands.tags(len(s)):
         k = bands.difference(tag)
         for salt in range(1 + PARTITIONS):
-            found, lame = _choices(s if salt else rare, tag, k, cells, spoiled, salt)
+            found, lame = _choices(s if salt else rare, None if salt else mixed, tag, k, cells, spoiled, salt)
             out += found
             if not lame:
                 break
@@ -178,8 +187,8 @@ def _in(some: np.ndarray, x: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(len(x), bool)
 
 
-def _postings(docs: DataFrame, hot: np.ndarray, shingle: int, percent: int, cells: int, spoiled: int, without: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
-    """(sig, doc_id) for every signature, or for those in `only`, of every row whose set is not in `without`."""
+def _postings(docs: DataFrame, hot: np.ndarray, shingle: int, percent: int, cells: int, spoiled: int, without: np.ndarray) -> DataFrame:
+    """(sig, doc_id) for every signature of every row whose set is not in `without`."""
     bands = Bands(percent)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,20 +200,49 @@ def _postings(docs: DataFrame, hot: np.ndarray, shingle: int, percent: int, cell
                 signed = once[~_in(without, names)]
                 sigs = [signatures(sets[i], bands, cells, spoiled, hot) for i in signed]
                 flat, ids = np.concatenate([*sigs, np.empty(0, U64)]), np.repeat(ids[signed], [len(s) for s in sigs])
-                if only is not None:
-                    some = _in(only, flat)
-                    flat, ids = flat[some], ids[some]
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids, pa.int64())], ["sig", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(task, "sig long, doc_id long")
 
 
+def _shared(postings: DataFrame, least: int) -> DataFrame:
+    """What signatures of several documents say, with the number of times (`met`) it is said: (null, a, b) for a pair of
+    documents, (sig, a, null) for a member of a signature of at least `least` rows."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, wide = np.empty((0, 2), np.int64), None  # rows of the last signature while they are few, or its name
+        for batch in batches:
+            rows = np.concatenate((held, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])))
+            if not len(rows):
+                continue
+            start = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+            n = np.diff(np.append(start, len(rows)))
+            many = n >= least
+            many[0] |= wide is not None and rows[0, 0] == wide
+            held, wide = (rows[:0], rows[-1, 0]) if many[-1] else (rows[start[-1] :], None)
+            yield out(rows[np.repeat(many, n)], rows, start[:-1][(n[:-1] == 2) & ~many[:-1]])
+        if len(held) == 2:
+            yield out(held[:0], held, np.zeros(1, np.int64))
+
+    def out(members: np.ndarray, rows: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        x, y = rows[at, 1], rows[at + 1, 1]
+        x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+        none = [pa.nulls(k, pa.int64()) for k in (len(x), len(members))]
+        columns = [(none[0], pa.array(members[:, 0])), (pa.array(x), pa.array(members[:, 1])), (pa.array(y), none[1])]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["sig", "a", "b"])
+
+    by_sig = postings.repartition("sig").sortWithinPartitions("sig")
+    return by_sig.mapInArrow(task, "sig long, a long, b long").groupBy("sig", "a", "b").agg(F.count("*").alias("met"))
+
+
 def _possible(percent: int) -> Column:
     """False only for pairs (na, odda), (nb, oddb) that cannot be similar, by size or by parity."""
     half = lambda v: F.zip_with(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
     x, y = (F.when(F.size(f"odd{i}") > F.size(f"odd{j}"), half(F.col(f"odd{i}"))).otherwise(F.col(f"odd{i}")) for i, j in ("ab", "ba"))
     differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
-    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    some = sum((F.bit_count(F.get("odda", i).bitwiseXOR(F.get("oddb", i))) for i in range(1, QUICK)), F.bit_count(F.get("odda", 0).bitwiseXOR(F.get("oddb", 0))))
+    quick = (F.size("odda") != F.size("oddb")) | (some * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))  # a part of the parities
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & quick & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -253,7 +291,7 @@ def _count_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"set": rows.set[gain > 0], "n": size[gain > 0], "gain": gain[gain > 0]})
 
 
-def _edges(docs: DataFrame, profiles: DataFrame, hot: np.ndarray, reps: DataFrame, shingle: int, percent: int, cells: int, spoiled: int) -> tuple[DataFrame, DataFrame]:
+def _edges(docs: DataFrame, profiles: DataFrame, hot: np.ndarray, reps: DataFrame, shingle: int, percent: int, cells: int, spoiled: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b) of first documents of different sets, whose components are those of all links; and the sets
     of all candidates."""
     copies = profiles.select("doc_id", "set", "n").join(reps.select("set", "n", "rep"), ["set", "n"]).filter("doc_id <> rep").select("doc_id", "set").distinct()
@@ -262,40 +300,52 @@ def _edges(docs: DataFrame, profiles: DataFrame, hot: np.ndarray, reps: DataFram
     if few:
         got = copies.toArrow()
         without = np.sort(_row_hash(*(got.column(i).to_numpy() for i in range(2))))
-    signed = (docs, hot, shingle, percent, cells, spoiled, without)
-    shared = cut(_postings(*signed).groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).filter("lo < hi"))
-    pair = F.lit(few) & (F.col("c") == 2)
-    wide = cut(shared.filter(~pair).select("sig"))
-    members = _postings(*signed, _hashes(wide, "sig")) if wide.count() <= SHIPPED else _postings(*signed).join(wide, "sig", "left_semi")
+    shared = cut(_shared(_postings(docs, hot, shingle, percent, cells, spoiled, without), 3 if few else 2))
+    members = shared.filter("sig IS NOT NULL").select("sig", F.col("a").alias("doc_id"))
     of = reps.select("rep", "n", "odd")
     if not few:  # copies are signed too, and stand for their sets
         first = copies.join(profiles.select("doc_id", "set", "n"), ["doc_id", "set"]).join(reps.select("set", "n", "rep"), ["set", "n"]).select("doc_id", "rep")
-        members = members.join(first, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("doc_id"))
-    members = cut(members.select("sig", F.col("doc_id").alias("rep")).distinct())
+        members = cut(members.join(first, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("doc_id")).distinct())
+    members = members.withColumnRenamed("doc_id", "rep")
     often = members.groupBy("rep").agg(F.count("*").alias("often"))
     centre = members.join(often, "rep").groupBy("sig").agg(F.max_by("rep", F.struct("often", F.bitwise_not("rep"))).alias("centre"))
 
     a, b = (of.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd{x}")) for x in "ab")
-    met = shared.filter(pair).select(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("hi").alias("of"))
-    met = met.unionByName(members.join(centre, "sig").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), F.col("rep").alias("of")))
-    star = cut(met.groupBy("a", "b", "of").agg(F.count("*").alias("met")).join(b, "b").join(a, "a").filter(_possible(percent)).select("a", "b", "of", "met"))
+    met = shared.filter("sig IS NULL").select("a", "b", F.col("b").alias("of"), "met")
+    met = met.unionByName(members.join(centre, "sig").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), F.col("rep").alias("of"), F.lit(1).cast("long").alias("met")))
+    star = cut(met.groupBy("a", "b", "of").agg(F.sum("met").alias("met")).join(b, "b").join(a, "a").filter(_possible(percent)).select("a", "b", "of", "met"))
     best = cut(star.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("met", F.bitwise_not("a"), F.bitwise_not("b"))).alias("p")).select("p.a", "p.b").distinct())
     ids = star.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select(F.col("rep").alias("doc_id"))).distinct()
     sets = cut(_sets(docs, cut(ids), shingle))
-    first = cut(_verified(sets, best, percent))
+    found = cut(_verified(sets, best, percent))
 
-    joined = cut(components(first).withColumnRenamed("component", "c"))
+    joined = cut(components(found).withColumnRenamed("component", "c"))
     a_, b_ = (joined.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    rest = star.select("a", "b").distinct().join(best, ["a", "b"], "left_anti").join(a_, "a", "left").join(b_, "b", "left").filter(apart).select("a", "b")
-    named = cut(members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("c", "rep").alias("c")))
-    open_ = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("rep").bitwiseAND((1 << 40) - 1)).alias("who"), F.bit_xor(F.xxhash64("rep")).alias("mix"))
-    open_ = open_.filter("lo < hi").groupBy("m", "who", "mix").agg(F.min("sig").alias("sig")).select("sig")
-    rows = cut(named.join(open_, "sig")).join(of, "rep")
+    rest = cut(star.select("a", "b").distinct().join(best, ["a", "b"], "left_anti").join(a_, "a", "left").join(b_, "b", "left").filter(apart).select("a", "b"))
+    done, turn, grown = best, 0, True
+    while True:
+        named = cut(members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("c", "rep").alias("c")))
+        open_ = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("rep").bitwiseAND((1 << 40) - 1)).alias("who"), F.bit_xor(F.xxhash64("rep")).alias("mix"))
+        open_ = cut(open_.filter("lo < hi").groupBy("m", "who", "mix").agg(F.min("sig").alias("sig")).select("sig", "m"))
+        large = open_.filter(F.col("m") > LARGE * least)
+        if not grown or turn == TURNS or large.isEmpty():
+            break
+        rows = named.join(large.select("sig"), "sig")
+        centre = rows.groupBy("sig").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(turn))).alias("o"))
+        across = rows.join(centre, "sig").filter("c <> o.c").select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+        across = across.join(b, "b").join(a, "a").filter(_possible(percent)).select("a", "b")
+        tried = cut((across if turn else across.unionByName(rest).distinct()).join(done, ["a", "b"], "left_anti"))
+        more = cut(_verified(sets, tried, percent))
+        grown, turn, done = not more.isEmpty(), turn + 1, done.unionByName(tried)
+        if grown:
+            found = cut(found.unionByName(more))
+            joined = cut(components(found).withColumnRenamed("component", "c"))
+    rows = cut(named.join(open_.select("sig"), "sig")).join(of, "rep")
     x, y = (rows.select("sig", F.col("rep").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"odd{s}")) for s in "ab")
     within = x.join(y, (x.sig == y.sig) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b").distinct()
-    rest = cut(rest.unionByName(within.join(best, ["a", "b"], "left_anti")).distinct())
-    return first.unionByName(cut(_verified(sets, rest, percent))), sets
+    rest = cut((within if turn else within.unionByName(rest).distinct()).join(done, ["a", "b"], "left_anti"))
+    return found.unionByName(cut(_verified(sets, rest, percent))), sets
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int, cells: int = 2, spoiled: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -308,7 +358,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, cells: int = 2, spoile
     hot = _hashes(both.filter("odd IS NULL").groupBy("set").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "set")
     named = profiles.groupBy("set", "n", "doc_id").agg(F.any_value("odd").alias("odd"))  # repeated rows are one
     reps = cut(named.groupBy("set", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("odd").alias("odd")))
-    pairs, sets = _edges(docs, profiles, hot, reps, shingle, percent, cells, spoiled)
+    pairs, sets = _edges(docs, profiles, hot, reps, shingle, percent, cells, spoiled, least)
 
     several = profiles.groupBy("doc_id").agg(F.min(F.struct("set", "n")).alias("lo"), F.max(F.struct("set", "n")).alias("hi")).filter("lo <> hi").select("doc_id")
     same = profiles.join(several, "doc_id").join(reps.select("set", "n", "rep"), ["set", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")

@@ -440,3 +440,31 @@ def test_null_ids_repeated_and_long_rows(spark):
     clash = d.withColumn("ids", F.lit("mine"))
     out = bpe_dropout.decode(bpe_dropout.encode(clash).withColumn("decoded", F.lit("mine")))
     assert out.columns == [*d.columns, "ids", "decoded"] and all(r.decoded == r.text for r in out.collect())
+
+
+def test_jaccard_join_signs_once_and_joins_large_buckets_in_turns(spark, monkeypatch):
+    calls, postings = [], jaccard_join._postings
+    monkeypatch.setattr(jaccard_join, "_postings", lambda *a: calls.append(1) or postings(*a))
+    monkeypatch.setattr(jaccard_join, "LARGE", 0, raising=False)
+    monkeypatch.setattr(jaccard_join, "TURNS", 1, raising=False)
+    rng = random.Random(36)
+    base, docs = [str(rng.getrandbits(30)) for _ in range(100)], []
+    for _ in range(30):  # some too far from each other, so that their buckets stay open
+        v = list(base)
+        for _ in range(rng.randint(1, 4)):
+            v[rng.randrange(len(v))] = str(rng.getrandbits(30))
+        docs.append(" ".join(v))
+    got = by_id(jaccard_join.near_duplicates(table(spark, docs)))
+    assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == classes(list(enumerate(docs)))
+    assert len(calls) == 1
+
+
+def test_shared_signatures_stream_in_any_batches(spark):
+    rows = [(1, 5), (2, 4), (2, 3), *((3, i) for i in range(9)), (4, 7), (4, 7), (5, 8), (5, 1), (5, 2), (6, 2), (6, 6)]
+    for size in (1, 2, 3, 5, 100):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {(*r,) for r in jaccard_join._shared(spark.createDataFrame(rows, "sig long, doc_id long"), 3).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {(None, 3, 4, 1), (None, 2, 6, 1), *((3, i, None, 1) for i in range(9)), *((5, i, None, 1) for i in (1, 2, 8))}
