@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from seawake.functions import emission, labels, text
 from seawake.operators import vector_index, vectors
 from seawake.plans import answers, carbon, dispatch, forecast, kpi, learning, portday, questions, retrieval, tracks
-from seawake.session import shared_folder
+from seawake.session import kept, shared_folder
 from seawake.sources import bindings as B
 from seawake.sources import feeds, marts
 
@@ -1015,9 +1015,14 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return tracks.clock(tracks.deltas(B.positions(spark, sf)))
 
 
+def _model_rows(rows: DataFrame, *labels: str) -> DataFrame:
+    """What models read of the rows, computed once: fitting passes over them many times."""
+    return kept(rows.select("position_id", "timestamp", *learning.FEATURES, *labels))
+
+
 @query()
 def destination_predictions(spark, sf):
-    rows = _features(spark, sf).withColumnRenamed("port_key", "destination_norm")
+    rows = _model_rows(_features(spark, sf).withColumnRenamed("port_key", "destination_norm"), "destination_norm")
     known = learning.frequent_classes(rows, "destination_norm")
     model = learning.train_destination(learning.time_split(known, ["timestamp", "position_id"]).filter("is_train").drop("position", "is_train"))
     return learning.top_classes(model.transform(rows), list(model.stages[0].labels), 3).select("position_id", F.array_join(F.transform("top", lambda t: t["name"]), ",").alias("top"))
@@ -1025,14 +1030,15 @@ def destination_predictions(spark, sf):
 
 @query()
 def eta_predictions(spark, sf):
-    rows = tracks.clock(tracks.eta_label(tracks.deltas(B.positions(spark, sf)), B.port_calls(spark, sf)))
+    rows = _model_rows(tracks.clock(tracks.eta_label(tracks.deltas(B.positions(spark, sf)), B.port_calls(spark, sf))), "eta_minutes_label")
     return learning.train_eta(rows, rounds=5).transform(rows).select("position_id", "eta_minutes_label", "prediction")
 
 
 @query()
 def destination_metrics(spark, sf):
     """Accuracy over the last fifth of the time of a model of the rest."""
-    rows = learning.time_split(_features(spark, sf).withColumnRenamed("port_key", "destination_norm"), ["timestamp", "position_id"])
+    rows = _model_rows(_features(spark, sf).withColumnRenamed("port_key", "destination_norm"), "destination_norm")
+    rows = learning.time_split(rows, ["timestamp", "position_id"])
     model = learning.train_destination(learning.frequent_classes(rows.filter("is_train"), "destination_norm").drop("position", "is_train"))
     scored = learning.top_classes(model.transform(rows.filter("NOT is_train")), list(model.stages[0].labels), 5)
     return learning.accuracy(scored.withColumn("names", F.transform("top", lambda t: t["name"])), "destination_norm", "names")
@@ -1041,7 +1047,8 @@ def destination_metrics(spark, sf):
 @query()
 def eta_metrics(spark, sf):
     """Errors over the last fifth of the time of a model of the rest."""
-    rows = learning.time_split(tracks.clock(tracks.eta_label(tracks.deltas(B.positions(spark, sf)), B.port_calls(spark, sf))), ["timestamp", "position_id"])
+    rows = _model_rows(tracks.clock(tracks.eta_label(tracks.deltas(B.positions(spark, sf)), B.port_calls(spark, sf))), "eta_minutes_label")
+    rows = learning.time_split(rows, ["timestamp", "position_id"])
     model = learning.train_eta(rows.filter("is_train").drop("position", "is_train"), rounds=5)
     return learning.regression_report(model.transform(rows.filter("NOT is_train AND eta_minutes_label IS NOT NULL")), "eta_minutes_label")
 
