@@ -17,6 +17,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in LOWER)
 
 U64 = np.uint64
+#: A guess of a table's bytes of more bits than this (that of a table of unknown size has 63) is dropped.
+GUESS_BITS = 512
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -103,4 +105,24 @@ def cut(df: DataFrame) -> DataFrame:
     del df
     gc.collect()
     done.sparkSession.sparkContext._jvm.System.gc()
-    return done
+    return _unknown(done)
+
+
+def size_bits(df: DataFrame) -> int:
+    """Bits of Spark's guess of the bytes of `df`."""
+    try:
+        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    except ValueError:  # Python reads no number of so many digits
+        return 1 << 16
+
+
+def _unknown(done: DataFrame) -> DataFrame:
+    """`done`, of unknown size if Spark's guess of it has become an absurd number.
+
+    The guess is the product of the sizes that are joined, and checkpoints keep it: rounds of joins would make it a number of
+    thousands of digits, and the driver's time and memory would go into multiplying such numbers.
+    """
+    if size_bits(done) <= GUESS_BITS:
+        return done
+    spark = done.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)

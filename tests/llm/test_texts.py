@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from seawake.llm import bpe_dropout, decontaminate, jaccard_join, language_id, line_dedup, quality, secret_scan, token_count, vocab
+from seawake.llm import bpe_dropout, components, decontaminate, jaccard_join, language_id, line_dedup, quality, secret_scan, token_count, vocab, words
 from seawake.llm.words import shingles
 
 DOCS = "doc_id long, text string, key string, spans string, lang string, n_chars long"
@@ -468,3 +468,20 @@ def test_shared_signatures_stream_in_any_batches(spark):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert got == {(None, 3, 4, 1), (None, 2, 6, 1), *((3, i, None, 1) for i in range(9)), *((5, i, None, 1) for i in (1, 2, 8))}
+
+
+def test_rounds_of_joins_keep_the_guess_of_sizes_small(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    joined = edges
+    for _ in range(3):
+        found = components.components(joined)
+        joined = words.cut(found.join(found.withColumnsRenamed({"node": "other"}), "component").filter("node < other AND other < node + 3").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    assert words.size_bits(joined) <= 512 and words.size_bits(components.components(joined)) <= 2048
+    assert sorted((r.node, r.component) for r in components.components(joined).collect()) == [(i, 0) for i in range(61)]
+
+
+def test_tables_of_unknown_size_keep_rows_and_types(spark, monkeypatch):
+    df = spark.createDataFrame([(1, None, [1, None], "é"), (None, 2.5, None, None), (1, None, [1, None], "é")], "a long, `the b` double, s array<long>, t string").repartition(3)
+    monkeypatch.setattr(words, "GUESS_BITS", 0)
+    got = words.cut(df)
+    assert got.schema == df.schema and sorted(map(str, got.collect())) == sorted(map(str, df.collect())) and words.size_bits(got) == 63
