@@ -175,7 +175,8 @@ def uncertainty(df: DataFrame) -> DataFrame:
 
 
 def diagnostics(calls: DataFrame, high_t: float = 50.0) -> DataFrame:
-    """How a scope's calls are spread, and whether the total can be trusted."""
+    """How a scope's calls are spread, and whether the total can be trusted. The calls are computed once."""
+    calls = kept(calls.select("call_id", "wtw_co2e_t"))
     out = calls.agg(F.countDistinct("call_id").alias("unique_calls"), F.count("*").alias("rows"), F.sum("wtw_co2e_t").alias("total_t"), F.max("wtw_co2e_t").alias("max_t"))
     out = out.crossJoin(quantiles.quantile(calls, F.col("wtw_co2e_t"), [0.5]).select(F.get("quantiles", 0).alias("median_t")))  # one row with one row
     return out.withColumn("duplicate_rows", F.col("rows") - F.col("unique_calls")).withColumn("sanity", F.when(F.col("unique_calls") == 0, "no calls").when(F.col("duplicate_rows") > 0, "duplicates").when(F.col("max_t") > high_t, "high call").otherwise("ok"))
@@ -216,7 +217,8 @@ def intensities(calls: DataFrame) -> DataFrame:
 
 
 def bands(daily: DataFrame, value: str = "wtw_co2e_t") -> DataFrame:
-    """Every row with its band between the quartiles of all rows."""
+    """Every row with its band between the quartiles of all rows, which are computed once."""
+    daily = kept(daily)
     q = quantiles.quantile(daily, F.col(value), [0.25, 0.5, 0.75], "_q")
     out = daily.crossJoin(q)  # with one row
     return out.withColumn("band", labels.band(F.col(value), F.col("_q")[0], F.col("_q")[1], F.col("_q")[2])).drop("_q")
