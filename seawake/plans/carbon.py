@@ -141,6 +141,13 @@ def sampled_intervals(df: DataFrame, keys: list[str], seed: int = 42, draws: int
     return out.withColumn("confidence_reason", F.format_string("interval %.2f, defaults %.2f, coverage %.2f", "ci_width_rel", "fallback_usage_ratio", coverage))
 
 
+def summed(segs: DataFrame) -> DataFrame:
+    """Of segments what sums over days, calls and ports read, computed once."""
+    bounds = (f"{p}{s}" for p in ("ttw_co2e_t", "wtw_co2e_t") for s in ("_lower", "_upper"))
+    ratios = ("ais_gap_ratio", "interpolation_ratio", "fallback_usage_ratio", "rel_sigma_weighted")
+    return kept(segs.select("call_id", "mmsi", "port_key", "port_label", "destination_norm", "date", "duration_h", "row_count", *ratios, *emission.POLLUTANTS, *bounds))
+
+
 def daily_port(segs: DataFrame) -> DataFrame:
     """Per day and port; segments outside calls count for the port they head for."""
     proxy = segs.withColumn("port_key", F.coalesce("port_key", "destination_norm"))

@@ -809,7 +809,7 @@ la AS (SELECT *, CASE WHEN total > 0 THEN (upper - lower) / total ELSE 0 END AS
 CASE WHEN mode IS NULL THEN NULL WHEN mode = 'daily_proxy' AND c = 'high' THEN 'medium' ELSE c END AS confidence, CASE WHEN mode = 'call_linked' THEN round(ct, 6) END AS calls_total, CASE WHEN coalesce(date_from > date_to, false) THEN 0 ELSE coalesce(n, 0) END::BIGINT AS unique_calls,
 CASE WHEN mode IS NULL OR base < 1 THEN 'unstable baseline' WHEN mode = 'call_linked' AND (mh > 240 OR mt > 500) THEN 'warning' ELSE 'checked' END AS sanity FROM lb"""))
 def port_emission_answers(spark, sf):
-    return answers.port_emissions(segs(spark, sf), scopes(spark, sf))
+    return answers.port_emissions(carbon.summed(segs(spark, sf)), scopes(spark, sf))
 
 
 ASK_SQL = """ak AS (SELECT call_no * 4 + k AS ask_id, mmsi, CASE k WHEN 0 THEN call_id WHEN 1 THEN ' _' || lower(replace(call_id, '-', '')) WHEN 2 THEN call_id || 'X' ELSE replace(call_id, '_', ':') END AS call_id FROM port_calls, range(4) r(k) WHERE call_no % 7 = 0)"""

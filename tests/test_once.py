@@ -11,6 +11,6 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["carbon_diagnostics", "carbon_bands"])
+@pytest.mark.parametrize("name", ["carbon_diagnostics", "carbon_bands", "port_emission_answers"])
 def test_segments_are_computed_once(spark, name):
     assert "Window" not in plan(queries.QUERIES[name](spark, SF))
