@@ -186,7 +186,7 @@ def from_comparison(asked: DataFrame, daily: DataFrame, index: DataFrame, stays:
 def from_emissions(spark: SparkSession, asked: DataFrame, segs: DataFrame, positions: DataFrame) -> list[DataFrame]:
     """Emissions of ports, of calls and of assumed stays. Where nothing can be computed for a port but traffic was reported
     for it, the state is RETRIEVAL_ONLY and n counts the reports."""
-    segs = kept(segs)
+    segs = carbon.summed(segs)
     ports = asked.filter(F.col("route").isin("port_by_day", "port_by_month"))
     scopes = ports.select(F.col("question_id").alias("scope_id"), F.col("key").alias("port_key"), F.col("first_day").alias("date_from"), F.col("last_day").alias("date_to"), "boundary")
     every = segs.withColumns({"port_key": F.lit(ALL), "destination_norm": F.lit(ALL)})
@@ -212,6 +212,7 @@ def from_emissions(spark: SparkSession, asked: DataFrame, segs: DataFrame, posit
 def answered(spark: SparkSession, asked: DataFrame, today: Column, *, daily: DataFrame, stays: DataFrame, index: DataFrame, positions: DataFrame, segs: DataFrame) -> DataFrame:
     """One row per question: question_id, route, port, state, value, second, label, n. States are OK, NO_DATA, UNSUPPORTED,
     FORECAST_ONLY, RETRIEVAL_ONLY, COMPUTED, COMPUTED_ZERO and NOT_COMPUTABLE."""
+    daily, index = kept(daily), kept(index)  # a row for each port and day (and type), read by most parts
     catalog = kept(kpi.port_catalog(daily))
     asked = kept(scoped(asked, catalog, today))
     parts = from_arrivals(asked, daily) + from_stays(asked, daily, stays) + from_positions(asked, positions) + from_index(asked, index) + from_comparison(asked, daily, index, stays, catalog) + from_emissions(spark, asked, segs, positions)

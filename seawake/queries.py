@@ -970,7 +970,7 @@ def answered_questions(spark, sf):
     n = B.table(spark, sf, "nation").join(ports, "n_name", "left_semi").select("n_nationkey", F.col("n_name").alias("user_port"), F.posexplode(F.array(*map(F.lit, HERE))).alias("k", "question"))
     none = F.lit(None).cast("date")
     asked_ = n.select((F.col("n_nationkey") * 100 + F.col("k") + 1).cast("long").alias("question_id"), "question", "user_port", none.alias("user_from"), none.alias("user_to"))
-    by_day, stays = kpi.call_arrivals(calls), kpi.dwell(calls)
+    by_day, stays = kept(kpi.call_arrivals(calls)), kpi.dwell(calls)
     return dispatch.answered(spark, asked_, F.lit("2024-01-31").cast("date"), daily=by_day, stays=stays, index=kpi.congestion(by_day, kpi.proxy_arrivals(positions), stays), positions=positions, segs=segs(spark, sf))
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from seawake import queries
+from seawake.plans import dispatch
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,3 +15,19 @@ def plan(df):
 @pytest.mark.parametrize("name", ["carbon_diagnostics", "carbon_bands", "port_emission_answers"])
 def test_segments_are_computed_once(spark, name):
     assert "Window" not in plan(queries.QUERIES[name](spark, SF))
+
+
+def test_questions_read_arrivals_and_index_computed_once(spark, monkeypatch):
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def stop(asked, daily, index, *rest):
+        seen.extend((daily, index))
+        raise Seen
+
+    monkeypatch.setattr(dispatch, "from_comparison", stop)
+    with pytest.raises(Seen):
+        queries.QUERIES["answered_questions"](spark, SF)
+    assert not any("parquet" in plan(df) for df in seen)
