@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from unicodedata import combining, normalize
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seawake.functions import text
 from seawake.operators import fuzzy
 from seawake.session import kept
 
+#: Pages whose visible texts a worker holds at once.
+PAGES = 64
 # Words that route a question to documents or to traffic.
 DOCUMENT_WORDS = "regulation policy guideline guidance document report procedure definition convention".split()
 TRAFFIC_WORDS = "vessel vessels arrival arrivals port ship ships mmsi dwell congestion traffic position jump".split()
@@ -114,13 +120,19 @@ def visible_text(page: str | None) -> str:
 
 
 def web_chunks(pages: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
-    """Chunks of the visible text of pages."""
-
-    @F.pandas_udf("string")
-    def visible(column: pd.Series) -> pd.Series:
-        return column.map(visible_text)
-
-    return chunked(pages.select("page_id", visible("html").alias("visible")), "visible", "page_id", size, overlap)
+    """Chunks of the visible text of pages. A worker holds a batch of pages as it came and the texts of a few of them."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for part in (batch.slice(i, PAGES) for i in range(0, len(batch), PAGES)):
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([visible_text(page.as_py()) for page in part.column(1)], pa.string())], ["page_id", "visible"])
+        finally:  # workers live on for other tasks
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    kind = T.StructType([pages.schema["page_id"], T.StructField("visible", T.StringType())])
+    return chunked(pages.select("page_id", "html").mapInArrow(task, kind), "visible", "page_id", size, overlap)
 
 
 def plain(name: str) -> str:
