@@ -11,9 +11,10 @@ the domain, and at last says so by one signature that such sets of a band share.
 Equal sets are joined by their hash, and only one document of each set is signed. Signatures are made and shuffled once;
 sorted by signature they stream past, and only those of two and more documents are kept: two are a pair, three and more a
 bucket. No bucket is expanded into all its pairs: each set is first verified against the member of its buckets that has
-most buckets in common with others, and in buckets that are too large for a passage, for a few turns that find links, against
-a member that changes with the turn. Only sets of a bucket that are then still in different components are paired, after a test on sizes and on parity sketches that no similar pair can fail, and buckets of equal members count
-once. Verification intersects the whole shingle sets, which are written once for all candidates.
+most buckets in common with others. If buckets that are too large for a passage hold too many pairs of different components,
+their sets are verified, for a few turns that find links, against a member of the bucket's largest component that changes with
+the turn. Only sets of a bucket that are then still in different components are paired, after a test on sizes and on parity
+sketches that no similar pair can fail, and buckets of equal members count once. Verification intersects the whole shingle sets, which are written once for all candidates.
 
 The links inside a component are counted block against block, as products of incidence matrices, so that a component of
 any size is spread over many tasks and no pair of it is ever written.
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seawake.llm.components import components
-from seawake.llm.words import U64, cut, mix, shingles
+from seawake.llm.words import U64, cut, mix, shingles, tidy
 
 #: A sketch has at least so many bits, and so many for each element; more of them let fewer pairs pass that are not similar.
 SKETCH_BITS, SKETCH_WIDTH = 2048, 4
@@ -51,6 +52,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18
 QUICK = 16
 #: A bucket of more than so many times the documents that make a shingle common holds near copies, and is joined in so many turns at most.
 LARGE, TURNS = 2, 3
+#: Up to so many pairs (a, b) and (b, a) of large buckets are tested by their sketches at once, as that takes less than a turn.
+PAIRS = 1 << 28
 
 
 class Bands:
@@ -174,7 +177,7 @@ def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
                 none = pa.nulls(len(h), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(n, pa.int64()), pa.array(h), pa.nulls(len(h), pa.list_(pa.int64()))], names)
 
-    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(task, PROFILE)
+    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(tidy(task), PROFILE)
 
 
 def _hashes(df: DataFrame, column: str) -> np.ndarray:
@@ -202,7 +205,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, shingle: int, percent: int, cell
                 flat, ids = np.concatenate([*sigs, np.empty(0, U64)]), np.repeat(ids[signed], [len(s) for s in sigs])
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids, pa.int64())], ["sig", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "sig long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(task), "sig long, doc_id long")
 
 
 def _shared(postings: DataFrame, least: int) -> DataFrame:
@@ -232,7 +235,7 @@ def _shared(postings: DataFrame, least: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["sig", "a", "b"])
 
     by_sig = postings.repartition("sig").sortWithinPartitions("sig")
-    return by_sig.mapInArrow(task, "sig long, a long, b long").groupBy("sig", "a", "b").agg(F.count("*").alias("met"))
+    return by_sig.mapInArrow(tidy(task), "sig long, a long, b long").groupBy("sig", "a", "b").agg(F.count("*").alias("met"))
 
 
 def _possible(percent: int) -> Column:
@@ -255,7 +258,7 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 sets = [shingles(t.as_py(), shingle) for t in part.column(1).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_set_hash, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "set", "s"])
 
-    return some.mapInArrow(task, "doc_id long, set long, s array<long>").filter(F.size("s") > 0).dropDuplicates(["doc_id", "set"])
+    return some.mapInArrow(tidy(task), "doc_id long, set long, s array<long>").filter(F.size("s") > 0).dropDuplicates(["doc_id", "set"])
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -291,6 +294,23 @@ def _count_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"set": rows.set[gain > 0], "n": size[gain > 0], "gain": gain[gain > 0]})
 
 
+def _renamed(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, c), the components of edges, after more edges (a, b): only what these connect is followed."""
+    a_, b_ = (joined.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    between = more.join(a_, "a", "left").join(b_, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    to = cut(components(between)).select(F.col("node").alias("c"), F.col("component").alias("least"))
+    new = to.select(F.col("c").alias("node"), "c").join(joined.select("node"), "node", "left_anti")
+    return cut(joined.unionByName(new).join(to, "c", "left").select("node", F.coalesce("least", "c").alias("c")))
+
+
+def _across(named: DataFrame, large: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each large bucket's sets outside its largest component with one set of that component."""
+    rows = named.join(large.select("sig"), "sig")
+    parts = rows.groupBy("sig", "c").agg(F.count("*").alias("k"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("rep"))
+    centre = parts.groupBy("sig").agg(F.max_by(F.struct("rep", "c"), F.struct("k", F.xxhash64("rep", F.lit(turn)))).alias("o"))
+    return rows.join(centre, "sig").filter("c <> o.c").select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+
+
 def _edges(docs: DataFrame, profiles: DataFrame, hot: np.ndarray, reps: DataFrame, shingle: int, percent: int, cells: int, spoiled: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b) of first documents of different sets, whose components are those of all links; and the sets
     of all candidates."""
@@ -326,21 +346,19 @@ def _edges(docs: DataFrame, profiles: DataFrame, hot: np.ndarray, reps: DataFram
     done, turn, grown = best, 0, True
     while True:
         named = cut(members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("c", "rep").alias("c")))
-        open_ = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("rep").bitwiseAND((1 << 40) - 1)).alias("who"), F.bit_xor(F.xxhash64("rep")).alias("mix"))
-        open_ = cut(open_.filter("lo < hi").groupBy("m", "who", "mix").agg(F.min("sig").alias("sig")).select("sig", "m"))
+        parts = named.groupBy("sig", "c").agg(F.count("*").alias("k"), F.sum(F.xxhash64("rep").bitwiseAND((1 << 40) - 1)).alias("who"), F.bit_xor(F.xxhash64("rep")).alias("mix"))
+        open_ = parts.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("within"), F.sum("who").alias("who"), F.bit_xor("mix").alias("mix"))
+        open_ = cut(open_.filter("lo < hi").groupBy("m", "within", "who", "mix").agg(F.min("sig").alias("sig")).select("sig", "m", (F.col("m") * F.col("m") - F.col("within")).alias("apart")))
         large = open_.filter(F.col("m") > LARGE * least)
-        if not grown or turn == TURNS or large.isEmpty():
+        if not grown or turn == TURNS or (large.agg(F.sum("apart")).first()[0] or 0) <= PAIRS:
             break
-        rows = named.join(large.select("sig"), "sig")
-        centre = rows.groupBy("sig").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(turn))).alias("o"))
-        across = rows.join(centre, "sig").filter("c <> o.c").select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
-        across = across.join(b, "b").join(a, "a").filter(_possible(percent)).select("a", "b")
+        across = _across(named, large, turn).join(b, "b").join(a, "a").filter(_possible(percent)).select("a", "b")
         tried = cut((across if turn else across.unionByName(rest).distinct()).join(done, ["a", "b"], "left_anti"))
         more = cut(_verified(sets, tried, percent))
         grown, turn, done = not more.isEmpty(), turn + 1, done.unionByName(tried)
         if grown:
             found = cut(found.unionByName(more))
-            joined = cut(components(found).withColumnRenamed("component", "c"))
+            joined = _renamed(joined, more)
     rows = cut(named.join(open_.select("sig"), "sig")).join(of, "rep")
     x, y = (rows.select("sig", F.col("rep").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"odd{s}")) for s in "ab")
     within = x.join(y, (x.sig == y.sig) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b").distinct()

@@ -485,3 +485,32 @@ def test_tables_of_unknown_size_keep_rows_and_types(spark, monkeypatch):
     monkeypatch.setattr(words, "GUESS_BITS", 0)
     got = words.cut(df)
     assert got.schema == df.schema and sorted(map(str, got.collect())) == sorted(map(str, df.collect())) and words.size_bits(got) == 63
+
+
+def test_jaccard_join_tests_few_pairs_of_large_buckets_at_once(spark, monkeypatch):
+    """Turns are for more pairs than can be tested at once; they start from a bucket's largest component and end alike."""
+    rng = random.Random(36)
+    base, docs = [str(rng.getrandbits(30)) for _ in range(100)], []
+    for _ in range(30):
+        v = list(base)
+        for _ in range(rng.randint(1, 4)):
+            v[rng.randrange(len(v))] = str(rng.getrandbits(30))
+        docs.append(" ".join(v))
+    turns, across = [], jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "_across", lambda *a: turns.append(1) or across(*a))
+    monkeypatch.setattr(jaccard_join, "LARGE", 0)
+    for pairs in (jaccard_join.PAIRS, -1):
+        monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
+        got = by_id(jaccard_join.near_duplicates(table(spark, docs)))
+        assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == classes(list(enumerate(docs)))
+        assert bool(turns) == (pairs < 0)
+
+
+def test_jaccard_join_pairs_what_is_outside_the_largest_component(spark):
+    named = spark.createDataFrame([(s, r, 0 if r < 90 else r) for s in range(3) for r in range(100)], "sig long, rep long, c long")
+    for turn in range(3):
+        rows = jaccard_join._across(named, spark.createDataFrame([(0,), (2,)], "sig long"), turn).collect()
+        assert {r.b for r in rows} == {*range(90, 100)} and len({r.a for r in rows}) == 1 and rows[0].a < 90
+    joined = spark.createDataFrame([(0, 0), (4, 0), (5, 5), (7, 5), (8, 8), (9, 8)], "node long, c long")
+    more = spark.createDataFrame([(7, 20), (4, 20), (30, 31)], "a long, b long")
+    assert {(*r,) for r in jaccard_join._renamed(joined, more).collect()} == {(0, 0), (4, 0), (5, 0), (7, 0), (20, 0), (8, 8), (9, 8), (30, 30), (31, 30)}
