@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from seawake.llm.vocab import MODEL, SPACE, pieces, read_model
-from seawake.llm.words import mix, tidy
+from seawake.llm.words import KEPT, mix, tidy
 
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 NEVER = float("inf")
@@ -355,15 +355,12 @@ class Encoder:
         return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0].tobytes().decode()
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def _encoder(*args: object) -> Encoder:
     """One encoder for each worker process and setting."""
-    if args not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[args] = Encoder(*args)
-    return _ENCODERS[args]
+    made = KEPT.get("bpe_dropout")
+    if made is None or made[0] != args:
+        made = KEPT["bpe_dropout"] = (args, Encoder(*args))
+    return made[1]
 
 
 def _lists(rows: list[bytes | None]) -> pa.Array:
@@ -386,7 +383,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: i
                 ids = _lists(e.encode_many(part.column(at).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
-    return docs.mapInArrow(tidy(task), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidy(task, "bpe_dropout"), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def _texts(e: Encoder, column: pa.ListArray) -> pa.Array:
@@ -410,7 +407,7 @@ def decode(df: DataFrame, *, model: str = MODEL) -> DataFrame:
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 yield pa.RecordBatch.from_arrays([*part.columns, _texts(e, part.column(at))], [*part.schema.names, "decoded"])
 
-    return df.mapInArrow(tidy(task), T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
+    return df.mapInArrow(tidy(task, "bpe_dropout"), T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: int = 0) -> DataFrame:
@@ -429,4 +426,4 @@ def round_trip(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, see
                 same = pc.equal(_texts(e, ids), texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, ids.value_lengths().fill_null(0).cast(pa.int64()), pc.coalesce(same, texts.is_null())], ["doc_id", "ids", "n_tokens", "lossless"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(task), T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("ids array<int>, n_tokens long, lossless boolean")]))
+    return docs.select("doc_id", "text").mapInArrow(tidy(task, "bpe_dropout"), T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("ids array<int>, n_tokens long, lossless boolean")]))

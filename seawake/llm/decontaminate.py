@@ -23,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seawake.llm.words import ALNUM, cut, row_key
+from seawake.llm.words import ALNUM, cut, parts, row_key, tidy
 
 WORD = regex.compile(rb"[0-9A-Za-z\x80-\xff]+")
 SAMPLE = 8
+#: Rows that `remove_leaks` searches and cuts at once.
+PART = 2000
 SCHEMA = "doc_id long, n_words long, hits array<int>, items array<string>"
 
 
@@ -230,7 +232,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard
                 ids, n, spans, items = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
 
-        return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
+        return docs.select("doc_id", "text").mapInArrow(tidy(task), SCHEMA)
     key = F.xxhash64("text").alias("h")
     texts = docs.select("doc_id", key, "text")
     merged = None
@@ -244,7 +246,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard
                 rows = shard.results()
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.string()))], ["doc_id", "h", "n_words", "hits", "items"])
 
-        part = cut(texts.mapInArrow(keyed, "doc_id long, h long, n_words long, hits array<int>, items array<string>"))  # so that the block can go
+        part = cut(texts.mapInArrow(tidy(keyed), "doc_id long, h long, n_words long, hits array<int>, items array<string>"))  # so that the block can go
         merged = part if merged is None else merged.unionByName(part)
     runs = F.transform(F.sequence(F.lit(0), F.size("hits") - 2, F.lit(2)), lambda i: F.struct(F.get("hits", i).alias("a"), F.get("hits", i + 1).alias("b")))
     merged = merged.withColumn("runs", F.when(F.size("hits") > 0, runs).otherwise(F.array().cast("array<struct<a:int,b:int>>")))
@@ -336,33 +338,33 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, sha
         phrases = next(blocks)
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches, PART):
                 rows, texts = whole(batch, batch.column(at), phrases)
                 yield _cut_batch(batch, texts, [r[2] for r in rows], at, counted)
 
-        return docs.mapInArrow(task, docs.schema)
+        return docs.mapInArrow(tidy(task), docs.schema)
 
     keyed, found = docs.select(row_key().alias("key"), "text"), None
     for phrases in blocks:
 
         def search(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches, PART):
                 runs = [r[2] for r in whole(batch, batch.column(1), phrases)[0]]
                 some = pa.array([i for i, r in enumerate(runs) if r], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([r for r in runs if r], pa.list_(pa.int32()))], ["key", "runs"])
 
-        part = cut(keyed.mapInArrow(search, "key struct<i:bigint,h:bigint>, runs array<int>").distinct())  # so that the block can go
+        part = cut(keyed.mapInArrow(tidy(search), "key struct<i:bigint,h:bigint>, runs array<int>").distinct())  # so that the block can go
         found = part if found is None else found.unionByName(part)
     found = found.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("the runs")).withColumnRenamed("key", "the key")
     joined = docs.withColumn("row key", row_key()).join(found, F.col("row key") == F.col("the key"), "left").select(*columns, "the runs")
 
     def cut_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, PART):
             runs = [_merged(r or []) for r in batch.column(len(columns)).to_pylist()]
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield _cut_batch(pa.RecordBatch.from_arrays(batch.columns[:-1], columns), texts, runs, at, counted)
 
-    return joined.mapInArrow(cut_once, docs.schema)
+    return joined.mapInArrow(tidy(cut_once), docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

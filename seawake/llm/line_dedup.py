@@ -27,7 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seawake.llm.words import U64, cut, mix, row_key
+from seawake.llm.words import U64, cut, mix, parts, row_key, tidy
+
+#: Rows that a task takes apart at once.
+PART = 1000
 
 SEQUENCE = "hashes array<long>, words array<int>, at array<int>, prints array<struct<print:long,pos:int>>"
 
@@ -83,7 +86,7 @@ def sequences(docs: DataFrame, gram: int, window: int, min_words: int) -> DataFr
     """Line hashes and fingerprints of every distinct document."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, PART):
             rows = []
             for text in batch.column(1).to_pylist():
                 hashes, words, at = sequence(text)
@@ -94,7 +97,7 @@ def sequences(docs: DataFrame, gram: int, window: int, min_words: int) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["key", "hashes", "words", "at", "prints"])
 
     rows = docs.select(row_key().alias("key"), "text")
-    return rows.mapInArrow(task, f"key struct<i:bigint,h:bigint>, {SEQUENCE}").dropDuplicates(["key"])
+    return rows.mapInArrow(tidy(task), f"key struct<i:bigint,h:bigint>, {SEQUENCE}").dropDuplicates(["key"])
 
 
 def repeated_runs(docs: DataFrame, *, gram: int = 2, window: int = 2, min_words: int = 50) -> DataFrame:
@@ -109,7 +112,7 @@ def repeated_runs(docs: DataFrame, *, gram: int = 2, window: int = 2, min_words:
     both = pairs.join(seq.select("key", "hashes", "words", "at"), "key").join(other, "source").select("key", "hashes", "theirs", "shift", "anchors", "words", "at", "open")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, PART):
             found = []
             for i, (mine, theirs, shift, anchors, words, at, open_) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
                 mine, words = np.array(mine), np.array(words)
@@ -129,7 +132,7 @@ def repeated_runs(docs: DataFrame, *, gram: int = 2, window: int = 2, min_words:
             index, *rest = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), *rest], ["key", "print", "pos", "first", "last"])
 
-    found = cut(both.mapInArrow(task, "key struct<i:bigint,h:bigint>, print bigint, pos int, first int, last int"))
+    found = cut(both.mapInArrow(tidy(task), "key struct<i:bigint,h:bigint>, print bigint, pos int, first int, last int"))
     runs = found.filter("print IS NULL").select("key", "first", "last")
     shared = found.filter("print IS NOT NULL")
     least = shared.groupBy("print").agg(F.min(place).alias("begin"), F.max(place).alias("end")).filter("begin <> end").drop("end")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -81,19 +82,44 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("i"), F.xxhash64(text).alias("h"))
 
 
-def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`task`, which gives the memory of its batches back at its end; workers live on for other tasks and stages."""
+#: What this worker keeps between tasks, by the operator that made it.
+KEPT: dict[str, object] = {}
+
+
+def forget(but: str | None = None) -> None:
+    """Drops what this worker keeps for other operators than `but`."""
+    for name in KEPT.keys() - {but}:
+        del KEPT[name]
+
+
+def give_back() -> None:
+    """Gives memory that this worker has freed back to the machine, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`task`, which gives the memory of its batches back at its end; workers live on for other tasks and stages. What
+    other operators than `keeps` have kept in the worker goes before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         try:
             yield from task(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, so that a task's copies of texts stay small."""
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, len(batch), rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the session's shared folder.
 

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -514,3 +515,24 @@ def test_jaccard_join_pairs_what_is_outside_the_largest_component(spark):
     joined = spark.createDataFrame([(0, 0), (4, 0), (5, 5), (7, 5), (8, 8), (9, 8)], "node long, c long")
     more = spark.createDataFrame([(7, 20), (4, 20), (30, 31)], "a long, b long")
     assert {(*r,) for r in jaccard_join._renamed(joined, more).collect()} == {(0, 0), (4, 0), (5, 0), (7, 0), (20, 0), (8, 8), (9, 8), (30, 30), (31, 30)}
+
+
+def test_workers_keep_nothing_of_other_operators(spark):
+    docs = table(spark, ["a b c"] * 4, 1)
+
+    def held(keeps):
+        def task(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([len(words.KEPT)] * len(batch))], ["n"])
+
+        return max(r.n for r in docs.select("doc_id").mapInArrow(words.tidy(task, keeps), "n long").collect())
+
+    assert bpe_dropout.encode(docs).count() == 4 and bpe_dropout.encode(docs).agg(F.sum(F.size("ids"))).first()[0] > 0
+    assert held("bpe_dropout") == 1  # one core and partition, so one worker
+    assert held(None) == 0
+
+
+def test_tasks_take_batches_in_parts():
+    batch = pa.RecordBatch.from_pydict({"x": [*range(10)]})
+    got = [*words.parts(iter([batch, batch.slice(0, 0), batch]), 4)]
+    assert [len(b) for b in got] == [4, 4, 2, 4, 4, 2] and pa.Table.from_batches(got)["x"].to_pylist() == [*range(10)] * 2
