@@ -54,6 +54,8 @@ QUICK = 16
 LARGE, TURNS = 2, 3
 #: Up to so many pairs (a, b) and (b, a) of large buckets are tested by their sketches at once, as that takes less than a turn.
 PAIRS = 1 << 28
+#: So many pairs of a block are tested at once, and so many of a set's signatures tell where it has met another set before.
+TESTED, LOW = 1 << 17, 32
 
 
 class Bands:
@@ -311,6 +313,129 @@ def _across(named: DataFrame, large: DataFrame, turn: int) -> DataFrame:
     return rows.join(centre, "sig").filter("c <> o.c").select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
 
 
+def _alike(odd: pa.Array, n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs of rows (x, y) can be similar by their parities, and by how many of these they differ."""
+    length, words = odd.value_lengths().to_numpy(), odd.flatten().to_numpy().view(U64)
+    at, row, of = np.cumsum(length) - length, np.empty(len(length), np.int64), {}
+    for k in np.unique(length):
+        rows = np.flatnonzero(length == k)
+        row[rows] = np.arange(len(rows))
+        of[k] = words.reshape(-1, k) if len(rows) == len(length) else words[at[rows][:, None] + np.arange(k)]
+    able, differ, most = np.zeros(len(x), bool), np.zeros(len(x), np.int64), (n[x] + n[y]) * (100 - percent)
+    for k in of:
+        for o in of:
+            some = np.flatnonzero((length[x] == k) & (length[y] == o)) if len(of) > 1 else np.arange(len(x))
+            if not len(some):
+                continue
+            least = min(k, o)
+            s, t = (np.bitwise_xor.reduce(of[v].reshape(-1, v // least, least), axis=1) for v in (k, o))
+            for columns in (slice(0, QUICK), slice(QUICK, None)):  # most pairs fail by the first
+                differ[some] += np.bitwise_count(s[row[x[some]], columns] ^ t[row[y[some]], columns]).sum(1, dtype=np.int64)
+                some = some[differ[some] * (100 + percent) <= most[some]]
+            able[some] = True
+    return able, differ
+
+
+def _passing(rows: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs of rows of one block in different components that can be similar: the block, both rows, and the share of
+    their elements that surely differ. `rows` are sorted by block."""
+    i, j, part, c, n = (rows.column(v).to_numpy() for v in ("i", "j", "part", "c", "n"))
+    block = _blocks(rows)
+    number = np.arange(len(rows))
+    after = np.searchsorted(block, block, side="right") - number - 1  # rows of the block that follow
+    total, low, out = np.concatenate(([0], np.cumsum(after))), 0, []
+    while low < len(rows):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + TESTED, side="right")) - 1)
+        x = np.repeat(number[low:high], after[low:high])
+        y = x + 1 + np.arange(len(x)) - np.repeat(total[low:high] - total[low], after[low:high])
+        able = (c[x] != c[y]) & ((i[x] == j[x]) | (part[x] != part[y])) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        x, y = x[able], y[able]
+        able, differ = _alike(rows.column("odd"), n, x, y, percent)
+        out.append((block[x[able]], x[able], y[able], differ[able] / (n[x] + n[y])[able]))
+        low = high
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
+def _blocks(rows: pa.RecordBatch) -> np.ndarray:
+    """A number for each run of rows of one block (sig, i, j)."""
+    new = np.zeros(len(rows), bool)
+    for v in ("sig", "i", "j"):
+        key = rows.column(v).to_numpy()
+        new[1:] |= key[1:] != key[:-1]
+    return np.cumsum(new)
+
+
+def _forest(block: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Which pairs of components (a, b) of blocks make up a forest of each block, those that differ least first."""
+    low, high, to, out = np.minimum(a, b), np.maximum(a, b), {}, []
+    order = np.lexsort((share, high, low, block))
+    key = np.column_stack((block, low, high))[order]
+    once = order[np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]).any(1)))]
+
+    def top(v: tuple[int, int]) -> tuple[int, int]:
+        while (up := to.get(v, v)) != v:
+            to[v] = v = to.get(up, up)
+        return v
+
+    for k in once[np.lexsort((share[once], block[once]))].tolist():
+        p, q = top((block[k], a[k])), top((block[k], b[k]))
+        if p != q:
+            to[p] = q
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (sig, a, b) of different components inside buckets that can be similar, from `rows` (sig, m, rep, c, n, odd): of a
+    block of a bucket only a forest, so fewer pairs than sets. With a column `low`, the least signatures of the set, all
+    such pairs: each at the least signature that both have there, so that sets that share many buckets make one row.
+
+    A bucket is tested part against part, so that one of any size is spread over many tasks.
+    """
+    parts = F.ceil(F.col("m") / BLOCK_SETS).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    block = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    whole = "low" in rows.columns
+    dealt = dealt.withColumn("block", F.explode(block)).select("sig", "block.i", "block.j", "part", "rep", "c", "n", "odd", *["low"][: int(whole)])
+
+    def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sig, rep, c = (rows.column(v).to_numpy() for v in ("sig", "rep", "c"))
+        block, x, y, share = _passing(rows, percent)
+        if whole:
+            size = rows.column("low").value_lengths().to_numpy()
+            low = np.full((len(rows), LOW), np.iinfo(np.int64).max)
+            low[np.arange(LOW) < size[:, None]] = rows.column("low").flatten().to_numpy()
+            met = [np.empty(0, bool)]
+            for k in range(0, len(x), 4096):
+                p, q = x[k : k + 4096], y[k : k + 4096]
+                earlier = np.where(low[p] < sig[p][:, None], low[p], -1 << 63)
+                met.append(((earlier[:, :, None] == low[q][:, None, :]) & (earlier[:, :, None] > -1 << 63)).any((1, 2)))
+            some = np.flatnonzero(~np.concatenate(met))
+        else:
+            some = _forest(block, c[x], c[y], share)
+        a, b = rep[x[some]], rep[y[some]]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (sig[x[some]], np.minimum(a, b), np.maximum(a, b))], ["sig", "a", "b"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the last block while more of it may follow
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            start = np.flatnonzero(np.diff(_blocks(held), prepend=-1))
+            done = 0
+            for k in range(1, len(start)):  # some whole blocks at once
+                if start[k] - done >= 2 * BLOCK_SETS or k == len(start) - 1:
+                    yield out(held.slice(done, start[k] - done))
+                    done = start[k]
+            held = held.slice(done)
+        if held is not None:
+            yield out(held)
+
+    by_block = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return by_block.mapInArrow(tidy(task), "sig long, a long, b long")
+
+
 def _edges(docs: DataFrame, profiles: DataFrame, hot: np.ndarray, reps: DataFrame, shingle: int, percent: int, cells: int, spoiled: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b) of first documents of different sets, whose components are those of all links; and the sets
     of all candidates."""
@@ -359,11 +484,20 @@ def _edges(docs: DataFrame, profiles: DataFrame, hot: np.ndarray, reps: DataFram
         if grown:
             found = cut(found.unionByName(more))
             joined = _renamed(joined, more)
-    rows = cut(named.join(open_.select("sig"), "sig")).join(of, "rep")
-    x, y = (rows.select("sig", F.col("rep").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"odd{s}")) for s in "ab")
-    within = x.join(y, (x.sig == y.sig) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b").distinct()
-    rest = cut((within if turn else within.unionByName(rest).distinct()).join(done, ["a", "b"], "left_anti"))
-    return found.unionByName(cut(_verified(sets, rest, percent))), sets
+    forest = cut(_pairs(named.join(open_.select("sig", "m"), "sig").join(of, "rep"), percent))
+    pairs = forest.select("a", "b")
+    tried = cut((pairs if turn else pairs.unionByName(rest)).distinct().join(done, ["a", "b"], "left_anti"))
+    more = cut(_verified(sets, tried, percent))
+    found = found.unionByName(more)
+    joined = joined if more.isEmpty() else _renamed(joined, more)
+    a_, b_ = (joined.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    still = cut(forest.join(a_, "a", "left").join(b_, "b", "left").filter(apart).select("sig").distinct().join(open_.select("sig", "m"), "sig"))
+    if still.isEmpty():  # the forests hold, so nothing else in their buckets is apart
+        return found, sets
+    rows = cut(members.join(still, "sig").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "m", "rep", F.coalesce("c", "rep").alias("c")))
+    low = rows.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LOW).alias("low"))
+    last = cut(_pairs(rows.join(low, "rep").join(of, "rep"), percent).select("a", "b").distinct().join(done.unionByName(tried), ["a", "b"], "left_anti"))
+    return found.unionByName(cut(_verified(sets, last, percent))), sets
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int, cells: int = 2, spoiled: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

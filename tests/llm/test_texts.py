@@ -517,6 +517,48 @@ def test_jaccard_join_pairs_what_is_outside_the_largest_component(spark):
     assert {(*r,) for r in jaccard_join._renamed(joined, more).collect()} == {(0, 0), (4, 0), (5, 0), (7, 0), (20, 0), (8, 8), (9, 8), (30, 30), (31, 30)}
 
 
+@pytest.mark.parametrize(("sets", "tested", "batch"), [(512, 1 << 17, 10000), (16, 50, 7)])
+def test_jaccard_join_makes_no_row_for_each_bucket_that_a_pair_shares(spark, monkeypatch, sets, tested, batch):
+    """Two components of one group share 20 buckets: a forest has at most a pair of them for a block, and all pairs are one row each."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", sets)
+    monkeypatch.setattr(jaccard_join, "TESTED", tested, raising=False)
+    rng = random.Random(46)
+    new = lambda k: [rng.getrandbits(63) for _ in range(k)]
+    base, rows = new(505), []
+    for rep in range(60):  # with sketches of two sizes
+        v = np.array(base[rng.randint(1, 60) :] + new(rng.randint(1, 60)), np.uint64)
+        odd = jaccard_join.sketch(np.sort(v)).tolist()
+        rows += [(sig, 60, rep, rep // 30 if rep < 50 else rep, len(v), odd) for sig in range(20)]
+    rows += [(sig, 2, rep, rep, 400, jaccard_join.sketch(np.array(new(400), np.uint64)).tolist()) for sig in range(20, 40) for rep in (sig * 10, sig * 10 + 1)]
+    assert len({len(r[5]) for r in rows}) == 2
+    rows = spark.createDataFrame(rows, "sig long, m long, rep long, c long, n long, odd array<long>")
+    x, y = (rows.select("sig", F.col("rep").alias(s), F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"odd{s}")) for s in "ab")
+    every = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & jaccard_join._possible(80)).select("a", "b", "ca", "cb").collect()
+    want = {(r.a, r.b) for r in every}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        low = rows.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, jaccard_join.LOW).alias("low"))
+        whole = [(r.a, r.b) for r in jaccard_join._pairs(rows.join(low, "rep"), 80).collect()]
+        forest = [(*r,) for r in jaccard_join._pairs(rows, 80).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(every) == 20 * len(want) > 0 and sorted(whole) == sorted(want)
+    c = {r.rep: r.c for r in rows.select("rep", "c").distinct().collect()}
+    blocks = -(-60 // sets) * (-(-60 // sets) + 1) // 2
+    assert {p[1:] for p in forest} <= want and len(forest) <= 20 * 11 * blocks
+    for sig in range(20):  # what it joins is what all pairs join
+        joined = [components_of([(c[a], c[b]) for a, b in pairs]) for pairs in ([p[1:] for p in forest if p[0] == sig], want)]
+        assert joined[0] == joined[1]
+
+
+def components_of(edges):
+    least = {v: v for e in edges for v in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
 def test_workers_keep_nothing_of_other_operators(spark):
     docs = table(spark, ["a b c"] * 4, 1)
 
